@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start = stop
 
 
+def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows that agree in `by`, from batches sorted by it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.table(batch)
+        new = np.zeros(len(table), bool)
+        for c in by:
+            values = table.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        if held and any(held[-1].column(c)[-1] != table.column(c)[0] for c in by):
+            yield pa.concat_tables(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new), len(table)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held)
+
+
 def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated bytes of a string array and its len + 1 offsets; nulls are empty."""
     values = values.cast(pa.large_string() if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pa.large_binary())
@@ -144,3 +169,14 @@ class Words:
             h += self.hashes[j : j + total] * p
         keep = np.arange(offsets[-1]) + np.repeat(self.bounds[:-1] - offsets[:-1], count)
         return mix(h[keep] + np.uint64(k)), offsets
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a larger intermediate result as a Parquet table in the shared folder and read it back."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

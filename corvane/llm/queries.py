@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, matroska, quality, sharding, warc
+from corvane.llm import bpe, decontam, jaccard, lines, matroska, pii, quality, sharding, suffix, warc
 from corvane.llm.common import cut, read_table, utf8
 
 
@@ -13,16 +13,34 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.mux(read_table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = utf8(F.col("text"))
     rows = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     return sharding.shuffle_rows(rows, 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return lines.dedup(docs).select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_dropped", F.sha2(utf8(F.col("text")), 256).alias("kept_sha256"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, b"a key that production takes from its secrets")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op3_sharding, op6_decontamination, op8_bpe, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_suffix_dedup, op3_sharding, op4_line_dedup, op5_jaccard, op6_decontamination, op7_pii, op8_bpe, op9_warc, op10_quality)}
 
 ORACLE_SQL = {
     "op9_warc": """
