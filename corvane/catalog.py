@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from corvane.registry import QUERIES, SQL, Query
+
+PLANS = ("analytics",)
+
+
+def _load() -> None:
+    for name in PLANS:
+        import_module(f"corvane.plans.{name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first registered query."""
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Section statistics over a corpus of runs."""
+    return queries()["agg1_section_stats"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
