@@ -9,7 +9,7 @@ from corvane.functions import predicates as P
 from corvane.functions.text import natural_key
 from corvane.operators import joins as J
 from corvane.operators.sets import first_per_key, near_duplicates_removed
-from corvane.registry import query, table
+from corvane.registry import query, table, typed
 
 ITEM = "l_orderkey AS id, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line"
 
@@ -299,3 +299,6 @@ def op27_annotation_completeness(spark, sf_dir):
 
     rows = latest_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts")
     return rows.groupBy("user_id").agg(F.count("*").alias("annotated"), (F.count("*") >= 5).alias("complete"))
+
+
+typed(fil6_boilerplate_headers="line INTEGER", jsn1_json_text="n BIGINT")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import joins as J
 from corvane.operators import studies as S
 from corvane.plans.windows import VISITS, visits
-from corvane.registry import query, table
+from corvane.registry import query, table, typed
 
 
 @query("""WITH v AS (SELECT l_partkey AS activity, l_linenumber AS col, count(*) FILTER (l_returnflag = 'A') AS yes, count(*) AS methods FROM lineitem GROUP BY ALL)
@@ -174,3 +174,6 @@ def jn16_nearest_shape(spark, sf_dir):
     r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % 40).alias("page"), (F.col("s_suppkey") % 50).alias("rx"))
     near = p.join(r, "page").withColumn("dist", F.abs(F.col("x") - F.col("rx"))).where("dist < 15")
     return near.groupBy("page", "id").agg(F.min(F.struct("dist", "box")).alias("s")).select("page", "id", "s.box", "s.dist")
+
+
+typed(jn27_routes_with_fallback="similarity DOUBLE")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.sets import jaccard
-from corvane.registry import query, table
+from corvane.registry import query, table, typed
 
 LABELS = """lab AS (SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'Cycle ' || (o_orderkey % 6 + 1) || ' Day ' || (o_orderkey % 21 + 1) WHEN 1 THEN 'Day ' || (o_orderkey % 90) WHEN 2 THEN 'Week ' || (o_orderkey % 52 + 1) WHEN 3 THEN 'Month ' || (o_orderkey % 12 + 1)
  WHEN 4 THEN 'Screening' WHEN 5 THEN 'Baseline' WHEN 6 THEN 'End of treatment' WHEN 7 THEN 'Follow-up visit' WHEN 8 THEN 'Cycle ' || (o_orderkey % 6 + 1) ELSE 'Unscheduled' END AS label, o_custkey AS doc FROM orders) """
@@ -222,3 +222,6 @@ def op14_line_copies(spark, sf_dir):
 def src29_render(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("s"), F.count("*").alias("turns"))
     return rows.select("conv_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("chat"), "turns")
+
+
+typed(str26_visit_day="confidence DOUBLE", str1_identifier_chain="confidence DOUBLE", str2_date="confidence DOUBLE", str3_numeric="confidence DOUBLE", str5_short_text="confidence DOUBLE", str9_statement="confidence DOUBLE", str13_format_detect="confidence DOUBLE")

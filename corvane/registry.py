@@ -25,3 +25,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def typed(**columns: str) -> None:
+    """Name the types of columns whose SQL literals are decimals: query_name="column TYPE, ..."."""
+    for name, types in columns.items():
+        casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in (x.split() for x in types.split(", ")))
+        SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({SQL[name]}) AS oracle"
