@@ -48,7 +48,7 @@ def sort_keys(hashes: np.ndarray) -> np.ndarray:
     """The top 16 bits of the hashes of each suffix's first words, side by side."""
     top = hashes >> np.uint64(48)
     key = np.zeros(len(top), np.uint64)
-    for j in range(KEY_WORDS):
+    for j in range(min(KEY_WORDS, len(top))):
         key[: len(top) - j] |= top[j:] << np.uint64(48 - 16 * j)
     return key
 
