@@ -67,28 +67,32 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start = stop
 
 
-def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows that agree in `by`, from batches sorted by it."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete groups, and where each group starts, from batches sorted by `by`. A group may span batches."""
     held: list[pa.Table] = []
+
+    def cut_up(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in by:
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return table, np.flatnonzero(new)
+
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.table(batch)
-        new = np.zeros(len(table), bool)
-        for c in by:
-            values = table.column(c).to_numpy(zero_copy_only=False)
-            new[1:] |= values[1:] != values[:-1]
-        if held and any(held[-1].column(c)[-1] != table.column(c)[0] for c in by):
-            yield pa.concat_tables(held)
-            held = []
-        cuts = [0, *np.flatnonzero(new), len(table)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(a, b - a))
+        first, last = ([table.column(c)[i] for c in by] for i in (0, -1))
+        if held and [held[-1].column(c)[-1] for c in by] == first == last:
+            held.append(table)
+            continue
+        table, starts = cut_up(pa.concat_tables([*held, table]))
+        held = [table.slice(starts[-1])]
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]).combine_chunks(), starts[:-1]
     if held:
-        yield pa.concat_tables(held)
+        yield cut_up(pa.concat_tables(held).combine_chunks())
 
 
 def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, grouped, mix, powers, semi_by_size, word_table
+from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, mix, powers, semi_by_size, whole_groups, word_table
 from corvane.llm.components import bucket_links, connected
 
 SHINGLE = 5
@@ -32,6 +32,8 @@ DIMENSIONS = 256
 SMALL = 15
 #: Points of a tile of a bucket, and of a leaf of its tree.
 TILE, LEAF = 2048, 32
+#: Buckets of so few points are compared without a tree.
+FEW = 8
 #: Bits of a shingle that sets are verified on: two of a pair's shingles agree by chance once in 2 ** 48.
 SET_BYTES = 6
 
@@ -182,6 +184,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: float) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def bound(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Whether the sums of coordinate minima allow an overlap of at least t / (1 + t) of both sizes."""
+    return np.minimum(a, b).sum(axis=-1) >= t / (1 + t) * (a.sum(axis=-1) + b.sum(axis=-1)) - 1e-9
+
+
 class Tree:
     """An R-tree of points packed level by level: boxes of leaves, boxes of boxes."""
 
@@ -226,19 +233,30 @@ def tree_pairs(docs: DataFrame, members: DataFrame, k: int, t: float) -> DataFra
     kind = members.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["key", "p", "q"]):
-            ids, cid, mine = (table.column(c).to_numpy() for c in ("id", "cid", "mine"))
-            p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        for table, starts in whole_groups(batches, ["key", "p", "q"]):
+            ids, cid, mine, p, q = (table.column(c).to_numpy() for c in ("id", "cid", "mine", "p", "q"))
             data = np.stack([point_of(x) for x in table.column("data").to_pylist()])
-            left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-            if not len(right):
-                continue
-            tree, out = Tree(data[right]), set()
-            for i in left:
-                hit = right[tree.search(data[i], t)]
-                out |= {(min(ids[i], x), max(ids[i], x)) for x in ids[hit[cid[hit] != cid[i]]]}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], table.schema.field("id").type) for j in (0, 1)], ["a", "b"])
+            size = np.diff(np.append(starts, len(ids)))
+            of = np.repeat(np.arange(len(starts)), size)
+            out = []
+            # few points are one leaf: all its pairs are bounded at once
+            few = (size <= FEW)[of]
+            for d in range(1, FEW):
+                i = np.flatnonzero(few[:-d] & (of[:-d] == of[d:]) & (cid[:-d] != cid[d:]))
+                for part in np.array_split(i, max(1, len(i) // 4096)):
+                    ok = bound(data[part], data[part + d], t)
+                    out.append((ids[part[ok]], ids[part[ok] + d]))
+            for g in np.flatnonzero(size > FEW):
+                at = np.arange(starts[g], starts[g] + size[g])
+                left, right = at[mine[at] == p[at]], at[mine[at] == q[at]]
+                if len(right):
+                    tree = Tree(data[right])
+                    for i in left:
+                        hit = right[tree.search(data[i], t)]
+                        hit = hit[cid[hit] != cid[i]]
+                        out.append((np.full(len(hit), ids[i]), ids[hit]))
+            a, b = (np.concatenate([x[j] for x in out]) if out else ids[:0] for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, f"a {kind}, b {kind}")
 
