@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, store
 
 #: Rounds in which each member of a bucket is held against one pivot, before all that is left is compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, turns: int | None = None) -> DataFrame:
     """id, component (the smallest id reachable) for every id in links (a, b), by alternating large and small stars.
 
-    A star step only groups by a node and joins the minimum back, so no neighbourhood is collected.
+    A star step only groups by a node and joins the minimum back, so no neighbourhood is collected. With `turns` it ends
+    early: ids of one label are connected then, but a component may still have several labels.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    sign = None
+    sign, left = None, turns
     while True:
+        if left == 0:
+            names = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+            return names.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        left = None if left is None else left - 1
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == sign or not now["n"]:
+        if (now["n"], now["h"]) == sign or not now["n"]:  # nothing moved
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
         sign = (now["n"], now["h"])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,27 +45,40 @@ def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("cid", F.coalesce("component", "id")).drop("component")
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> DataFrame | None:
-    """Links whose components are those of all true links between members (key, id) of a bucket.
+def bucket_links(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS, quick: Callable[[Column, Column], Column] | None = None
+) -> DataFrame | None:
+    """Links whose components are those of all true links between members (key, id) of a bucket; an id may be in it twice.
 
     In a round every member is verified against one pivot of its buckets, and buckets that
     lie in one component drop out. What is left after the rounds goes to `cross`, which gives the pairs (a, b) of different
     components that may be linked, and all of these are verified. None if no bucket has two members.
+
+    With `quick` the members have `mark` and `weight` too: two marks that it refuses are no pair, so a bucket of two such is done, and
+    the member of the greatest weight is the first pivot.
     """
     links, found, tried = None, None, None
-    rows = members.select("key", "id").distinct()
+    columns = ["key", "id"] + (["mark", "weight"] if quick else [])
+    rows = members.select(*columns)
     bucket = Window.partitionBy("key")
     for turn in range(star_rounds + 1):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "cid")).over(bucket)
-        rows = with_component(rows.select("key", "id"), found).select("key", "id", "cid", F.min("cid").over(bucket).alias("low"), F.max("cid").over(bucket).alias("high"), pivot.alias("p"))
-        rows = store(rows.where("low != high").select("key", "id", "cid", F.col("p.id").alias("pivot"), F.col("p.cid").alias("pivot_cid")))
+        first = [(-F.col("weight")).alias("w")] if quick and not turn else []
+        pivot = F.min(F.struct(*first, F.xxhash64(F.lit(turn), "id").alias("h"), "id", "cid", *columns[2:])).over(bucket)
+        rows = with_component(rows.select(*columns), found).select(*columns, "cid", F.min("cid").over(bucket).alias("low"), F.max("cid").over(bucket).alias("high"), pivot.alias("p")).where("low != high")
+        near = F.col("cid") != F.col("p.cid")
+        if quick:
+            rows = rows.withColumn("near", near & quick(F.col("mark"), F.col("p.mark")))
+            rows = rows.withColumn("any", F.max("near").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("any OR size > 2")
+        else:
+            rows = rows.withColumn("near", near)
+        rows = store(rows.select(*columns, "cid", "near", F.col("p.id").alias("pivot")))
         if rows.isEmpty():
             break
         if turn < star_rounds:
-            pairs = rows.where("cid != pivot_cid").groupBy("id").agg(F.mode("pivot").alias("pivot"))
+            pairs = rows.where("near").groupBy("id").agg(F.mode("pivot").alias("pivot"))
             pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
-            pairs = cross(rows.select("key", "id", "cid")).distinct()
+            pairs = cross(rows.select(*columns, "cid")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -68,6 +86,13 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         new = cut(verify(pairs).select("a", "b"))
         if new.isEmpty():
             continue
+        if turn == star_rounds and found is not None:
+            # of two components one link is enough
+            for side in ("a", "b"):
+                new = new.join(found.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+            new = cut(new.select("a", "b").distinct())
         links = new if links is None else links.unionByName(new)
-        found = cut(connected(links))
+        if turn < star_rounds:
+            # labels may be unfinished between the rounds, but not before all that is left is compared
+            found = cut(connected(links, None if turn == star_rounds - 1 else 1))
     return links
