@@ -237,25 +237,25 @@ def jn9_baseline_regressions(spark, sf_dir):
 
 
 @query(with_(RESULTS) + "SELECT DISTINCT run_id, min(ts) OVER (PARTITION BY run_id) AS first_ts, max(ts) OVER (PARTITION BY run_id) AS last_ts FROM pr")
-def op3_run_lookup(spark, sf_dir):
+def data_op3_run_lookup(spark, sf_dir):
     return star.results(spark, sf_dir).groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"))
 
 
 @query(with_(MATCHES) + "SELECT code, round(avg(boosted) * 100) AS pct, max(boosted) - min(boosted) AS variance, CASE WHEN avg(boosted) >= 0.75 THEN 'green' WHEN avg(boosted) >= 0.70 THEN 'amber' ELSE 'red' END AS colour FROM sm GROUP BY 1")
-def op4_display_projection(spark, sf_dir):
+def data_op4_display_projection(spark, sf_dir):
     avg = F.avg("boosted")
     return star.matches(spark, sf_dir).groupBy("code").agg(F.round(avg * 100).alias("pct"), (F.max("boosted") - F.min("boosted")).alias("variance"), F.when(avg >= 0.75, "green").when(avg >= 0.70, "amber").otherwise("red").alias("colour"))
 
 
 @query(with_(PAIRS) + "SELECT result_id, line, pos, code, CASE WHEN extracted = '' THEN 'gap' WHEN coalesce(confidence, 0) >= 0.80 THEN 'good' WHEN coalesce(confidence, 0) >= 0.60 THEN 'partial' ELSE 'poor' END AS match_quality FROM cp")
-def op1_star_flatten(spark, sf_dir):
+def data_op1_star_flatten(spark, sf_dir):
     c = F.coalesce("confidence", F.lit(0))
     return star.pairs(spark, sf_dir).select("result_id", "line", "pos", "code", F.when(F.col("extracted") == "", "gap").when(c >= 0.80, "good").when(c >= 0.60, "partial").otherwise("poor").alias("match_quality"))
 
 
 @query(with_(EXTRACTIONS) + """, a AS (SELECT result_id // 2 AS k, array_agg(DISTINCT code) AS x FROM qe WHERE result_id % 2 = 0 GROUP BY 1), b AS (SELECT result_id // 2 AS k, array_agg(DISTINCT code) AS y FROM qe WHERE result_id % 2 = 1 GROUP BY 1)
 SELECT k, CAST(len(list_intersect(x, y)) AS BIGINT) AS agreed, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jaccard, len(list_intersect(x, y)) / len(x) AS accuracy FROM a JOIN b USING (k)""")
-def op12_two_pipelines(spark, sf_dir):
+def data_op12_two_pipelines(spark, sf_dir):
     e = star.extractions(spark, sf_dir).withColumn("k", F.floor(F.col("result_id") / 2).cast("long"))
     side = lambda r, c: e.where(F.col("result_id") % 2 == r).groupBy("k").agg(F.collect_set("code").alias(c))
     both = side(0, "x").join(side(1, "y"), "k")

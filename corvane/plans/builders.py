@@ -214,7 +214,7 @@ def sd10_expectation_suite(spark, sf_dir):
 
 
 @query("SELECT DISTINCT p_partkey AS id, 1 AS source FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size BETWEEN 5 AND 20 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)")
-def op11_enrichment_merge(spark, sf_dir):
+def data_op11_enrichment_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
     one = p.where("p_size < 10").select("id").distinct()
     two = p.where("p_size BETWEEN 5 AND 20").select("id").join(one, "id", "left_anti")
@@ -222,31 +222,31 @@ def op11_enrichment_merge(spark, sf_dir):
 
 
 @query("WITH c AS (SELECT o_orderkey AS doc, CASE WHEN o_totalprice > 300000 THEN 'full' WHEN o_totalprice > 150000 THEN 'partial' ELSE 'none' END AS verdict, o_totalprice / 500000 AS conf FROM orders) SELECT doc, verdict, conf < 0.7 AS queued FROM c WHERE verdict <> 'none'")
-def op17_section_service(spark, sf_dir):
+def data_op17_section_service(spark, sf_dir):
     p = F.col("o_totalprice")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.when(p > 300000, "full").when(p > 150000, "partial").otherwise("none").alias("verdict"), (p / 500000).alias("conf"))
     return rows.where("verdict <> 'none'").select("doc", "verdict", (F.col("conf") < 0.7).alias("queued"))
 
 
 @query("SELECT event_type AS header, user_id % 5 AS corrected, count(*) AS n, max(ts) AS last FROM events GROUP BY ALL")
-def op19_feedback(spark, sf_dir):
+def data_op19_feedback(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("header"), (F.col("user_id") % 5).alias("corrected")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
 @query("SELECT doc_id, quality FROM documents SEMI JOIN labels USING (doc_id) JOIN labels USING (doc_id)")
-def op22_linkable_documents(spark, sf_dir):
+def data_op22_linkable_documents(spark, sf_dir):
     l = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return table(spark, sf_dir, "documents").select("doc_id").join(l, "doc_id")
 
 
 @query("WITH c AS (SELECT conv_id AS run, turn AS stage, sha256(text) AS artifact FROM conversations) SELECT run, stage, artifact, coalesce(lag(artifact) OVER (PARTITION BY run ORDER BY stage), 'start') AS source FROM c")
-def op26_checkpoints(spark, sf_dir):
+def data_op26_checkpoints(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("stage"), F.sha2("text", 256).alias("artifact"))
     return c.withColumn("source", F.coalesce(F.lag("artifact").over(Window.partitionBy("run").orderBy("stage")), F.lit("start")))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 14, 15)")
-def op28_knowledge_lookup(spark, sf_dir):
+def data_op28_knowledge_lookup(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(3, 14, 15)).select("vec_id", "label")
 
 

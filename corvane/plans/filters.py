@@ -235,12 +235,12 @@ def mth13_seeded_draws(spark, sf_dir):
 
 
 @query("SELECT p_partkey AS id, trim(regexp_replace(p_name || ' (mg)', '\\s*\\((mg|mL|kg)\\)', '', 'g')) AS canonical FROM part")
-def op7_canonical_names(spark, sf_dir):
+def data_op7_canonical_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.trim(F.regexp_replace(F.concat("p_name", F.lit(" (mg)")), r"\s*\((mg|mL|kg)\)", "")).alias("canonical"))
 
 
 @query("WITH t AS (SELECT s_suppkey AS tp, 'V' || s_suppkey % 30 AS name, min(s_suppkey) OVER (PARTITION BY 'V' || s_suppkey % 30) AS kept FROM supplier) SELECT kept, any_value(name) AS name, count(DISTINCT l_partkey) AS activities FROM lineitem JOIN t ON tp = l_suppkey GROUP BY kept")
-def op5_timepoint_dedup(spark, sf_dir):
+def data_op5_timepoint_dedup(spark, sf_dir):
     t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("timepoint_id"), F.concat(F.lit("V"), (F.col("s_suppkey") % 30).cast("string")).alias("name"), F.col("s_suppkey").alias("pos"))
     i = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("activity_id"), F.col("l_suppkey").alias("timepoint_id"))
     kept = first_per_key(t, ["name"], ["pos"]).select(F.col("timepoint_id").alias("kept"), "name")
@@ -250,7 +250,7 @@ def op5_timepoint_dedup(spark, sf_dir):
 
 @query("""WITH i AS (SELECT l_orderkey AS doc, l_partkey AS act, l_linenumber AS visit FROM lineitem WHERE l_returnflag = 'A'), f AS (SELECT DISTINCT l_orderkey AS doc, a.l_partkey AS act, v.l_linenumber AS visit FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) v USING (l_orderkey) WHERE l_orderkey NOT IN (SELECT doc FROM i))
 SELECT DISTINCT doc, act, visit, 'table' AS source FROM i UNION ALL SELECT doc, act, visit, 'fallback' FROM f""")
-def op8_matrix_with_fallback(spark, sf_dir):
+def data_op8_matrix_with_fallback(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("act"), F.col("l_linenumber").alias("visit"), "l_returnflag")
     found = rows.where("l_returnflag = 'A'").select("doc", "act", "visit").distinct()
     rest = rows.join(found, "doc", "left_anti")
@@ -259,7 +259,7 @@ def op8_matrix_with_fallback(spark, sf_dir):
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') WHEN o_orderkey % 3 = 1 THEN 'P-' || o_custkey ELSE 'unknown' END AS identifier FROM orders")
-def op10_identifier_coalesce(spark, sf_dir):
+def data_op10_identifier_coalesce(spark, sf_dir):
     k = F.col("o_orderkey")
     name = F.when(k % 3 == 0, F.concat(F.lit("file NCT"), F.lpad(k.cast("string"), 8, "0"), F.lit(".pdf"))).otherwise("file.pdf")
     meta = F.when(k % 3 == 1, F.concat(F.lit("P-"), F.col("o_custkey").cast("string")))
@@ -267,34 +267,34 @@ def op10_identifier_coalesce(spark, sf_dir):
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_type, event_id FROM r WHERE k = 1")
-def op18_latest_decision(spark, sf_dir):
+def data_op18_latest_decision(spark, sf_dir):
     from corvane.sources.readers import latest_per_key
 
     return latest_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
 
 
 @query("SELECT vec_id AS id, 'gold' AS source FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, 'bootstrap' FROM embeddings WHERE label >= 8")
-def op21_training_union(spark, sf_dir):
+def data_op21_training_union(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     part = lambda c, s: e.where(c).select(F.col("vec_id").alias("id"), F.lit(s).alias("source"))
     return part("label < 3", "gold").unionByName(part("label >= 8", "bootstrap"))
 
 
 @query("SELECT a.n AS parent, count(b.n) AS children FROM (SELECT DISTINCT CAST(p_size AS VARCHAR) AS n FROM part) a LEFT JOIN (SELECT DISTINCT p_size || '.' || p_partkey % 9 AS n FROM part) b ON b.n LIKE a.n || '.%' GROUP BY 1")
-def op23_section_children(spark, sf_dir):
+def data_op23_section_children(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     children = p.select(F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")).alias("n")).distinct().withColumn("parent", F.substring_index("n", ".", 1))
     return p.select(F.col("p_size").cast("string").alias("parent")).distinct().join(children, "parent", "left").groupBy("parent").agg(F.count("n").alias("children"))
 
 
 @query("SELECT s_suppkey AS section, true AS synthetic FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')")
-def op24_synthetic_sections(spark, sf_dir):
+def data_op24_synthetic_sections(spark, sf_dir):
     have = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("section"))
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section")).join(have, "section", "left_anti").withColumn("synthetic", F.lit(True))
 
 
 @query("WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, count(*) AS annotated, count(*) >= 5 AS complete FROM l GROUP BY 1")
-def op27_annotation_completeness(spark, sf_dir):
+def data_op27_annotation_completeness(spark, sf_dir):
     from corvane.sources.readers import latest_per_key
 
     rows = latest_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts")

@@ -348,7 +348,7 @@ def gr20_cell_corrections(spark, sf_dir):
 
 
 @query("SELECT o_orderkey AS doc, CASE WHEN o_totalprice > 400000 THEN 'error' ELSE 'pass' END AS status FROM orders")
-def op2_error_capture(spark, sf_dir):
+def data_op2_error_capture(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_totalprice")
 
     def work(row):
@@ -366,25 +366,25 @@ def jn12_agg20_ordered_merge(spark, sf_dir):
 
 
 @query(None)
-def op15_continued_tables(spark, sf_dir):
+def data_op15_continued_tables(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("pos"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("header"))
     return M.continuation_merge(rows, "doc").groupBy("doc").agg(F.max("group_no").alias("tables"))
 
 
 @query("WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: length(x) < 60)) > 0.5 * len(l) AS contents_page FROM t")
-def op16_contents_pages(spark, sf_dir):
+def data_op16_contents_pages(spark, sf_dir):
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), (F.size(F.filter(lines, lambda x: F.length(x) < 60)) > 0.5 * F.size(lines)).alias("contents_page"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: NOT contains(l, '|'))) AS kept FROM documents")
-def op13_table_text_exclusion(spark, sf_dir):
+def data_op13_table_text_exclusion(spark, sf_dir):
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.contains(x, F.lit("|")))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("kept"))
 
 
 @query("SELECT s_suppkey AS figure, s_acctbal / 9999 AS share, s_acctbal >= 300 AND s_suppkey % 120 >= 10 AS kept FROM supplier")
-def op20_figures(spark, sf_dir):
+def data_op20_figures(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("figure"), (F.col("s_acctbal") / 9999).alias("share"), ((F.col("s_acctbal") >= 300) & (F.col("s_suppkey") % 120 >= 10)).alias("kept"))
 
 

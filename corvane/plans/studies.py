@@ -99,7 +99,7 @@ def jn30_trigger_domains(spark, sf_dir):
 
 @query("WITH " + VISITS + """, o AS (SELECT study, CASE kind WHEN 'screening' THEN 'Screening' WHEN 'followup' THEN 'Follow-up' ELSE 'Treatment' END AS epoch, row_number() OVER (PARTITION BY study ORDER BY day, visit) AS pos FROM v), g AS (SELECT study, epoch, min(pos) AS pos, count(*) AS visits FROM o GROUP BY ALL)
 SELECT study, epoch, visits, row_number() OVER (PARTITION BY study ORDER BY pos) AS number FROM g""")
-def op6_epochs(spark, sf_dir):
+def data_op6_epochs(spark, sf_dir):
     return S.epochs(visits(spark, sf_dir), "study", "kind", ["day", "visit"], {"screening": "Screening", "followup": "Follow-up"}, "Treatment")
 
 

@@ -31,7 +31,7 @@ def str26_visit_day(spark, sf_dir):
 
 @query("WITH " + LABELS + """, d AS (SELECT doc, id, label, CAST(CASE WHEN id % 10 = 0 THEN (id % 6) * 28 + id % 21 + 1 WHEN id % 10 = 1 THEN id % 90 WHEN id % 10 = 2 THEN (id % 52) * 7 + 1 WHEN id % 10 = 3 THEN (id % 12) * 30 + 1 WHEN id % 10 = 4 THEN -14 WHEN id % 10 = 5 THEN 1 WHEN id % 10 = 8 THEN (id % 6) * 28 + 1 ELSE 0 END AS BIGINT) AS day FROM lab),
 t AS (SELECT *, coalesce(max(CASE WHEN day > 0 THEN day END) OVER (PARTITION BY doc), 1) AS top FROM d) SELECT doc, id, CASE WHEN id % 10 = 6 THEN top + 1 WHEN id % 10 = 7 THEN top + 30 ELSE day END AS day FROM t""")
-def op9_timepoint_days(spark, sf_dir):
+def data_op9_timepoint_days(spark, sf_dir):
     from corvane.operators.windows import milestones
 
     rows = labels(spark, sf_dir).withColumn("cycle", T.cycle_length(F.lit("given in a 28-day cycle")))
@@ -213,7 +213,7 @@ def jn23_substring_search(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT d.doc_id, UNNEST(string_split(d.text, chr(10))) AS line FROM documents d), n AS (SELECT sha256(line) AS s, count(*) AS c FROM h WHERE length(line) > 0 GROUP BY 1) SELECT c AS copies, count(*) AS lines FROM n GROUP BY 1""")
-def op14_line_copies(spark, sf_dir):
+def data_op14_line_copies(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
     return lines.groupBy(F.sha2("line", 256).alias("s")).agg(F.count("*").alias("copies")).groupBy("copies").agg(F.count("*").alias("lines"))
 
