@@ -28,7 +28,7 @@ from corvane.llm.common import chunks
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts its trie anew.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,7 +60,8 @@ class Vocabulary:
         self._right = lru_cache(1 << 16)(self._chain_right)
         self._left = lru_cache(1 << 16)(self._chain_left)
         # A token that its own merges never build is no last token.
-        self.made = {i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
+        self.ends = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
+        self.numerals = {i: str(i) for i in self.of}
 
     def merge(self, word: bytes) -> list[int]:
         """Plain merging by rank, for the check of the vocabulary and of tests."""
@@ -129,10 +130,10 @@ class Trie:
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _state(self, word: bytes, path: list[int], end: int) -> tuple[int, int]:
-        v = self.v
+        v, get = self.v, self.v.ends.get
         for start in range(max(0, end - v.longest), end):
-            token = v.ids.get(word[start:end])
-            if token is None or token not in v.made:
+            token = get(word[start:end])
+            if token is None:
                 continue
             before = self.last[path[start]]
             if start == 0:
@@ -237,14 +238,14 @@ def default_path() -> str:
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, decoded: the token ids of each whole text and the text that they decode to."""
-    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda ids, text: (ids, text))
+    return _run(docs, path, id_col, text_col, "ids array<int>, decoded string", lambda ids, text, numerals: (ids, text))
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text."""
 
-    def row(ids: list[int], text: str) -> tuple:
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def row(ids: list[int], text: str, numerals: dict[int, str]) -> tuple:
+        return len(ids), hashlib.sha256(",".join([numerals[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     return _run(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
@@ -260,7 +261,7 @@ def _run(docs: DataFrame, path: str | None, id_col: str, text_col: str, schema:
         enc = encoder(spec.value)
         for batch in chunks(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = [row(ids, enc.decode(ids)) for ids in enc.encode_many(texts)]
+            rows = [row(ids, enc.decode(ids), enc.v.numerals) for ids in enc.encode_many(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows)))], [id_col, *names])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, {schema}")
