@@ -25,7 +25,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    return lines.dedup(docs).select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_dropped", F.sha2(utf8(F.col("text")), 256).alias("kept_sha256"))
+    return lines.dedup(docs, by="words").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_dropped", F.sha2(utf8(F.col("text")), 256).alias("kept_sha256"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
