@@ -1,8 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Detected: e-mail addresses, phone numbers, payment cards, IP addresses, national ids (ddd-dd-dddd), IBANs, secrets
-(long hexadecimal strings) and person names (a given name of the lists below, or a title, before a capitalised
-surname). A surrogate is a keyed permutation (a Feistel network with cycle walking) of all strings of the
+(long hexadecimal strings) and person names (given names of the lists below, or a title, before a capitalised
+surname, and each of these names alone in the same text). A surrogate is a keyed permutation (a Feistel network with cycle walking) of all strings of the
 same shape: digits stay digits, letters keep case, script and, in names, vowel or consonant; card and IBAN check
 digits stay as valid as they were; given names go to others of their gender and script; e-mail hosts under reserved example domains stay.
 So equal entities have equal surrogates in the whole corpus and different ones different surrogates.
@@ -55,7 +55,13 @@ PATTERN = regex.compile(
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]))"
 )
 _ALL_GIVEN = {n: k for k, names in GIVEN.items() for n in names}
-NAME = regex.compile(r"(?<!\p{L})(?:(?P<title>" + "|".join(TITLES) + r")\.? )?(?P<given>\p{Lu}\p{Ll}+)(?: (?P<sur>\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?))?(?!\p{L})")
+_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: Listed given names before a surname, which may be a listed name too, or titles before a surname.
+NAME = regex.compile(
+    r"(?<!\p{L})(?=\p{Lu})(?:(?P<given>\L<given>)(?: (?P<given>\L<given>))* (?P<sur>" + _SURNAME + r")|(?:\L<titles>\.? )+(?!\L<titles>(?!\p{L}))(?!\L<given> \p{Lu}\p{Ll})(?P<sur>" + _SURNAME + r"))(?!\p{L})",
+    given=sorted(_ALL_GIVEN),
+    titles=TITLES,
+)
 _CLASS = {c: i for i, a in enumerate(ALPHABETS) for c in a}
 
 
@@ -202,20 +208,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of each entity; the parts of a name are entities of their own, for coreference."""
     found = [(m.start(), m.end(), m.lastgroup, m.group()) for m in PATTERN.finditer(text)] if HINTS.search(text) else []
     taken = {i for a, b, *_ in found for i in range(a, b)}
-    sure: set[str] = set()
+    sure: dict[str, str] = {}
     names = []
     for m in NAME.finditer(text):
-        given, sur = m.group("given"), m.group("sur")
-        if given in _ALL_GIVEN and sur and sur not in _ALL_GIVEN:
-            names += [(*m.span("given"), "given", given), (*m.span("sur"), "surname", sur)]
-            sure.add(sur)
-        elif m.group("title") and given not in _ALL_GIVEN:
-            names.append((*m.span("given"), "surname", given))
-            sure.add(given)
-    if sure:  # a surname alone, later or before, is the same person's
-        have = {a for a, *_ in names}
-        alone = regex.compile(r"(?<!\p{L})(?:" + "|".join(map(regex.escape, sorted(sure))) + r")(?!\p{L})")
-        names += [(m.start(), m.end(), "surname", m.group()) for m in alone.finditer(text) if m.start() not in have]
+        names += [(*at, "given", text[slice(*at)]) for at in m.spans("given")]
+        names.append((*m.span("sur"), "surname", m.group("sur")))
+        for _, _, kind, value in names[-1 - len(m.spans("given")) :]:
+            sure[value] = "surname" if kind == "surname" else sure.get(value, kind)
+    if sure:  # a surname or given name alone, later or before, is the same person's
+        have = {i for a, b, *_ in names for i in range(a, b)}
+        alone = regex.compile(r"(?<!\p{L})\L<sure>(?!\p{L})", sure=sorted(sure))
+        names += [(m.start(), m.end(), sure[m.group()], m.group()) for m in alone.finditer(text) if m.start() not in have and m.end() - 1 not in have]
     return sorted(found + [x for x in names if x[0] not in taken])
 
 
