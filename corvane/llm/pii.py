@@ -8,7 +8,10 @@ digits stay as valid as they were; given names go to others of their gender and
 So equal entities have equal surrogates in the whole corpus and different ones different surrogates.
 
 Collision checks: a surrogate that equals an entity of the corpus, or another's surrogate, is walked one step
-further until none is left. Entities meet as a distinct table; only those that needed further steps are exceptions,
+further, for some turns. What collides after these is of shapes with few strings: all entities of such a shape are then
+assigned together, by steps that are permutations of their own, so that none is left. If a shape has more entities than
+half of its strings, that cannot be; its surrogates are those of one step, different but perhaps real entities.
+Entities meet as a distinct table; only those that needed further steps are exceptions,
 and they reach the tasks by broadcast while few, else by a join over their documents.
 
 Null texts stay null. Texts without entities are unchanged. Repeated rows give repeated results. Columns of the input are kept.
@@ -119,8 +122,13 @@ def letter_classes(text: str, names: bool) -> list[str | None]:
     return out
 
 
+#: Steps up to here walk one permutation; each one beyond is another permutation, taken once.
+WALK = 1000
+
+
 class Surrogates:
     def __init__(self, key: bytes):
+        self.key = key
         self.perm = Permuter(hmac.new(key, b"surrogates", hashlib.sha256).digest())
         self.of = lru_cache(1 << 15)(self._of)
 
@@ -142,7 +150,9 @@ class Surrogates:
         return self.shaped(text, tag, ["0123456789" if c.isdigit() and i not in keep else None for i, c in enumerate(text)])
 
     def _of(self, kind: str, text: str, steps: int = 1) -> str:
-        """The surrogate after some steps of the permutation."""
+        """The surrogate after some steps of the permutation; beyond WALK, of the permutation of that number."""
+        if steps > WALK:
+            return getattr(Surrogates(hmac.new(self.key, b"step %d" % steps, hashlib.sha256).digest()), f"_{kind}")(text)
         for _ in range(steps):
             text = getattr(self, f"_{kind}")(text)
         return text
@@ -204,6 +214,36 @@ class Surrogates:
         return self.shaped(text, b"surname", letter_classes(text, True))
 
 
+class First(Permuter):
+    """Everything becomes 0, so that a surrogate is the first string of its shape."""
+
+    def permute(self, x: int, n: int, tag: bytes) -> int:
+        return 0
+
+
+def shape(kind: str, text: str) -> str:
+    """Equal for the strings that the surrogates of a text are among."""
+    first = Surrogates(b"shape")
+    first.perm = First(b"shape")
+    return first._of(kind, text)
+
+
+def assigned(kind: str, values: list[str], key: bytes) -> list[int]:
+    """Steps of all entities of a shape, so that surrogates differ and are no entities, if it has strings enough."""
+    make, real, used, steps = Surrogates(key), set(values), set(), []
+    tries = 64 * len(values) + 4096
+    for value in values:
+        for s in (1, *range(WALK + 1, WALK + tries)):
+            out = make._of(kind, value, s)
+            if out not in real and out not in used:
+                break
+        else:
+            return [1] * len(values)
+        used.add(out)
+        steps.append(s)
+    return steps
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of each entity; the parts of a name are entities of their own, for coreference."""
     found = [(m.start(), m.end(), m.lastgroup, m.group()) for m in PATTERN.finditer(text)] if HINTS.search(text) else []
@@ -253,21 +293,42 @@ def exceptions(found: DataFrame, key: bytes, most_turns: int = 20) -> DataFrame:
 
         return rows.mapInArrow(run, "kind string, value string, steps int, surrogate string")
 
-    state = made(known.withColumn("steps", F.lit(1)))
-    moved = None
-    for _ in range(most_turns):
-        # a surrogate that is an entity, or that a smaller entity has too, moves on
+    def colliding(state: DataFrame) -> DataFrame:
+        """A surrogate that is an entity, or that a smaller entity has too."""
         real = known.select(F.col("kind"), F.col("value").alias("surrogate"))
         hits = state.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value", "steps")
         twice = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("first")).where("n > 1")
-        hits = hits.unionByName(state.join(twice, ["kind", "surrogate"]).where("value != first").select("kind", "value", "steps")).distinct()
-        hits = cut(hits.withColumn("steps", F.col("steps") + 1))
+        return cut(hits.unionByName(state.join(twice, ["kind", "surrogate"]).where("value != first").select("kind", "value", "steps")).distinct())
+
+    none = known.limit(0).select("kind", "value", F.lit(2).alias("steps"))
+    state = made(known.withColumn("steps", F.lit(1)))
+    moved = None
+    for turn in range(most_turns + 1):
+        hits = colliding(state)
         if hits.isEmpty():
+            return moved if moved is not None else none
+        if turn == most_turns:
             break
+        hits = hits.withColumn("steps", F.col("steps") + 1)
         moved = hits if moved is None else moved.join(hits, ["kind", "value"], "left_anti").unionByName(hits)
         moved = cut(moved)
         state = made(known.join(moved, ["kind", "value"], "left").select("kind", "value", F.coalesce("steps", F.lit(1)).alias("steps")))
-    return moved if moved is not None else known.limit(0).select("kind", "value", F.lit(2).alias("steps"))
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [shape(k, v) for k, v in zip(b.column("kind").to_pylist(), b.column("value").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.select(["kind", "value"]).columns, pa.array(out, pa.string())], ["kind", "value", "shape"])
+
+    def assign(group: pa.Table) -> pa.Table:
+        group = group.sort_by("value")
+        steps = assigned(group.column("kind")[0].as_py(), group.column("value").to_pylist(), key)
+        return pa.table({"kind": group.column("kind"), "value": group.column("value"), "steps": pa.array(steps, pa.int32())})
+
+    kinds = "kind string, value string, shape string"
+    dense = hits.select("kind", "value").mapInArrow(shaped, kinds).select("kind", "shape").distinct()
+    whole = cut(known.mapInArrow(shaped, kinds).join(dense, ["kind", "shape"], "left_semi").groupBy("kind", "shape").applyInArrow(assign, "kind string, value string, steps int"))
+    rest = moved.join(whole, ["kind", "value"], "left_anti") if moved is not None else none
+    return cut(rest.unionByName(whole.where("steps > 1")))
 
 
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 """Person names after capitalised words and with listed surnames; surrogates of shapes with few strings."""
 
+import random
+
 from corvane.llm import pii
 
 
@@ -23,3 +25,21 @@ def test_listed_names_as_surnames():
 
 def test_names_alone():
     assert found("Anna came. Anna Keller spoke to Klaus; Keller left, Smith-Keller too.") == [("given", "Anna"), ("given", "Anna"), ("surname", "Keller"), ("surname", "Keller"), ("surname", "Keller")]
+
+
+def test_dense_shapes(spark):
+    # two-letter surnames: 20 x 6 strings, of which `n` are entities; with more than half of them some surrogates must be real
+    every = [c + v for c in "BCDFGHJKLMNPQRSTVWXZ" for v in "aeiouy"]
+    make = pii.Surrogates(b"key")
+    for n, apart in ((58, True), (100, False)):
+        names = sorted(random.Random(n).sample(every, n))
+        known = spark.createDataFrame([("surname", x) for x in [*names, "Kowalska"]], "kind string, value string")
+        steps = {r["value"]: r["steps"] for r in pii.exceptions(known, b"key", 3).collect()}
+        out = [make.of("surname", x, steps.get(x, 1)) for x in names]
+        assert len(set(out)) == n and (not apart or not set(out) & set(names))
+
+
+def test_shapes():
+    for kind, text in (("surname", "Keller"), ("email", "jo.5@mail.example.com"), ("email", "jo@firm3.de"), ("card", "4111 1111 1111 1112"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("phone", "+1 (743) 555-3824"), ("ip", "13.149.130.89"), ("ssn", "123-45-6789"), ("secret", "24be6443" * 4)):
+        make = pii.Surrogates(b"key")
+        assert pii.shape(kind, text) == pii.shape(kind, make.of(kind, text)) == pii.shape(kind, make.of(kind, text, pii.WALK + 7))
