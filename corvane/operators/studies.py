@@ -80,14 +80,14 @@ def synthetic_subjects(studies: DataFrame, study: str, n: int, seed: int) -> Dat
     return rows.select("STUDYID", F.lit("DM").alias("DOMAIN"), subject.alias("USUBJID")).select("*", (hash_draw(F.col("USUBJID"), seed, 60) + 18).alias("AGE"), F.element_at(F.array(F.lit("F"), F.lit("M")), (hash_draw(F.col("USUBJID"), seed + 1, 2) + 1).cast("int")).alias("SEX"))
 
 
-def shape_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def shape_components(edges: DataFrame) -> DataFrame:
     """Components of small graphs (one per page): the smallest node label spreads over edges until nothing changes.
 
     edges: page, a, b. Each round halves no paths, so this is for pages, whose graphs are small; lineage is cut every round.
     """
     both = edges.select("page", "a", "b").unionByName(edges.select("page", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = both.select("page", "a").distinct().withColumn("label", F.col("a"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select("page", F.col("a").alias("b"), F.col("label").alias("other")), ["page", "b"]).groupBy("page", "a").agg(F.min("other").alias("other"))
         new = label.join(near, ["page", "a"], "left").select("page", "a", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved"))
         new = _cut(new)

@@ -361,7 +361,7 @@ def data_op2_error_capture(spark, sf_dir):
 
 @query(None)
 def jn12_agg20_ordered_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_orderkey") % 200).alias("doc"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("pos"), F.concat(F.lit("act "), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.concat(F.lit("visit "), F.col("l_linenumber").cast("string")).alias("visit"), (F.col("l_tax") * 10).alias("confidence"), F.col("l_returnflag").alias("source"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("doc"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("pos"), F.concat(F.lit("act "), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.concat(F.lit("visit "), F.col("l_linenumber").cast("string")).alias("visit"), (F.col("l_tax") * 10).alias("confidence"), F.col("l_returnflag").alias("source"))
     return M.exact_stream_merge(rows, "doc")
 
 
