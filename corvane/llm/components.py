@@ -1,4 +1,4 @@
-"""Connected components, and links within buckets of candidates without all pairs of a bucket."""
+"""Connected components, and components of candidates that meet in buckets, without all pairs of a bucket."""
 
 from __future__ import annotations
 
@@ -9,23 +9,18 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, store
 
-#: Rounds in which each member of a bucket is held against one pivot, before all that is left is compared.
-STAR_ROUNDS = 2
+#: Pivots of a bucket in each round; the last number holds for all further rounds.
+PIVOTS = (1, 1, 4, 16, 64)
 
 
-def connected(links: DataFrame, turns: int | None = None) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for every id in links (a, b), by alternating large and small stars.
 
-    A star step only groups by a node and joins the minimum back, so no neighbourhood is collected. With `turns` it ends
-    early: ids of one label are connected then, but a component may still have several labels.
+    A star step only groups by a node and joins the minimum back, so no neighbourhood is collected.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    sign, left = None, turns
+    sign = None
     while True:
-        if left == 0:
-            names = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-            return names.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        left = None if left is None else left - 1
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == sign or not now["n"]:  # nothing moved
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
@@ -38,61 +33,75 @@ def connected(links: DataFrame, turns: int | None = None) -> DataFrame:
         edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
 
 
-def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """id, component after more links (a, b). Links are first put on the components that are known, so one of many is enough."""
+    if labels is None:
+        return cut(connected(links))
+    for side in ("a", "b"):
+        known = labels.select(F.col("id").alias(side), F.col("component").alias("c"))
+        links = links.join(known, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    new = cut(connected(links.select("a", "b").distinct()))
+    moved = new.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return cut(old.unionByName(new.join(labels.select("id"), "id", "left_anti")))
+
+
+def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Adds `cid`: the component of `id`, or the id itself where it has none yet."""
-    if found is None:
+    if labels is None:
         return rows.withColumn("cid", F.col("id"))
-    return rows.join(found, "id", "left").withColumn("cid", F.coalesce("component", "id")).drop("component")
+    return rows.join(labels, "id", "left").withColumn("cid", F.coalesce("component", "id")).drop("component")
 
 
-def bucket_links(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS, quick: Callable[[Column, Column], Column] | None = None
-) -> DataFrame | None:
-    """Links whose components are those of all true links between members (key, id) of a bucket; an id may be in it twice.
+def shared(members: DataFrame) -> DataFrame:
+    """The members (key, id) of buckets that two or more are in, with the `degree` of each id: how many it meets, over all its buckets.
+
+    Keys are counted before the exchange, and members meet the counts by a join, which is split where a key is hot.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = store(members.join(sizes, "key"))
+    degree = rows.groupBy("id").agg(F.sum("size").alias("degree"))
+    return store(rows.drop("size").join(degree, "id"))
 
-    In a round every member is verified against one pivot of its buckets, and buckets that
-    lie in one component drop out. What is left after the rounds goes to `cross`, which gives the pairs (a, b) of different
-    components that may be linked, and all of these are verified. None if no bucket has two members.
 
-    With `quick` the members have `mark` and `weight` too: two marks that it refuses are no pair, so a bucket of two such is done, and
-    the member of the greatest weight is the first pivot.
+def bucket_components(
+    rows: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    quick: Callable[[Column, Column], Column] | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+    pivots: tuple[int, ...] = PIVOTS,
+) -> DataFrame | None:
+    """id, component by all true links between members of a bucket; None if there is no link. rows: key, id, degree, and `mark` with `quick`.
+
+    In a round each member is held against a few pivots of its buckets, those of the greatest degree, by `verify`, which gives
+    the true ones of pairs (id, pivot). Pivots then leave the bucket, since all their pairs are known, and so does every bucket
+    whose members lie in one component. Rounds go on until no bucket is left, or after the rounds of `pivots` `finish` makes
+    the pairs of all that is left. Pairs of marks that `quick` refuses are no links.
     """
-    links, found, tried = None, None, None
-    columns = ["key", "id"] + (["mark", "weight"] if quick else [])
-    rows = members.select(*columns)
-    bucket = Window.partitionBy("key")
-    for turn in range(star_rounds + 1):
-        first = [(-F.col("weight")).alias("w")] if quick and not turn else []
-        pivot = F.min(F.struct(*first, F.xxhash64(F.lit(turn), "id").alias("h"), "id", "cid", *columns[2:])).over(bucket)
-        rows = with_component(rows.select(*columns), found).select(*columns, "cid", F.min("cid").over(bucket).alias("low"), F.max("cid").over(bucket).alias("high"), pivot.alias("p")).where("low != high")
-        near = F.col("cid") != F.col("p.cid")
-        if quick:
-            rows = rows.withColumn("near", near & quick(F.col("mark"), F.col("p.mark")))
-            rows = rows.withColumn("any", F.max("near").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("any OR size > 2")
-        else:
-            rows = rows.withColumn("near", near)
-        rows = store(rows.select(*columns, "cid", "near", F.col("p.id").alias("pivot")))
-        if rows.isEmpty():
-            break
-        if turn < star_rounds:
-            pairs = rows.where("near").groupBy("id").agg(F.mode("pivot").alias("pivot"))
-            pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    labels, turn = None, 0
+    columns = ["key", "id", "degree"] + (["mark"] if quick else [])
+    rows = rows.select(*columns)
+    while True:
+        now = with_component(rows, labels)
+        open_ = now.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key")
+        now = store(now.join(open_, "key", "left_semi"))
+        if now.isEmpty():
+            return labels
+        last = finish is not None and turn >= len(pivots)
+        if last:
+            pairs = finish(now)
         else:
-            pairs = cross(rows.select(*columns, "cid")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(verify(pairs).select("a", "b"))
-        if new.isEmpty():
-            continue
-        if turn == star_rounds and found is not None:
-            # of two components one link is enough
-            for side in ("a", "b"):
-                new = new.join(found.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-            new = cut(new.select("a", "b").distinct())
-        links = new if links is None else links.unionByName(new)
-        if turn < star_rounds:
-            # labels may be unfinished between the rounds, but not before all that is left is compared
-            found = cut(connected(links, None if turn == star_rounds - 1 else 1))
-    return links
+            order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64(F.lit(turn), "id"), "id")
+            chosen = [F.col("id").alias("pivot"), F.col("cid").alias("pivot_cid")] + ([F.col("mark").alias("pivot_mark")] if quick else [])
+            first = cut(now.select("key", *chosen, F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)]).drop("rank"))
+            pairs = now.join(first, "key").where("cid != pivot_cid")
+            if quick:
+                pairs = pairs.where(quick(F.col("mark"), F.col("pivot_mark")))
+            pairs = pairs.select("id", "pivot")
+        links = cut(verify(cut(pairs.distinct())).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        if not links.isEmpty():
+            labels = merged(labels, links)
+        if last:
+            return labels
+        rows = now.join(first.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select(*columns)
+        turn += 1

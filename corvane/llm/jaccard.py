@@ -5,11 +5,13 @@ d = (1 - t) / (1 + t) * (|A| + |B|) shingles, and each of these spoils one group
 agree in full. Documents are bucketed by whole groups: of its groups, ordered by the number of their shingles and
 then by hash, a document needs only the first d + 1 as keys. Within buckets the documents' group counts are points
 of an R-tree; the sum of coordinate minima bounds the overlap, against a box or a point, and pairs that
-survive are verified on their sets. Buckets that are known to be one component are not searched again.
+survive are verified on their sets. Before that, rounds of pivots find most components, so that few buckets are left to trees.
 
 Null texts, and texts without words, have no shingles and link with nothing. Texts with fewer words than a shingle
 are one shingle. Documents with equal sets are one class, whose smallest id stands for all. Rows with a null id have
-n_shingles and no component. Clashing column names do not matter, since only the id and the text are read.
+n_shingles and no component. Rows that repeat an id are documents of their own, whose results may differ if their texts do; the id is
+in every component that one of them is in. An empty table gives no rows. Texts may be of any length: a chunk holds one long text alone.
+Clashing column names do not matter, since only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, mix, powers, semi_by_size, whole_groups, word_table
-from corvane.llm.components import bucket_links, connected
+from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, join_by_size, mix, powers, semi_by_size, store, whole_groups, word_table
+from corvane.llm.components import bucket_components, shared
 
 SHINGLE = 5
 SPACE = word_table("space")
@@ -34,7 +36,9 @@ SMALL = 15
 TILE, LEAF = 2048, 32
 #: Buckets of so few points are compared without a tree.
 FEW = 8
-#: Bits of a shingle that sets are verified on: two of a pair's shingles agree by chance once in 2 ** 48.
+#: Rounds of pivots before the trees.
+PIVOTS = (1, 1, 1, 2)
+#: Bytes of a shingle that sets are verified on: two of a pair's shingles agree by chance once in 2 ** 48.
 SET_BYTES = 6
 
 
@@ -80,7 +84,7 @@ def keys_of(h: np.ndarray, t: float, salt: int) -> tuple[list[np.ndarray], bool]
     n, out, ok = len(h), [], True
     need = int(differing(n, t)) + 1
     for c in classes(n, t):
-        seed = np.uint64((c << 8) + salt + 1) * np.uint64(0x9E3779B97F4A7C15)
+        seed = np.uint64(((c << 8) + salt + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         if n <= SMALL and c <= SMALL.bit_length():
             out.append(np.sort(mix(h ^ seed))[:need])
             continue
@@ -97,42 +101,38 @@ def keys_of(h: np.ndarray, t: float, salt: int) -> tuple[list[np.ndarray], bool]
     return out, bool(ok)
 
 
-def summaries(docs: DataFrame, k: int, t: float, id_col: str, text_col: str) -> DataFrame:
-    """id, n, two signatures of the set, and whether its groups fail."""
+def keyed(docs: DataFrame, k: int, t: float, id_col: str, text_col: str, salt: int = 0) -> DataFrame:
+    """id, n, two signatures of the set, whether its groups fail, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             h, at = sets(batch.column("text"), k)
-            n = np.diff(at)
-            one, two = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (11, 12))
-            weak = [bool(m) and not keys_of(h[a:b], t, 0)[1] for a, b, m in zip(at[:-1], at[1:], n > SMALL)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *(pa.array((x[at[1:]] - x[at[:-1]]).view(np.int64)) for x in (one, two)), pa.array(weak, pa.bool_())], ["id", "n", "s1", "s2", "weak"])
+            keys, weak = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, bool)
+            count = np.zeros(batch.num_rows + 1, np.int64)
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                if b > a:
+                    parts, ok = keys_of(h[a:b], t, salt)
+                    keys += parts
+                    count[i + 1] = sum(map(len, parts))
+                    weak[i] = b - a > SMALL and not ok
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            one, two = signatures(h, at)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(one), pa.array(two), pa.array(weak), lists], ["id", "n", "s1", "s2", "weak", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, weak boolean")
-
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, weak boolean, keys array<long>")
 
-def bucket_members(docs: DataFrame, k: int, t: float, salt: int) -> DataFrame:
-    """key, id of documents (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            h, at = sets(batch.column("text"), k)
-            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                if b > a:
-                    for part in keys_of(h[a:b], t, salt)[0]:
-                        keys.append(part)
-                        owner.append(np.full(len(part), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("id").take(pa.array(np.concatenate(owner)))], ["key", "id"])
 
-    return docs.mapInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}")
+def signatures(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two independent sums of hashes of each set."""
+    sums = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (11, 12))
+    return [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
 
 
 def point_bytes(h: np.ndarray) -> bytes:
     """Group counts in the narrowest whole numbers that hold them."""
-    counts = np.bincount((h % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    counts = np.bincount((h >> np.uint64(64 - 8 * SET_BYTES)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
+    return counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint32).tobytes()
 
 
 def point_of(raw: bytes) -> np.ndarray:
@@ -150,25 +150,23 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
-def points(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
-    """id, n and the set of a document, or its group counts as a point."""
+def set_rows(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """node and set of the wanted rows (node, id, n, s1, s2) of docs (id, text), written as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             h, at = sets(batch.column("text"), k)
-            parts = [h[a:b] for a, b in zip(at[:-1], at[1:])]
-            rows = [packed(p) if with_sets else point_bytes(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(rows, pa.binary())], ["id", "n", "data"])
+            one, two = signatures(h, at)
+            rows = [packed(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(one), pa.array(two), pa.array(rows, pa.binary())], ["id", "s1", "s2", "data"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, data binary")
+    found = semi_by_size(docs, wanted.select("id").distinct(), ["id"]).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, s1 long, s2 long, data binary")
+    return store(join_by_size(found, wanted.select("node", "id", "s1", "s2"), ["id", "s1", "s2"], "inner").select("node", "data").dropDuplicates(["node"]))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, t: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    of = points(semi_by_size(docs, ids, ["id"]), k, True)
-    both = pairs.join(of.select(F.col("id").alias("b"), F.col("data").alias("set_b")), "b").join(of.select(F.col("id").alias("a"), F.col("data").alias("set_a")), "a")
-    kind = pairs.schema["a"].dataType.simpleString()
+def verified(pairs: DataFrame, of: DataFrame, t: float) -> DataFrame:
+    """The pairs (id, pivot) whose sets reach the threshold. The pivots' sets are joined last, since one may have many pairs."""
+    both = pairs.join(of.select(F.col("node").alias("id"), F.col("data").alias("set_a")), "id").join(of.select(F.col("node").alias("pivot"), F.col("data").alias("set_b")), "pivot")
     # exact in whole numbers: t is taken as a percentage
     percent = round(t * 100)
 
@@ -177,11 +175,15 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: float) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = unpacked(x.as_py()), unpacked(y.as_py())
+                # the smaller over the larger bounds the similarity
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["id", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("id", "pivot", "set_a", "set_b").mapInArrow(run, "id long, pivot long")
 
 
 def bound(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -220,17 +222,21 @@ class Tree:
         return self.order[at[ok]]
 
 
-def tree_pairs(docs: DataFrame, members: DataFrame, k: int, t: float) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that the count bound lets through.
+def tree_pairs(members: DataFrame, of: DataFrame, t: float) -> DataFrame:
+    """Pairs (id, pivot) of different components in a bucket that the count bound lets through.
 
     Large buckets are cut into tiles; each pair of tiles is one piece of work.
     """
-    of = points(semi_by_size(docs, members.select("id").distinct(), ["id"]), k, False)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([point_bytes(unpacked(x.as_py())) for x in batch.column("data")], pa.binary())], ["id", "data"])
+
+    points = of.mapInArrow(counted, "id long, data binary")
     tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     rows = members.join(tiles, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("id", "cid", "key", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")).join(of, "id")
-    kind = members.schema["id"].dataType.simpleString()
+    rows = rows.select("id", "cid", "key", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")).join(points, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["key", "p", "q"]):
@@ -256,24 +262,30 @@ def tree_pairs(docs: DataFrame, members: DataFrame, k: int, t: float) -> DataFra
                         hit = hit[cid[hit] != cid[i]]
                         out.append((np.full(len(hit), ids[i]), ids[hit]))
             a, b = (np.concatenate([x[j] for x in out]) if out else ids[:0] for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id", "pivot"])
 
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "id long, pivot long")
 
 
 def components(docs: DataFrame, k: int = SHINGLE, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that is reachable by links, the own id included."""
-    known = cut(summaries(docs, k, threshold, id_col, text_col))
-    classes_of = known.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    reps = cut(classes_of)
+    known = store(keyed(docs, k, threshold, id_col, text_col).withColumn("node", F.monotonically_increasing_id()))
+    # a class of equal sets is one node: the row of its smallest id
+    found = store(known.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "node")).alias("first")).select("n", "s1", "s2", "first.id", "first.node"))
+    one = known.join(found.select("node"), "node", "left_semi")
+    members = one.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    chosen = semi_by_size(texts, reps.select(F.col("rep").alias("id")), ["id"])
-    members = bucket_members(chosen, k, threshold, 0)
     if not known.where("weak").isEmpty():
         # a set whose groups fall together too often gets a second hashing, and so do all that it may meet
-        members = members.unionByName(bucket_members(chosen, k, threshold, 1))
-    links = bucket_links(members, lambda pairs: verified(texts, pairs, k, threshold), lambda rows: tree_pairs(texts, rows, k, threshold))
-    rep = known.join(reps, ["n", "s1", "s2"], "left") if links is None else known.join(reps.join(connected(links).withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("rep")), ["n", "s1", "s2"], "left")
+        again = keyed(texts, k, threshold, "id", "text", 1).join(found.select("id", "s1", "s2", "node"), ["id", "s1", "s2"])
+        members = members.unionByName(again.dropDuplicates(["node"]).select(F.col("node").alias("id"), F.explode("keys").alias("key")))
+    rows = shared(members)
+    of = set_rows(texts, k, found.join(rows.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    labels = bucket_components(rows, lambda pairs: verified(pairs, of, threshold), finish=lambda left: tree_pairs(left, of, threshold), pivots=PIVOTS)
+    if labels is not None:
+        named = found.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("n", "s1", "s2", F.col("least").alias("id"))
+    rep = known.select("id", "n", "s1", "s2").join(found.select("n", "s1", "s2", F.col("id").alias("rep")), ["n", "s1", "s2"], "left")
     return rep.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("component_id"))
 
 
