@@ -1,13 +1,15 @@
 """Byte-level BPE by a prefix-sharing trie.
 
 Distinct words go into a byte trie. A node stands for a byte prefix, and the encoding of a prefix is
-that of a shorter prefix followed by one last token. So a node keeps only its last token: the longest
+that of a shorter prefix followed by one last token. So a node needs only its last token: the longest
 vocabulary token that ends there and that joins validly to the last token of the node where it starts.
-The traversal is depth first, and a prefix that many words share is worked out once. A word's ids are
-read by walking its last tokens back to the root.
+The traversal is depth first over the sorted words, so only the nodes from the root to the current one are held: a word goes
+on from the prefix that it shares with the word before, and a shared prefix is worked out once. A word's ids are read by
+walking its last tokens back to the root. Of equal ranks the left pair is merged first.
 
-Null texts are empty: no ids, the digest of the empty string. Repeated rows give repeated results, and
-other columns of the input are kept by `encode` but its own output names win over clashing ones.
+Null and empty texts have no ids and the digest of the empty string. Repeated rows give repeated results, an empty table gives
+no rows. Texts of any length are encoded whole; a chunk holds one long text alone. Only the id and the text are read, so other
+columns do not matter; the results are the id and the columns that each function names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks
+from corvane.llm.common import CHUNK_BYTES, chunks, mapped
 
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a worker remembers before it starts its trie anew.
-MEMORY_WORDS = 400_000
+#: Bytes of words and ids that a worker remembers before it starts anew, and pairs of tokens whose borders it remembers.
+MEMORY_BYTES, MEMORY_PAIRS = 48 << 20, 200_000
+#: Python's cost of a remembered word besides its letters and ids.
+WORD_BYTES = 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,8 +61,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.of |= {i: t.encode() for t, i in self.special.items()}
         self.longest = max(map(len, self.ids))
-        self._right = lru_cache(1 << 16)(self._chain_right)
-        self._left = lru_cache(1 << 16)(self._chain_left)
+        self._right = lru_cache(1 << 13)(self._chain_right)
+        self._left = lru_cache(1 << 13)(self._chain_left)
         # A token that its own merges never build is no last token.
         self.ends = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
         self.numerals = {i: str(i) for i in self.of}
@@ -120,62 +124,67 @@ class Vocabulary:
 
 
 class Trie:
-    """Words' prefixes with the last token of each; node 0 is the root."""
+    """The trie of words, of which the path from the root to one node is held: the last token of each, and where that starts."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.next: dict[int, int] = {}  # node * 256 + byte to node
-        self.last = [-1]
-        self.back = [0]
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    def _state(self, word: bytes, path: list[int], end: int) -> tuple[int, int]:
-        v, get = self.v, self.v.ends.get
-        for start in range(max(0, end - v.longest), end):
+    def _state(self, word: bytes, last: list[int], end: int) -> tuple[int, int]:
+        v, get, pairs = self.v, self.v.ends.get, self.pairs
+        token = get(word[:end])
+        if token is not None:
+            return token, 0
+        for start in range(max(1, end - v.longest), end):
             token = get(word[start:end])
             if token is None:
                 continue
-            before = self.last[path[start]]
-            if start == 0:
-                return token, path[0]
-            ok = self.pairs.get((before, token))
+            pair = last[start], token
+            ok = pairs.get(pair)
             if ok is None:
-                ok = self.pairs[before, token] = v.joins(before, token)
+                if len(pairs) >= MEMORY_PAIRS:
+                    pairs.clear()
+                ok = pairs[pair] = v.joins(*pair)
             if ok:
-                return token, path[start]
+                return token, start
         raise ValueError("a byte has no token")
 
-    def add(self, words: list[bytes]) -> list[list[int]]:
-        """Encodings of words. Sorted insertion visits the trie depth first."""
-        out: dict[bytes, list[int]] = {}
-        for word in sorted(set(words)):
-            path = [0]
-            for end, byte in enumerate(word, 1):
-                node = self.next.get(path[-1] * 256 + byte)
-                if node is None:
-                    token, back = self._state(word, path, end)
-                    node = len(self.last)
-                    self.last.append(token)
-                    self.back.append(back)
-                    self.next[path[-1] * 256 + byte] = node
-                path.append(node)
-            ids, node = [], path[-1]
+    def encode(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Encodings of distinct sorted words: the traversal is depth first."""
+        last, back, before = [-1], [0], b""
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], back[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                token, start = self._state(word, last, end)
+                last.append(token)
+                back.append(start)
+            ids, node = [], len(word)
             while node:
-                ids.append(self.last[node])
-                node = self.back[node]
-            out[word] = ids[::-1]
-        return [out[w] for w in words]
+                ids.append(last[node])
+                node = back[node]
+            before = word
+            yield ids[::-1]
+
+
+@lru_cache(1)
+def vocabulary(text: str) -> Vocabulary:
+    """A worker keeps the vocabulary, whose size is fixed, between tasks."""
+    return Vocabulary(text)
 
 
 class Encoder:
     """Texts to ids and back, with a memory of words."""
 
     def __init__(self, text: str):
-        self.v = Vocabulary(text)
+        self.v = vocabulary(text)
         self.find = regex.compile(WORD_PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split if self.v.special else None
         self.trie = Trie(self.v)
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str | int]:
         if self.split is None or not any(s in text for s in self.v.special):
@@ -188,26 +197,27 @@ class Encoder:
                 out += self.find(piece)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put a chunk's new words into the trie together, so shared prefixes are worked out once."""
-        if len(self.known) > MEMORY_WORDS:
-            self.known, self.trie = {}, Trie(self.v)
-        new = [w for w in words if w not in self.known and not isinstance(w, int)]
-        for w, ids in zip(new, self.trie.add([w.encode() for w in new])):
+    def learn(self, words: set[str | int]) -> None:
+        """A chunk's new words go through the trie together, so shared prefixes are worked out once."""
+        if self.held > MEMORY_BYTES:
+            self.known, self.held = {}, 0
+        new = sorted((w.encode(), w) for w in words if isinstance(w, str) and w not in self.known)
+        for (raw, w), ids in zip(new, self.trie.encode([raw for raw, _ in new])):
             self.known[w] = ids
+            self.held += WORD_BYTES + len(raw) + 8 * len(ids)
 
     def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
         parts = [self.words(t) for t in texts]
-        self.known.update({w: [w] for p in parts for w in p if isinstance(w, int)})
         # a chunk's words are all learnt after the memory was last cleared
-        wanted = set().union(*parts) if parts else set()
-        self.learn(wanted)
-        self.known.update({w: [w] for w in wanted if isinstance(w, int)})
+        self.learn(set().union(*parts))
         known = self.known
         for p in parts:
             ids: list[int] = []
             for w in p:
-                ids += known[w]
+                if isinstance(w, int):
+                    ids.append(w)
+                else:
+                    ids += known[w]
             yield ids
 
     def decode(self, ids: list[int]) -> str:
@@ -215,18 +225,6 @@ class Encoder:
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Encoder] = {}
-
-
-def encoder(spec: str) -> Encoder:
-    """A worker keeps its encoder between tasks."""
-    key = hashlib.sha1(spec.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Encoder(spec)
-    return _loaded[key]
-
-
 def default_path() -> str:
     """Place of the public tokenizer file: PUBLIC_TOKENIZER, else the installed package's."""
     if path := os.environ.get("PUBLIC_TOKENIZER"):
@@ -258,10 +256,11 @@ def _run(docs: DataFrame, path: str | None, id_col: str, text_col: str, schema:
     types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value)
-        for batch in chunks(batches, "text"):
+        # made anew for each task, so that a worker keeps no words between tasks
+        enc = Encoder(spec.value)
+        for batch in chunks(batches, "text", CHUNK_BYTES // 2):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = [row(ids, enc.decode(ids), enc.v.numerals) for ids in enc.encode_many(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows)))], [id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, {schema}")
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {kind}, {schema}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +16,28 @@ BROADCAST_ROWS = 400_000
 #: Text bytes that one vectorised step works on, so that its arrays stay small.
 CHUNK_BYTES = 1 << 21
 
+#: Bytes of a batch of whole texts on its way to Python, in both the executor's and the worker's memory.
+BATCH_BYTES = 8 << 20
+
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the folder of spark.checkpoint.dir, which all executors share.
-
-    Only where the session names no such folder (tests on one machine) is a temporary one set.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only on one machine, where none is named, is a temporary one set; on a cluster that raises."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the folder of spark.checkpoint.dir, which all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -53,6 +61,15 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow of rows with whole texts, whose batches are kept small for the rest of the session: rows may be long."""
+    conf = df.sparkSession.conf
+    at = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(at).rstrip("b")) <= BATCH_BYTES:
+        conf.set(at, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slice batches by rows so that the text of a slice is about `limit` bytes; a longer text stands alone."""
     for batch in batches:
@@ -177,10 +194,6 @@ class Words:
 
 def store(df: DataFrame) -> DataFrame:
     """Write a larger intermediate result as a Parquet table in the shared folder and read it back."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

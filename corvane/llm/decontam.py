@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, chunks, word_table
+from corvane.llm.common import Words, chunks, mapped, word_table
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 16 << 20
 ALNUM = word_table("alnum")
+#: What is said of a document.
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Words of a suffix that its sort key holds, 16 bits of hash each.
 KEY_WORDS = 4
 
@@ -132,16 +134,22 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
                 if keep:
                     yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(text[keep])), pa.array(first[keep]), pa.array(length[keep]), pa.array([tests.ids[i] for i in item[keep]]), pa.array(item_first[keep])], [id_col, "first_word", "n_match", "item_id", "item_word"])
 
-        found = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, first_word long, n_match long, item_id {item_kind}, item_word long")
+        found = mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {kind}, first_word long, n_match long, item_id {item_kind}, item_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and the columns named in `keep`.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Contaminated: it has hit words, and they are a twentieth of its words or more.
     """
+    found = _contamination(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, ())
+    return found.select(id_col, *(F.col(f"__{c}").alias(c) for c in RESULTS))
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text: str, block_bytes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The id and the columns named in `keep`, and RESULTS with two underscores before their names."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("n")).first()["n"]
     if size > block_bytes:
         return _by_passes(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, keep)
@@ -167,10 +175,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(n), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n))],
-                [*kept, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [*kept, *(f"__{c}" for c in RESULTS)],
             )
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(docs.select(*kept, F.col(text_col).alias("__text")), run, f"{fields}, __n_words long, __n_hit long, __n_items long, __items_sha256 string, __contaminated boolean")
 
 
 def _by_passes(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text: str, block_bytes: int, keep: tuple[str, ...]) -> DataFrame:
@@ -180,21 +188,21 @@ def _by_passes(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str,
     rows = docs.select(*kept, text.alias("__text"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("__key"))
     spans = locate(rows.select("__key", "__text"), benchmark, window, "__key", "__text", item_col, item_text, block_bytes)
     merged = F.aggregate(
-        F.array_sort("spans"),
+        F.array_sort("__spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(a["end"], s["a"]))).alias("n"), F.greatest(a["end"], s["b"]).alias("end")),
     )["n"]
     found = spans.groupBy("__key").agg(
-        F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_match")).alias("b"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")
+        F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_match")).alias("b"))).alias("__spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("__items")
     )
     n_words = F.size(F.filter(F.split(F.coalesce(F.col("__text"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
     out = rows.join(found, "__key", "left").select(
-        *kept, n_words.alias("n_words"), F.coalesce(merged, F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256")
+        *kept, n_words.alias("__n_words"), F.coalesce(merged, F.lit(0)).alias("__n_hit"), F.coalesce(F.size("__items"), F.lit(0)).cast("long").alias("__n_items"), F.sha2(F.coalesce(F.array_join("__items", ","), F.lit("")).cast("binary"), 256).alias("__items_sha256")
     )
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    found = contamination(docs, benchmark, keep=tuple(docs.columns), **options)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = _contamination(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, tuple(docs.columns))
+    return found.where(~F.col("__contaminated")).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, join_by_size, mix, powers, semi_by_size, store, whole_groups, word_table
+from corvane.llm.common import BROADCAST_ROWS, Words, chunks, cut, join_by_size, mapped, mix, powers, semi_by_size, store, whole_groups, word_table
 from corvane.llm.components import bucket_components, shared
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ TILE, LEAF = 2048, 32
 #: Buckets of so few points are compared without a tree.
 FEW = 8
 #: Rounds of pivots before the trees.
-PIVOTS = (1, 1, 1, 2)
+PIVOTS = (1, 1)
 #: Bytes of a shingle that sets are verified on: two of a pair's shingles agree by chance once in 2 ** 48.
 SET_BYTES = 6
 
@@ -120,7 +120,7 @@ def keyed(docs: DataFrame, k: int, t: float, id_col: str, text_col: str, salt: i
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(one), pa.array(two), pa.array(weak), lists], ["id", "n", "s1", "s2", "weak", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, weak boolean, keys array<long>")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n long, s1 long, s2 long, weak boolean, keys array<long>")
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def set_rows(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
             rows = [packed(h[a:b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(one), pa.array(two), pa.array(rows, pa.binary())], ["id", "s1", "s2", "data"])
 
-    found = semi_by_size(docs, wanted.select("id").distinct(), ["id"]).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, s1 long, s2 long, data binary")
+    found = mapped(semi_by_size(docs, wanted.select("id").distinct(), ["id"]), run, f"id {docs.schema['id'].dataType.simpleString()}, s1 long, s2 long, data binary")
     return store(join_by_size(found, wanted.select("node", "id", "s1", "s2"), ["id", "s1", "s2"], "inner").select("node", "data").dropDuplicates(["node"]))
 
 
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, of: DataFrame, t: float) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["id", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("id", "pivot", "set_a", "set_b").mapInArrow(run, "id long, pivot long")
+    return mapped(both.select("id", "pivot", "set_a", "set_b"), run, "id long, pivot long")
 
 
 def bound(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:

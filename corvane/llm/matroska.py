@@ -6,8 +6,9 @@ The parser reads variable-length ids and sizes (unknown sizes too), clusters, Bl
 SimpleBlocks with no, Xiph, EBML or fixed lacing, and cues.
 
 Null payloads are empty; an empty payload is stored as one frame of padding. A null or damaged media
-value gives no packets, and `info.error` says why. Repeated rows give repeated results, and other columns of
-the input do not matter.
+value gives no packets, and `info.error` says why. Repeated rows give repeated results, an empty table gives no rows, and
+other columns of the input do not matter, whatever their names. Payloads of any length are stored whole, in as many clusters as they
+take; a chunk holds one long payload alone.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks
+from corvane.llm.common import chunks, mapped
 
 FRAME = 576
 FRAME_MS = 10
+#: Bytes at the end of a payload that get a checksum of their own.
+TAIL = 32
 BLOCK_FRAMES = 8
 CLUSTER_BLOCKS = 16
 PAD = 255
@@ -274,7 +277,7 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing:
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(map(len, raw), pa.int64()), pa.array((write(padded(r), lacing) for r in raw), pa.binary())], [id_col, "n_bytes", "media"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
+    return mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {kind}, n_bytes long, media binary")
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -295,7 +298,7 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 types = [batch.schema.field(id_col).type, pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return media.select(F.col(id_col), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    return mapped(media.select(F.col(id_col), F.col(media_col).alias("media")), run, schema)
 
 
 def feature(payload: bytes, m: Media) -> str:
@@ -319,8 +322,8 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 if m.error:
                     raise ValueError(m.error)
                 p = payload_of(data, m)
-                rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(p, m)))
+                rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), feature(p, m)))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(media.select(id_col, "n_bytes", "media"), run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

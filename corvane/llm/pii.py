@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, chunks, cut
+from corvane.llm.common import BROADCAST_ROWS, chunks, cut, mapped
 
 # Given names by gender and script.
 GIVEN = {
@@ -273,7 +273,7 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 at, begin, end, kinds, values = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(kinds), pa.array(values)], [id_col, "begin", "end", "kind", "value"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, begin long, end long, kind string, value string")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"{id_col} {kind}, begin long, end long, kind string, value string")
 
 
 #: Given names share a short list, so two people may swap names; their surnames tell them apart.
@@ -360,4 +360,4 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
                 counts.append(len(spans))
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, batch.schema.field(c).type) if c == text_col else batch.column(c) for c in columns), pa.array(counts, pa.int64())], [*columns, "n_entities"])
 
-    return rows.select(*columns, "__steps").mapInArrow(run, f"{fields}, n_entities long")
+    return mapped(rows.select(*columns, "__steps"), run, f"{fields}, n_entities long")

@@ -2,11 +2,15 @@
 
 Each whole text becomes a short vector of statistics. Cosines of random projections approximate a Gaussian
 kernel over them. Partitions sum their normal equations, the driver adds a few partial sums and solves
-one system whose size is a parameter. Scores are calibrated by isotonic regression over a fixed number of bins.
+one system whose size is a parameter. Scores are calibrated by isotonic regression over a fixed number of bins, on rows that
+the weights were not fitted on: each of two folds is scored by the weights of the other. The final weights are those of both.
+Calibrated values run straight between the middles of the regression's steps, so that few scores tie.
 
 Null and empty texts have zero statistics and are scored like any other. Without labelled rows every score is
 0.5; with labels of one kind it is that kind. Several labels of one id count as their mean, null labels and
-null ids as none. Repeated rows give repeated results; clashing columns do not matter, since only the named ones are read.
+null ids as none. Repeated rows give repeated results, equal texts equal scores; an empty table gives no rows. Texts of any length are
+read whole; a chunk holds one long text alone. Columns that are kept may have any names but those of the results; `keep_good` keeps them
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, chunks, cut, text_bytes, word_table
+from corvane.llm.common import Words, chunks, cut, mapped, text_bytes, word_table
 
 #: Cosine features.
 N_COSINES = 160
@@ -91,7 +95,7 @@ def statistics(values: pa.Array) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, stats array<double>, and the columns named in `keep`."""
+    """id, __stats array<double>, and the columns named in `keep`."""
     kept = list(dict.fromkeys((id_col, *keep)))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
@@ -99,9 +103,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         for batch in chunks(batches, "__text"):
             x = statistics(batch.column("__text"))
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), stats], [*kept, "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), stats], [*kept, "__stats"])
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, stats array<double>")
+    return mapped(docs.select(*kept, F.col(text_col).alias("__text")), run, f"{fields}, `__stats` array<double>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -126,8 +130,8 @@ class Model:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.column_stack([np.cos(z @ w + b) * np.sqrt(2 / N_COSINES), np.ones(len(x))])
 
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        raw = self.cosines(x) @ self.weights
+    def bins(self, x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        raw = self.cosines(x) @ (self.weights if weights is None else weights)
         return np.clip(np.floor((raw + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int64)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -135,24 +139,51 @@ class Model:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column("stats").flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(NAMES)))
+    return np.asarray(batch.column("__stats").flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(NAMES)))
 
 
-def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators."""
-    blocks: list[list[float]] = []
+def isotonic(value: np.ndarray, weight: np.ndarray) -> list[tuple[float, float, int]]:
+    """Steps (value, weight, points) of the least-squares rising fit, by pooling adjacent violators."""
+    blocks: list[tuple[float, float, int]] = []
     for v, w in zip(value, weight):
-        blocks.append([v, w, 1])
+        blocks.append((v, w, 1))
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b, a = blocks.pop(), blocks.pop()
-            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
+            (va, wa, na), (vb, wb, nb) = blocks[-2:]
+            blocks[-2:] = [((va * wa + vb * wb) / (wa + wb), wa + wb, na + nb)]
+    return blocks
+
+
+def calibration(at: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A value for each bin, from the bins that have rows, their counts and sums of labels.
+
+    A step's value has one more row, of the mean label; values run straight between the steps' middles.
+    """
+    mean, first, middle, value = y.sum() / n.sum(), 0, [], []
+    for v, w, points in isotonic(y / n, n):
+        own = slice(first, first + points)
+        middle.append((at[own] * n[own]).sum() / w)
+        value.append((v * w + mean) / (w + 1))
+        first += points
+    return np.clip(np.interp(np.arange(BINS), middle, np.maximum.accumulate(value)), 0, 1)
+
+
+def solve(sums: np.ndarray, n: int) -> np.ndarray:
+    """Ridge weights of summed normal equations: the upper triangle of the matrix, then the right side."""
+    size = N_COSINES + 1
+    upper = np.triu_indices(size)
+    a = np.zeros((size, size))
+    a[upper] = sums[: len(upper[0])]
+    a = a + np.triu(a, 1).T
+    penalty = np.full(size, RIDGE * n / size)
+    penalty[-1] = 0
+    return np.linalg.solve(a + np.diag(penalty + 1e-9), sums[len(upper[0]) :])
 
 
 def fit(train: DataFrame) -> Model:
-    """A model of rows with stats and y (0 to 1)."""
+    """A model of rows with __stats, y (0 to 1) and fold (0 or 1)."""
     d = len(NAMES)
-    row = train.agg(F.count("y").alias("n"), F.avg("y").alias("y"), *(F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(d))).first()
+    stat = F.col("__stats")
+    row = train.agg(F.count("y").alias("n"), F.sum("fold").alias("ones"), F.avg("y").alias("y"), *(F.avg(stat[i]).alias(f"m{i}") for i in range(d)), *(F.stddev_pop(stat[i]).alias(f"s{i}") for i in range(d))).first()
     if not row["n"]:
         return Model(np.zeros(d), np.ones(d))
     scale = np.array([row[f"s{i}"] for i in range(d)])
@@ -161,57 +192,61 @@ def fit(train: DataFrame) -> Model:
         return model
     size = N_COSINES + 1
     upper = np.triu_indices(size)
+    width = len(upper[0]) + size
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, c = np.zeros((size, size)), np.zeros(size)
+        out = np.zeros((2, width))
         for batch in batches:
-            z, y = model.cosines(_matrix(batch)), np.asarray(batch.column("y"), float)
-            a, c = a + z.T @ z, c + z.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS]), pa.array([np.concatenate([a[upper], c]).tobytes()])], ["slot", "sums"])
+            z, y, fold = model.cosines(_matrix(batch)), np.asarray(batch.column("y"), float), np.asarray(batch.column("fold"))
+            for f in (0, 1):
+                zf = z[fold == f]
+                out[f] += np.concatenate([(zf.T @ zf)[upper], zf.T @ y[fold == f]])
+        slot = TaskContext.get().partitionId() % SLOTS
+        yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([out.tobytes()])], ["slot", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(upper[0]) + size)
+        out = np.zeros(2 * width)
         for batch in batches:
             for b in batch.column("sums").to_pylist():
                 out += np.frombuffer(b)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
 
-    parts = train.select("stats", "y").mapInArrow(partial, "slot long, sums binary").repartition(SLOTS, "slot").select("sums").mapInArrow(total, "sums binary")
-    sums = np.zeros(len(upper[0]) + size)
+    parts = train.select("__stats", "y", "fold").mapInArrow(partial, "slot long, sums binary").repartition(SLOTS, "slot").select("sums").mapInArrow(total, "sums binary")
+    sums = np.zeros(2 * width)
     for r in parts.toLocalIterator():
         sums += np.frombuffer(r["sums"])
-    a = np.zeros((size, size))
-    a[upper] = sums[: len(upper[0])]
-    a = a + np.triu(a, 1).T
-    penalty = np.full(size, RIDGE * row["n"] / size)
-    penalty[-1] = 0
-    model.weights = np.linalg.solve(a + np.diag(penalty + 1e-9), sums[len(upper[0]) :])
+    sums = sums.reshape(2, width)
+    model.weights = solve(sums.sum(axis=0), row["n"])
+    # the weights that score a fold are those of the other; a fold alone has the only ones there are
+    other = [solve(sums[1 - f], n) if n else model.weights for f, n in enumerate((row["ones"], row["n"] - row["ones"]))]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, y = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
-            b = model.bins(_matrix(batch))
-            n += np.bincount(b, minlength=BINS)
-            y += np.bincount(b, np.asarray(batch.column("y"), float), minlength=BINS)
+            x, label, fold = _matrix(batch), np.asarray(batch.column("y"), float), np.asarray(batch.column("fold"))
+            for f in (0, 1):
+                b = model.bins(x[fold == f], other[f])
+                n += np.bincount(b, minlength=BINS)
+                y += np.bincount(b, label[fold == f], minlength=BINS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(y[at])], ["bin", "n", "y"])
 
-    rows = train.select("stats", "y").mapInArrow(binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
-    at, n, y = (np.array([r[k] for r in rows], float) for k in ("bin", "n", "y"))
-    model.steps = np.clip(np.interp(np.arange(BINS), at, isotonic(y / n, n)), 0, 1)
+    rows = train.select("__stats", "y", "fold").mapInArrow(binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    model.steps = calibration(*(np.array([r[k] for r in rows], float) for k in ("bin", "n", "y")))
     return model
 
 
 def train_rows(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Statistics and labels of the rows that may be learnt from."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    return stats.where(~held_out(id_col)).select(id_col, "stats").join(known, id_col).select("stats", "y")
+    """Statistics, labels and folds of the rows that may be learnt from."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    own = stats.where(~held_out(id_col)).select(F.col(id_col).alias("__id"), "__stats")
+    return own.join(known, "__id").select("__stats", "y", F.pmod(F.xxhash64("__id"), F.lit(2)).cast("int").alias("fold"))
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, score, predicted for every document, and the columns named in `keep`."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """id, the columns named in `keep`, and __score."""
     kept = list(dict.fromkeys((id_col, *keep)))
     stats = cut(features(docs, id_col, text_col))
     model = fit(train_rows(stats, labels, id_col, label_col))
@@ -221,12 +256,17 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(_matrix(batch)))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(_matrix(batch)))], [*kept, "__score"])
+
+    return source.mapInArrow(run, f"{fields}, `__score` double")
+
 
-    scored = source.mapInArrow(run, f"{fields}, score double")
-    return scored.select(*kept, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, held_out, score, predicted for every document, and the columns named in `keep`."""
+    score = F.col("__score")
+    return _scored(docs, labels, id_col, text_col, label_col, keep).select(*dict.fromkeys((id_col, *keep)), held_out(id_col).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    return scores(docs, labels, keep=tuple(docs.columns), **options).where("predicted = 1").select(*docs.columns)
+    return _scored(docs, labels, id_col, text_col, label_col, tuple(docs.columns)).where("__score >= 0.5").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, chunks, cut, join_by_size, mix, powers, semi_by_size, store, text_bytes
+from corvane.llm.common import BROADCAST_ROWS, chunks, cut, join_by_size, mapped, mix, powers, semi_by_size, store, text_bytes
 
 LENGTH = 400
 #: Bytes that decide on a sample, and one in how many positions is one.
@@ -128,7 +128,7 @@ def _named(texts: DataFrame, width: int, length: int) -> DataFrame:
             keys = batch.column("key").take(pa.array(text[owner]))
             yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(union.view(np.int64)), keys, pa.array((at - starts[text])[owner]), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16))], ["core", "name", "key", "at", "a", "b"])
 
-    return texts.mapInArrow(run, "core long, name long, key long, at long, a short, b short")
+    return mapped(texts, run, "core long, name long, key long, at long, a short, b short")
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -232,4 +232,4 @@ def _applied(docs: DataFrame, length: int, id_col: str, text_col: str, field: st
                 kept.append(make(rest))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, out_type)], [id_col, "n_bytes", "n_removed", "n_spans", name])
 
-    return rows.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, {field}")
+    return mapped(rows, run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, {field}")

@@ -2,10 +2,13 @@
 
 An archive is a leading skippable frame that holds a Zstandard dictionary built from its records, then one frame
 per record. Records with equal payloads of at least `min_revisit` bytes are written once: the one with the
-smallest page id is the response and the others revisit it.
+smallest page id is the response and the others revisit it. The dictionary of DICT_BYTES is trained on records from all over the archive,
+up to TRAINED dictionary sizes of them; the records themselves are always whole.
 
 Null payloads are empty. A null page id is a response that nothing refers to. Rows that repeat the smallest page id
-of a payload are all responses. Archives are bounded by `archive_bytes` of payload, but for one larger record.
+of a payload are all responses. Ids stay in their own type up to the record, where they are text. Archives are bounded by about
+`archive_bytes` of payload, but for one larger record; rows that repeat often are dealt over several archives.
+An empty table gives no archive. Columns but the named ones are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -14,19 +17,20 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import utf8
+from corvane.llm.common import join_by_size, utf8
 
 #: Fixed value: magic number of the dictionary's skippable frame in the public .warc.zst specification.
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 6 << 20
 DICT_BYTES = 32 << 10
+#: Dictionary sizes of records that a dictionary is trained on.
+TRAINED = 100
 LEVEL = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -47,13 +51,9 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
 
 
 def dictionary(records: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """Trained on up to 100 dictionary sizes of records; too few for training serve as raw content themselves."""
-    total, sample = 0, []
-    for r in records:
-        sample.append(r[: size])
-        total += len(sample[-1])
-        if total > 100 * size:
-            break
+    """Trained on every so many-th record, up to TRAINED dictionary sizes; too few for training serve as raw content themselves."""
+    sample = [r[:size] for r in records]
+    sample = sample[:: max(1, sum(map(len, sample)) // (TRAINED * size))]
     try:
         return zstandard.train_dictionary(size, sample, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -92,25 +92,31 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = 100) -> DataFrame:
     """archive, n_records, content: archives as rows, a binary column each."""
     payload = utf8(F.col(payload_col))
-    total = pages.agg(F.coalesce(F.sum(F.octet_length(payload) + 500), F.lit(0)).alias("n")).first()["n"]
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("payload") + 500), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // archive_bytes))
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page", "url", "digest"), F.lit(n)))
+    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page", "url", "payload"), F.lit(n)))
+    # equal rows have one hash: archives that they make too large are dealt into several
+    large = rows.groupBy("archive").agg(F.ceil(F.sum(F.octet_length("payload") + 500) / archive_bytes).alias("parts")).where("parts > 2")
+    rows = join_by_size(rows, large, ["archive"]).withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
     # copies meet as narrow rows, summed before the exchange; payloads move once, by archive
-    ids = rows.where((F.octet_length("payload") >= min_revisit) & F.col("page").isNotNull()).select("page", "digest", "archive")
+    ids = rows.where((F.octet_length("payload") >= min_revisit) & F.col("page").isNotNull()).select("page", "digest", "archive", "parts")
     first = ids.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(first, "digest").where("page != first").select(F.col("archive").alias("part"), F.col("page").alias("known_page"), F.col("digest").alias("known_digest"), "first").distinct()
-
-    def build(key: tuple, records: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        refers = {(p, d): f for p, d, f in zip(known["known_page"], known["known_digest"], known["first"])}
-        out = []
-        for page, url, body, digest in zip(*(records[c] for c in ("page", "url", "payload", "digest"))):
-            page = None if pd.isna(page) else page
-            page = int(page) if isinstance(page, float) else page
-            out.append(record(page, url, bytes(body), digest, refers.get((page, digest))))
-        return pd.DataFrame({"archive": [key[0]], "n_records": [len(out)], "content": [archive(out)]})[: len(out)]
-
-    return rows.groupBy("archive").cogroup(revisits.groupBy("part")).applyInPandas(build, "archive long, n_records long, content binary")
+    revisits = ids.join(first, "digest").where("page != first").select("archive", "parts", "page", "digest", "first").distinct()
+    revisits = revisits.select(F.col("archive").alias("known_archive"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long"))).alias("part"), F.col("page").alias("known_page"), F.col("digest").alias("known_digest"), "first")
+    schema = pa.schema([("archive", pa.int64()), ("n_records", pa.int64()), ("content", pa.binary())])
+
+    def build(records: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(records):
+            return schema.empty_table()
+        refers = dict(zip(zip(known.column("known_page").to_pylist(), known.column("known_digest").to_pylist()), known.column("first").to_pylist()))
+        columns = zip(*(records.column(c).to_pylist() for c in ("page", "url", "payload", "digest")))
+        out = [record(page, url, body, digest, refers.get((page, digest))) for page, url, body, digest in columns]
+        return pa.table([[records.column("archive")[0].as_py()], [len(out)], [archive(out)]], schema=schema)
+
+    rows = rows.select("archive", F.col("part").cast("long").alias("part"), "page", "url", "payload", "digest")
+    return rows.groupBy("archive", "part").cogroup(revisits.groupBy("known_archive", "part")).applyInArrow(build, "archive long, n_records long, content binary")
 
 
 def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
