@@ -1,20 +1,24 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
-Detected: e-mail addresses, phone numbers, payment cards, IP addresses, national ids (ddd-dd-dddd), IBANs, secrets
-(long hexadecimal strings) and person names (given names of the lists below, or a title, before a capitalised
-surname, and each of these names alone in the same text). A surrogate is a keyed permutation (a Feistel network with cycle walking) of all strings of the
+Detected: e-mail addresses, phone numbers (grouped, or undivided with a plus or ten digits of a subscriber's form), payment cards, IP
+addresses, national ids (ddd-dd-dddd), IBANs, secrets (long hexadecimal strings) and person names: given names of the lists below
+(`given` adds more), alone or before a capitalised surname, surnames after a title, and each such surname alone in the same text. Names
+of no list and without a title are not found. A surrogate is a keyed permutation (a Feistel network with cycle walking) of all strings of the
 same shape: digits stay digits, letters keep case, script and, in names, vowel or consonant; card and IBAN check
-digits stay as valid as they were; given names go to others of their gender and script; e-mail hosts under reserved example domains stay.
+digits stay as valid as they were; given names go to the next of their gender and script in a keyed order, so never to themselves;
+e-mail hosts under reserved example domains stay.
 So equal entities have equal surrogates in the whole corpus and different ones different surrogates.
 
 Collision checks: a surrogate that equals an entity of the corpus, or another's surrogate, is walked one step
 further, for some turns. What collides after these is of shapes with few strings: all entities of such a shape are then
-assigned together, by steps that are permutations of their own, so that none is left. If a shape has more entities than
-half of its strings, that cannot be; its surrogates are those of one step, different but perhaps real entities.
+assigned together, by steps that are permutations of their own, so that none is left. If a shape has too few strings for that,
+its names and mailboxes get a letter more, and again until nothing collides; kinds of fixed length raise then. A surrogate is never
+the entity itself or another one of the corpus.
 Entities meet as a distinct table; only those that needed further steps are exceptions,
 and they reach the tasks by broadcast while few, else by a join over their documents.
 
-Null texts stay null. Texts without entities are unchanged. Repeated rows give repeated results. Columns of the input are kept.
+Null texts stay null. Texts without entities are unchanged. Repeated rows give repeated results, an empty table gives no rows. Texts of
+any length are read whole. Columns of the input are kept, whatever their names; a column n_entities is replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from corvane.llm.common import BROADCAST_ROWS, chunks, cut, mapped
 
 # Given names by gender and script.
 GIVEN = {
-    ("f", "latin"): "Anna Maria Emma Sofia Julia Laura Elena Clara Alice Sarah Mary Emily Jane Lucy Grace Marie Camille Isabel Carmen Ingrid Petra Sabine Monika Helga".split(),
-    ("m", "latin"): "John James Robert Michael David Thomas Peter Paul Daniel Mark Charles Henry Pierre Louis Antoine Carlos Pedro Miguel Hans Klaus Jürgen Stefan Martin Georg".split(),
+    ("f", "latin"): "Anna Maria Emma Sofia Julia Laura Elena Clara Alice Sarah Mary Emily Jane Lucy Grace Marie Camille Isabel Carmen Ingrid Petra Sabine Monika Helga Elizabeth Jennifer Linda Patricia Susan Jessica Karen Nancy Margaret Lisa Rachel Rebecca Hannah Olivia Charlotte Sophie Claire Chloe Lucia Pilar Ana Rosa Katrin Claudia".split(),
+    ("m", "latin"): "John James Robert Michael David Thomas Peter Paul Daniel Mark Charles Henry Pierre Louis Antoine Carlos Pedro Miguel Hans Klaus Jürgen Stefan Martin Georg William Richard Joseph George Edward Steven Kevin Brian Andrew Matthew Jacob Lucas Noah Oliver Samuel Benjamin Jean François Juan José Luis Javier Wolfgang Matthias".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
     ("f", "greek"): "Ελένη Μαρία Άννα Σοφία".split(),
@@ -53,18 +57,35 @@ PATTERN = regex.compile(
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d))"
+    r"|(?P<phone>(?<![\w.+-])(?:\+\d{8,15}|[2-9]\d{9})(?![\w-]))"
+    r"|(?P<card>(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]))"
 )
-_ALL_GIVEN = {n: k for k, names in GIVEN.items() for n in names}
-_SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-#: Listed given names before a surname, which may be a listed name too, or titles before a surname.
-NAME = regex.compile(
-    r"(?<!\p{L})(?=\p{Lu})(?:(?P<given>\L<given>)(?: (?P<given>\L<given>))* (?P<sur>" + _SURNAME + r")|(?:\L<titles>\.? )+(?!\L<titles>(?!\p{L}))(?!\L<given> \p{Lu}\p{Ll})(?P<sur>" + _SURNAME + r"))(?!\p{L})",
-    given=sorted(_ALL_GIVEN),
-    titles=TITLES,
-)
+#: A surname: capital, small letters, perhaps after an apostrophe, with an inner capital or of two parts; and what may stand before it.
+_PART = r"(?:[OD]['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_SURNAME = rf"(?:(?:van|von|der|den|de|del|da|di|la) ){{0,3}}(?P<sur>{_PART}(?:-{_PART})?)"
+
+
+class Names:
+    """Given names by gender and script, and the pattern of names: given ones, which may be surnames too, or titles before a surname."""
+
+    def __init__(self, given: dict[tuple[str, str], list[str]]):
+        self.given = given
+        self.kind = {n: k for k, names in given.items() for n in names}
+        self.pattern = regex.compile(
+            r"(?<!\p{L})(?=\p{Lu})(?:(?P<given>\L<given>)(?: (?P<given>\L<given>))* " + _SURNAME + r"|(?:\L<titles>\.? )+(?!\L<titles>(?!\p{L}))(?!\L<given> \p{Lu}\p{Ll})" + _SURNAME + r"|(?P<given>\L<given>))(?!\p{L})",
+            given=sorted(self.kind),
+            titles=TITLES,
+        )
+
+    def with_more(self, given: dict[tuple[str, str], list[str]] | None) -> Names:
+        if not given:
+            return self
+        return Names({k: list(dict.fromkeys([*self.given.get(k, []), *given.get(k, [])])) for k in {*self.given, *given}})
+
+
+LISTED_NAMES = Names(GIVEN)
 _CLASS = {c: i for i, a in enumerate(ALPHABETS) for c in a}
 
 
@@ -122,13 +143,15 @@ def letter_classes(text: str, names: bool) -> list[str | None]:
     return out
 
 
-#: Steps up to here walk one permutation; each one beyond is another permutation, taken once.
-WALK = 1000
+#: Steps up to here walk one permutation; each one beyond is another permutation, taken once; from WIDE on that of a wider shape.
+WALK, WIDE = 1000, 1 << 24
+#: Kinds that may get longer.
+WIDER = ("email", "surname")
 
 
 class Surrogates:
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, names: Names = LISTED_NAMES):
+        self.key, self.names = key, names
         self.perm = Permuter(hmac.new(key, b"surrogates", hashlib.sha256).digest())
         self.of = lru_cache(1 << 15)(self._of)
 
@@ -151,8 +174,13 @@ class Surrogates:
 
     def _of(self, kind: str, text: str, steps: int = 1) -> str:
         """The surrogate after some steps of the permutation; beyond WALK, of the permutation of that number."""
+        if steps >= WIDE:
+            if kind not in WIDER:
+                raise ValueError(f"the corpus has nearly as many values of kind {kind} as there are of one shape")
+            local, at, host = text.partition("@")
+            text = local + "a" * (steps - WIDE + 1) + at + host
         if steps > WALK:
-            return getattr(Surrogates(hmac.new(self.key, b"step %d" % steps, hashlib.sha256).digest()), f"_{kind}")(text)
+            return getattr(Surrogates(hmac.new(self.key, b"step %d" % steps, hashlib.sha256).digest(), self.names), f"_{kind}")(text)
         for _ in range(steps):
             text = getattr(self, f"_{kind}")(text)
         return text
@@ -201,14 +229,14 @@ class Surrogates:
 
     def _phone(self, text: str) -> str:
         """Country codes stay, and so does the exchange 555, which no subscriber has."""
-        country = regex.match(r"\+\d{1,3}(?!\d)", text)
+        country = regex.match(r"\+\d{1,3}(?!\d)|\+\d\d(?=\d+$)", text)
         keep = set(range(country.end() if country else 0))
         fiction = regex.search(r"(?<=[ .)-])555(?=[ .-])", text)
         return self._digits(text, b"phone", keep | (set(range(*fiction.span())) if fiction else set()))
 
     def _given(self, text: str) -> str:
-        names = GIVEN[_ALL_GIVEN[text]]
-        return names[self.perm.permute(names.index(text), len(names), repr(_ALL_GIVEN[text]).encode())]
+        names = sorted(self.names.given[self.names.kind[text]], key=lambda n: hmac.new(self.key, n.encode(), hashlib.sha256).digest())
+        return names[(names.index(text) + 1) % len(names)]
 
     def _surname(self, text: str) -> str:
         return self.shaped(text, b"surname", letter_classes(text, True))
@@ -229,7 +257,7 @@ def shape(kind: str, text: str) -> str:
 
 
 def assigned(kind: str, values: list[str], key: bytes) -> list[int]:
-    """Steps of all entities of a shape, so that surrogates differ and are no entities, if it has strings enough."""
+    """Steps of all entities of a shape, so that surrogates differ and are no entities; those of a wider shape if it has too few strings."""
     make, real, used, steps = Surrogates(key), set(values), set(), []
     tries = 64 * len(values) + 4096
     for value in values:
@@ -238,37 +266,36 @@ def assigned(kind: str, values: list[str], key: bytes) -> list[int]:
             if out not in real and out not in used:
                 break
         else:
-            return [1] * len(values)
+            return [WIDE] * len(values)
         used.add(out)
         steps.append(s)
     return steps
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
+def detect(text: str, names: Names = LISTED_NAMES) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of each entity; the parts of a name are entities of their own, for coreference."""
     found = [(m.start(), m.end(), m.lastgroup, m.group()) for m in PATTERN.finditer(text)] if HINTS.search(text) else []
     taken = {i for a, b, *_ in found for i in range(a, b)}
-    sure: dict[str, str] = {}
-    names = []
-    for m in NAME.finditer(text):
-        names += [(*at, "given", text[slice(*at)]) for at in m.spans("given")]
-        names.append((*m.span("sur"), "surname", m.group("sur")))
-        for _, _, kind, value in names[-1 - len(m.spans("given")) :]:
-            sure[value] = "surname" if kind == "surname" else sure.get(value, kind)
-    if sure:  # a surname or given name alone, later or before, is the same person's
-        have = {i for a, b, *_ in names for i in range(a, b)}
-        alone = regex.compile(r"(?<!\p{L})\L<sure>(?!\p{L})", sure=sorted(sure))
-        names += [(m.start(), m.end(), sure[m.group()], m.group()) for m in alone.finditer(text) if m.start() not in have and m.end() - 1 not in have]
-    return sorted(found + [x for x in names if x[0] not in taken])
-
-
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    people, surnames = [], set()
+    for m in names.pattern.finditer(text):
+        people += [(*at, "given", text[slice(*at)]) for at in m.spans("given")]
+        if m.group("sur"):
+            people.append((*m.span("sur"), "surname", m.group("sur")))
+            surnames.add(m.group("sur"))
+    if surnames:  # a surname alone, later or before, is the same person's
+        have = {i for a, b, *_ in people for i in range(a, b)}
+        alone = regex.compile(r"(?<!\p{L})\L<sur>(?!\p{L})", sur=sorted(surnames))
+        people += [(*m.span(), "surname", m.group()) for m in alone.finditer(text) if m.start() not in have and m.end() - 1 not in have]
+    return sorted(found + [x for x in people if x[0] not in taken])
+
+
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: Names = LISTED_NAMES) -> DataFrame:
     """id, begin, end, kind, value."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            rows = [(i, *x) for i, t in enumerate(batch.column("text").to_pylist()) if t for x in detect(t)]
+            rows = [(i, *x) for i, t in enumerate(batch.column("text").to_pylist()) if t for x in detect(t, names)]
             if rows:
                 at, begin, end, kinds, values = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(kinds), pa.array(values)], [id_col, "begin", "end", "kind", "value"])
@@ -328,12 +355,20 @@ def exceptions(found: DataFrame, key: bytes, most_turns: int = 20) -> DataFrame:
     dense = hits.select("kind", "value").mapInArrow(shaped, kinds).select("kind", "shape").distinct()
     whole = cut(known.mapInArrow(shaped, kinds).join(dense, ["kind", "shape"], "left_semi").groupBy("kind", "shape").applyInArrow(assign, "kind string, value string, steps int"))
     rest = moved.join(whole, ["kind", "value"], "left_anti") if moved is not None else none
-    return cut(rest.unionByName(whole.where("steps > 1")))
+    moved = cut(rest.unionByName(whole.where("steps > 1")))
+    # longer surrogates may meet entities of their own shape: a letter more until none does, as each makes them rarer
+    while True:
+        hits = colliding(made(known.join(moved, ["kind", "value"], "left").select("kind", "value", F.coalesce("steps", F.lit(1)).alias("steps"))))
+        if hits.isEmpty():
+            return moved
+        hits = hits.withColumn("steps", F.greatest(F.col("steps") + 1, F.lit(WIDE)))
+        moved = cut(moved.join(hits, ["kind", "value"], "left_anti").unionByName(hits))
 
 
-def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with surrogates for their entities, and n_entities."""
-    odd = exceptions(entities(docs, id_col, text_col), key)
+def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", given: dict[tuple[str, str], list[str]] | None = None) -> DataFrame:
+    """The documents with surrogates for their entities, and n_entities. given: more given names by gender and script."""
+    names = LISTED_NAMES.with_more(given)
+    odd = exceptions(entities(docs, id_col, text_col, names), key)
     columns = [c for c in docs.columns if c != "n_entities"]
     rows = docs.select(*columns)
     if odd.count() <= BROADCAST_ROWS:
@@ -341,16 +376,16 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
         rows = rows.withColumn("__steps", F.lit(None).cast("array<struct<kind:string,value:string,steps:int>>"))
     else:
         steps = docs.sparkSession.sparkContext.broadcast({})
-        own = entities(docs, id_col, text_col).select(id_col, "kind", "value").distinct().join(odd, ["kind", "value"])
+        own = entities(docs, id_col, text_col, names).select(id_col, "kind", "value").distinct().join(odd, ["kind", "value"])
         rows = rows.join(own.groupBy(id_col).agg(F.collect_list(F.struct("kind", "value", "steps")).alias("__steps")), id_col, "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Surrogates(key)
+        make = Surrogates(key, names)
         for batch in chunks(batches, text_col):
             texts, counts = [], []
             for t, own in zip(batch.column(text_col).to_pylist(), batch.column("__steps").to_pylist()):
-                spans = detect(t) if t else []
+                spans = detect(t, names) if t else []
                 more = {(x["kind"], x["value"]): x["steps"] for x in own or ()}
                 parts, at = [], 0
                 for a, b, kind, value in spans:
