@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, store
+from corvane.llm.common import store
 
 #: Pivots of a bucket in each round; the last number holds for all further rounds.
-PIVOTS = (1, 1, 4, 16, 64)
+PIVOTS = (1, 4, 32, 256)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     A star step only groups by a node and joins the minimum back, so no neighbourhood is collected.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     sign = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -30,20 +30,20 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(least, F.col("u") == F.col("c"))
-        edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        edges = store(small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """id, component after more links (a, b). Links are first put on the components that are known, so one of many is enough."""
     if labels is None:
-        return cut(connected(links))
+        return store(connected(links))
     for side in ("a", "b"):
         known = labels.select(F.col("id").alias(side), F.col("component").alias("c"))
         links = links.join(known, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-    new = cut(connected(links.select("a", "b").distinct()))
+    new = store(connected(links.select("a", "b").distinct()))
     moved = new.select(F.col("id").alias("component"), F.col("component").alias("to"))
     old = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    return cut(old.unionByName(new.join(labels.select("id"), "id", "left_anti")))
+    return store(old.unionByName(new.join(labels.select("id"), "id", "left_anti")))
 
 
 def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -64,44 +64,39 @@ def shared(members: DataFrame) -> DataFrame:
     return store(rows.drop("size").join(degree, "id"))
 
 
-def bucket_components(
-    rows: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    quick: Callable[[Column, Column], Column] | None = None,
-    finish: Callable[[DataFrame], DataFrame] | None = None,
-    pivots: tuple[int, ...] = PIVOTS,
-) -> DataFrame | None:
-    """id, component by all true links between members of a bucket; None if there is no link. rows: key, id, degree, and `mark` with `quick`.
+def bucket_components(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, pivots: tuple[int, ...] = PIVOTS) -> DataFrame | None:
+    """id, component by all true links between members of a bucket; None if there is no link. rows: key, id, degree.
 
     In a round each member is held against a few pivots of its buckets, those of the greatest degree, by `verify`, which gives
-    the true ones of pairs (id, pivot). Pivots then leave the bucket, since all their pairs are known, and so does every bucket
-    whose members lie in one component. Rounds go on until no bucket is left, or after the rounds of `pivots` `finish` makes
-    the pairs of all that is left. Pairs of marks that `quick` refuses are no links.
+    the true ones of pairs (id, pivot). Pivots then leave the bucket, since all their pairs are known. After the first round, which finds
+    most links, so does every bucket whose members lie in one component. Rounds go on, each with more pivots, until no bucket has
+    two members left; or after the rounds of `pivots` `finish` makes the pairs of all that is left.
     """
-    labels, turn = None, 0
-    columns = ["key", "id", "degree"] + (["mark"] if quick else [])
-    rows = rows.select(*columns)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return store(verify(store(pairs.select("id", "pivot").distinct())).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+
+    labels, links, turn = None, None, 0
+    now = rows.select("key", "id", "degree", F.col("id").alias("cid"))
     while True:
-        now = with_component(rows, labels)
-        open_ = now.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key")
-        now = store(now.join(open_, "key", "left_semi"))
-        if now.isEmpty():
-            return labels
-        last = finish is not None and turn >= len(pivots)
-        if last:
-            pairs = finish(now)
+        if turn >= len(pivots) and finish is not None:
+            links = links.unionByName(linked(finish(now)))
+            break
+        order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64(F.lit(turn), "id"), "id")
+        first = store(now.select("key", F.col("id").alias("pivot"), F.col("cid").alias("pivot_cid"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)]).drop("rank"))
+        found = linked(now.join(first, "key").where("cid != pivot_cid"))
+        links = found if links is None else links.unionByName(found)
+        rest = now.join(first.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
+        if not turn:
+            if not found.isEmpty():
+                labels, links = store(connected(found)), found.limit(0)
+            rest = with_component(rest.drop("cid"), labels)
+            # a pivot's component counts too, but it has been held against all
+            open_ = rest.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
         else:
-            order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64(F.lit(turn), "id"), "id")
-            chosen = [F.col("id").alias("pivot"), F.col("cid").alias("pivot_cid")] + ([F.col("mark").alias("pivot_mark")] if quick else [])
-            first = cut(now.select("key", *chosen, F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)]).drop("rank"))
-            pairs = now.join(first, "key").where("cid != pivot_cid")
-            if quick:
-                pairs = pairs.where(quick(F.col("mark"), F.col("pivot_mark")))
-            pairs = pairs.select("id", "pivot")
-        links = cut(verify(cut(pairs.distinct())).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        if not links.isEmpty():
-            labels = merged(labels, links)
-        if last:
-            return labels
-        rows = now.join(first.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti").select(*columns)
+            open_ = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        now = store(rest.join(open_.select("key"), "key", "left_semi"))
         turn += 1
+        if now.isEmpty():
+            break
+    return labels if links.isEmpty() else merged(labels, links)

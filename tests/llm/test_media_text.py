@@ -220,6 +220,43 @@ def test_matrix_margins():
     assert (m.sum(axis=1) == counts).all() and (m.sum(axis=0) == sizes).all()
 
 
+def test_large_draws_follow_the_law(monkeypatch):
+    """Rejection beyond the library's limit against the library below it, and plain sums where a tail is near."""
+    good, bad, taken, n = 400_000, 900_000, 150_000, 3000
+    want = np.random.default_rng(2).hypergeometric(good, bad, taken, n)
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(sharding, "LIBRARY_ROWS", 1)
+    got = np.array([sharding.hypergeometric(good, bad, taken, rng) for _ in range(n)])
+    spread = want.std()
+    assert abs(got.mean() - want.mean()) < 5 * spread / n**0.5 and abs(got.std() / spread - 1) < 0.06
+    assert abs(np.quantile(got, [0.05, 0.25, 0.75, 0.95]) - np.quantile(want, [0.05, 0.25, 0.75, 0.95])).max() < 0.2 * spread
+    few = np.array([sharding.hypergeometric(30, 70, 20, rng) for _ in range(n)])
+    assert abs(few.mean() - 6) < 0.15 and abs(few.std() - np.random.default_rng(2).hypergeometric(30, 70, 20, n).std()) < 0.1
+    sizes = sharding.shard_sizes(10**12 + 5, 16)
+    m = sharding.matrix(np.array([10**12 // 2, 10**12 // 2 + 5]), sizes, rng)
+    assert (m.sum(axis=0) == sizes).all() and (m.sum(axis=1) == [10**12 // 2, 10**12 // 2 + 5]).all()
+
+
+def test_every_assignment_is_equally_likely(spark, monkeypatch):
+    """Counts by input block and shard, neighbours in one shard, and slots against input order, as for a uniform shuffle."""
+    monkeypatch.setattr(sharding, "GROUPS", 8)
+    n, shards = 6400, 16
+    rows = spark.range(n).withColumn("text", F.lit("same")).repartition(3)
+    got = sharding.shuffle_rows(rows, shards, part_rows=50).orderBy("id").collect()
+    shard, slot = np.array([r["shard"] for r in got]), np.array([r["slot"] for r in got])
+    table = np.zeros((40, shards))
+    np.add.at(table, (np.arange(n) * 40 // n, shard), 1)
+    chi = ((table - n / 40 / shards) ** 2 / (n / 40 / shards)).sum()
+    free = 39 * 15
+    assert abs(chi - free) < 5 * (2 * free) ** 0.5
+    same = (shard[1:] == shard[:-1]).mean()
+    assert abs(same - (n / shards - 1) / (n - 1)) < 5 * (0.0625 * 0.9375 / n) ** 0.5
+    assert abs(np.corrcoef(np.arange(n), slot)[0, 1]) < 5 / n**0.5
+    # other seeds give other assignments
+    again = sharding.shuffle_rows(rows, shards, seed=8, part_rows=50).orderBy("id").collect()
+    assert abs((shard == np.array([r["shard"] for r in again])).mean() - 1 / shards) < 0.02
+
+
 # Quality
 
 
