@@ -30,7 +30,9 @@ from corvane.llm.common import CHUNK_BYTES, chunks, mapped
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words and ids that a worker remembers before it starts anew, and pairs of tokens whose borders it remembers.
-MEMORY_BYTES, MEMORY_PAIRS = 48 << 20, 200_000
+MEMORY_BYTES, MEMORY_PAIRS = 96 << 20, 200_000
+#: Bytes by which the longest last token is looked up.
+TAIL = 3
 #: Python's cost of a remembered word besides its letters and ids.
 WORD_BYTES = 200
 
@@ -65,6 +67,13 @@ class Vocabulary:
         self._left = lru_cache(1 << 13)(self._chain_left)
         # A token that its own merges never build is no last token.
         self.ends = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
+        #: The length of the longest last token by its last TAIL bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in self.ends:
+            self.reach[t[-TAIL:]] = max(len(t), self.reach.get(t[-TAIL:], 0))
+        for t in [t for t in self.reach if len(t) < TAIL]:
+            # where a text begins, fewer bytes than TAIL are known
+            del self.reach[t]
         self.numerals = {i: str(i) for i in self.of}
 
     def merge(self, word: bytes) -> list[int]:
@@ -128,29 +137,17 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def _state(self, word: bytes, last: list[int], end: int) -> tuple[int, int]:
-        v, get, pairs = self.v, self.v.ends.get, self.pairs
-        token = get(word[:end])
-        if token is not None:
-            return token, 0
-        for start in range(max(1, end - v.longest), end):
-            token = get(word[start:end])
-            if token is None:
-                continue
-            pair = last[start], token
-            ok = pairs.get(pair)
-            if ok is None:
-                if len(pairs) >= MEMORY_PAIRS:
-                    pairs.clear()
-                ok = pairs[pair] = v.joins(*pair)
-            if ok:
-                return token, start
-        raise ValueError("a byte has no token")
+        self.pairs: dict[int, bool] = {}
+
+    def _joins(self, a: int, b: int, pair: int) -> bool:
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[pair] = self.v.joins(a, b)
+        return ok
 
     def encode(self, words: list[bytes]) -> Iterator[list[int]]:
         """Encodings of distinct sorted words: the traversal is depth first."""
+        token_of, reach, seen, size = self.v.ends.get, self.v.reach.get, self.pairs.get, len(self.v.of) + 1
         last, back, before = [-1], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
@@ -158,7 +155,23 @@ class Trie:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                token, start = self._state(word, last, end)
+                # no token that ends here is longer than those that end in the same bytes
+                start = end - reach(word[max(0, end - TAIL) : end], TAIL - 1)
+                if start <= 0:
+                    start, token = 0, token_of(word[:end])
+                    if token is None:
+                        start = 1
+                else:
+                    token = None
+                while token is None:
+                    token = token_of(word[start:end])
+                    if token is not None:
+                        a = last[start]
+                        ok = seen(a * size + token)
+                        if ok or ok is None and self._joins(a, token, a * size + token):
+                            break
+                        token = None
+                    start += 1
                 last.append(token)
                 back.append(start)
             ids, node = [], len(word)
