@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of visit labels, and what they resolve to.
-CYCLE_DAY = r"(?i)(?:cycle\s*|c)(\d+)\s*[,/]?\s*(?:day\s*|d)(\d+)"
-DAY = r"(?i)\b(?:day\s*|d)(\d+)\b"
-WEEK = r"(?i)\b(?:week\s*|wk\s*|w)(\d+)\b"
-MONTH = r"(?i)\b(?:month\s*|mo\s*)(\d+)\b"
-CYCLE_ONLY = r"(?i)(?:cycle\s*|c)(\d+)\b"
-SCREENING, BASELINE = r"(?i)\bscreen(?:ing)?\b", r"(?i)\bbaseline\b"
-END, FOLLOW_UP = r"(?i)\bend\s+of\s+(?:treatment|study)\b|\beot\b|\beos\b", r"(?i)\bfollow[\s-]*up\b|\bfu\b|\bpost[\s-]*treatment\b"
-REPEATING = r"(?i)\bevery\s+\d+\s+cycles?\s+thereafter\b|\bq\d+(?:w|c)\s+thereafter\b"
-CYCLE_LENGTH = r"(?i)(\d+)\s*-?\s*day\s+(?:treatment\s+)?cycle"
-EVERY_WEEKS, EVERY_DAYS = r"(?i)q(\d+)w", r"(?i)every\s+(\d+)\s+days"
+# Units of visit labels with their spellings; days and confidence of those that count from day 1.
+UNITS = {"cycle": ["cycle", "c"], "day": ["day", "d"], "week": ["week", "wk", "w"], "month": ["month", "mo"]}
+SPANS = [("week", 7, 0.9), ("month", 30, 0.8)]
+# Milestones by phrase, the day that each stands for, and its confidence; day 0 is filled in later. # is a number.
+MILESTONES = [
+    ("screening", -14, 1.0, ["screen", "screening"]),
+    ("baseline", 1, 1.0, ["baseline"]),
+    ("eot", 0, 0.7, ["end of treatment", "end of study", "eot", "eos"]),
+    ("follow_up", 0, 0.7, ["follow up", "followup", "fu", "post treatment", "posttreatment"]),
+    ("repeating", 0, 0.5, ["every # cycle thereafter", "every # cycles thereafter", "q # w thereafter", "q # c thereafter"]),
+]
+# Phrases that state the length of a cycle, the days that their number counts in, and the days where none does.
+CYCLE_PHRASES = [("# day cycle", 1), ("# day treatment cycle", 1), ("q # w", 7), ("every # days", 1)]
 DEFAULT_CYCLE = 21
 # Date forms in the order in which they are tried.
 MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -45,31 +47,59 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def spelled(text: Column | str, keep: str = "") -> Column:
+    """Lower-case words and numbers, each between single spaces; a number stands apart from letters around it."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(text), r"([a-z])([0-9])", "$1 $2"), r"([0-9])([a-z])", "$1 $2")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, f"[^a-z0-9{keep}]+", " ")), F.lit(" "))
+
+
+def says(words: Column, phrases: list[str]) -> Column:
+    """Whether spelled words hold one of the phrases."""
+    plain = F.regexp_replace(words, "[0-9]+", "#")
+    hit = F.lit(False)
+    for phrase in phrases:
+        hit = hit | F.contains(plain, F.lit(f" {phrase} "))
+    return hit
+
+
+def number_in(words: Column, phrase: str) -> Column:
+    """The number at # of a phrase in spelled words."""
+    return number(words, " " + phrase.replace("#", "([0-9]+)") + " ")
+
+
+def counted(tokens: Column, unit: str) -> Column:
+    """The number of the first pair of a unit's spelling and a number."""
+    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda word, n: F.when(word.isin(UNITS[unit]) & n.rlike("^[0-9]+$"), n))
+    return F.get(F.filter(pairs, lambda n: n.isNotNull()), F.lit(0)).try_cast("long")
+
+
 def visit_day(label: Column, cycle: Column | int = DEFAULT_CYCLE) -> Column:
     """A struct (day, method, confidence) of a visit label. Relative visits have day 0 until milestones are filled."""
     cycle = F.lit(cycle) if isinstance(cycle, int) else cycle
     made = lambda day, method, c: F.struct(day.cast("long").alias("day"), F.lit(method).alias("method"), F.lit(c).alias("confidence"))
-    zero = F.lit(0)
-    hit = lambda p: label.rlike(p)
-    return (
-        F.when(hit(CYCLE_DAY), made((number(label, CYCLE_DAY) - 1) * cycle + number(label, CYCLE_DAY, 2), "cycle_day", 0.95))
-        .when(hit(DAY) & hit(BASELINE) & (number(label, DAY) == 1), made(F.lit(1), "baseline_day1", 1.0))
-        .when(hit(DAY), made(number(label, DAY), "explicit_day", 1.0))
-        .when(hit(WEEK), made((number(label, WEEK) - 1) * 7 + 1, "week", 0.9))
-        .when(hit(MONTH), made((number(label, MONTH) - 1) * 30 + 1, "month", 0.8))
-        .when(hit(SCREENING), made(F.lit(-14), "screening", 1.0))
-        .when(hit(BASELINE), made(F.lit(1), "baseline", 1.0))
-        .when(hit(END), made(zero, "eot", 0.7))
-        .when(hit(FOLLOW_UP), made(zero, "follow_up", 0.7))
-        .when(hit(REPEATING), made(zero, "repeating", 0.5))
-        .when(hit(CYCLE_ONLY), made((number(label, CYCLE_ONLY) - 1) * cycle + 1, "cycle_only", 0.85))
-        .otherwise(made(zero, "unresolved", 0.0))
-    )
+    words = spelled(label)
+    # a minus belongs to its number, so that days before the first are no plain days
+    tokens = F.split(F.trim(spelled(label, "-")), " ")
+    n = {unit: counted(tokens, unit) for unit in UNITS}
+    baseline = next(phrases for name, _, _, phrases in MILESTONES if name == "baseline")
+    rules = [
+        (n["cycle"].isNotNull() & n["day"].isNotNull(), made((n["cycle"] - 1) * cycle + n["day"], "cycle_day", 0.95)),
+        ((n["day"] == 1) & says(words, baseline), made(F.lit(1), "baseline_day1", 1.0)),
+        (n["day"].isNotNull(), made(n["day"], "explicit_day", 1.0)),
+        *((n[unit].isNotNull(), made((n[unit] - 1) * days + 1, unit, c)) for unit, days, c in SPANS),
+        *((says(words, phrases), made(F.lit(day), name, c)) for name, day, c, phrases in MILESTONES),
+        (n["cycle"].isNotNull(), made((n["cycle"] - 1) * cycle + 1, "cycle_only", 0.85)),
+    ]
+    out = made(F.lit(0), "unresolved", 0.0)
+    for holds, value in reversed(rules):
+        out = F.when(holds, value).otherwise(out)
+    return out
 
 
 def cycle_length(text: Column | str) -> Column:
     """Days of a treatment cycle that a text states, else the default."""
-    return F.coalesce(number(text, CYCLE_LENGTH), number(text, EVERY_WEEKS) * 7, number(text, EVERY_DAYS), F.lit(DEFAULT_CYCLE)).cast("long")
+    words = spelled(text)
+    return F.coalesce(*(number_in(words, phrase) * days for phrase, days in CYCLE_PHRASES), F.lit(DEFAULT_CYCLE)).cast("long")
 
 
 def date_of(text: Column | str) -> tuple[Column, Column]:

@@ -11,7 +11,7 @@ from corvane.sources import readers
 
 @pytest.mark.parametrize(
     "label, day, method",
-    [("Cycle 3 Day 1", 43, "cycle_day"), ("C2D8", 29, "cycle_day"), ("Week 4", 22, "week"), ("Month 2", 31, "month"), ("Screening", -14, "screening"), ("Baseline (Day 1)", 1, "baseline_day1"), ("EOT", 0, "eot"), ("Follow-up", 0, "follow_up"), ("Cycle 4", 64, "cycle_only"), ("Every 2 cycles thereafter", 0, "repeating"), ("Visit X", 0, "unresolved")],
+    [("Cycle 3 Day 1", 43, "cycle_day"), ("C2D8", 29, "cycle_day"), ("Week 4", 22, "week"), ("Month 2", 31, "month"), ("Screening", -14, "screening"), ("Baseline (Day 1)", 1, "baseline_day1"), ("EOT", 0, "eot"), ("Follow-up", 0, "follow_up"), ("Cycle 4", 64, "cycle_only"), ("Every 2 cycles thereafter", 0, "repeating"), ("Visit X", 0, "unresolved"), ("C1 / D15", 15, "cycle_day"), ("wk12", 78, "week"), ("cycle 2, dosing", 22, "cycle_only"), ("q6w thereafter", 0, "repeating"), ("Post-treatment FU", 0, "follow_up"), ("period 3", 0, "unresolved"), ("Day -1", 0, "unresolved")],
 )
 def test_visit_day(spark, label, day, method):
     row = spark.createDataFrame([(label,)], "label string").select(T.visit_day(F.col("label")).alias("v")).first()["v"]
@@ -83,3 +83,27 @@ def test_structured_protocols(spark):
     t = readers.m11_tables(spark.createDataFrame([("p", doc)], "id string, j string"), "j", "id")
     assert [(r["activity"], r["visit"], r["scheduled"]) for r in t["instances"].collect()] == [("ECG", "v1", True), ("ECG", "v2", False)]
     assert t["timepoints"].first()["day"] == 1 and t["sections"].first()["code"] == "B.1"
+
+
+@pytest.mark.parametrize(
+    "line, cites",
+    [
+        ("Alder, B. and Moss, C. (2021). Outcomes of a long observation in small groups. Journal 4, 5.", True),
+        ("[12] Alder BC, Moss D. Outcomes of a long observation in small groups. Journal 2021; 4: 5.", True),
+        ("3. Alder B, Moss D. Outcomes of a long observation in small groups. Journal 2021; 4: 5.", True),
+        ("see the full data set at https://doi.org/10.5555/abc.def-9 which is open to all readers", True),
+        ("the record is listed with all of its abstracts under PMID: 123456 in the public index", True),
+        ("3. Patients who had an earlier treatment of any kind within the last four weeks are excluded.", False),
+        ("outcomes improved in small groups (Alder et al., 2021) and were stable in larger ones after that", False),
+        ("Alder, B. (2021). Short.", False),
+    ],
+)
+def test_citations(spark, line, cites):
+    from corvane.functions.parsing import is_citation
+
+    assert spark.createDataFrame([(line,)], "line string").select(is_citation(F.col("line")).alias("c")).first()["c"] is cites
+
+
+def test_cycle_lengths(spark):
+    rows = spark.createDataFrame([("a 28-day cycle",), ("Q3W dosing",), ("every 14 days",), ("42 day treatment cycle",), ("none",)], "t string")
+    assert [r["n"] for r in rows.select(T.cycle_length("t").alias("n")).collect()] == [28, 21, 14, 42, 21]
