@@ -7,15 +7,19 @@ the hash of the bytes before it says so. Equal strings are then sampled at equal
 with suffixes at the same offset from the same sample, and whole ranges of suffixes merge as one:
 
 1. Each sample takes the suffixes before it, in ranges of offsets. A range has two names, of the bytes that all its
-   `length`-prefixes share (core) and of all bytes that they touch (union).
+   `length`-prefixes share (core) and of all bytes that they touch (union), by two independent hashes.
 2. Ranges are sorted by core and union. A core without an equal neighbour: none of its suffixes repeats. Unions with an equal
-   neighbour: all of them repeat. One range of each union goes on where a core has several unions.
+   neighbour: all of them repeat. One range of each union goes on where a core has several unions. Copies of a range within a
+   chunk of texts are known to repeat and stay behind; cores that a sample of the texts holds often are dealt out by their unions, since
+   they are known to have equal neighbours. The sample decides on nothing else.
 3. Recursion on these with narrower ranges, down to single suffixes, whose core and union are the prefix itself.
 
 Suffixes without a sample in their prefix are named one by one. Equal texts are one text with a count.
 
 Null texts are empty. Texts shorter than `length` lose nothing, but for none that is repeated. Ids may be null or repeat: results depend
-on the text alone. Names are 64-bit hashes. Columns of the input but id and text are not read.
+on the text alone, and rows with equal texts lose all of it if it has `length` bytes. Texts of any length are read whole; a chunk holds one
+long text alone. An empty table gives no rows. Ranges are equal if two 64-bit hashes are. Columns of the input but id and text are not
+read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -35,21 +39,23 @@ LENGTH = 400
 CONTEXT, ONE_IN = 16, 64
 #: Widths of ranges, each a multiple of the next; the last is 1.
 WIDTHS = (48, 8, 1)
-_BASE = 0x9FB21C651E98DF25
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Share of texts that is looked through for frequent cores, how often one must be found, and how many are told apart at most.
+SAMPLE, OFTEN, MOST_OFTEN = 0.01, 30, 50_000
+#: Bases of the hashes of cores and of unions.
+_BASES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 _CODE = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Hashed:
     """Hashes of any byte range of a chunk."""
 
-    _tables: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray):
-        if len(Hashed._tables[0]) <= len(data):
+    def __init__(self, data: np.ndarray, base: int = _BASES[0]):
+        if len(Hashed._tables.get(base, ((),))[0]) <= len(data):
             n = max(1 << 21, len(data)) + 1
-            Hashed._tables = powers(n, _BASE), powers(n, _INVERSE)
-        up, self.down = Hashed._tables
+            Hashed._tables[base] = powers(n, base), powers(n, pow(base, -1, 1 << 64))
+        up, self.down = Hashed._tables[base]
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODE[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
@@ -94,7 +100,7 @@ def samples(h: Hashed, starts: np.ndarray, ends: np.ndarray, length: int) -> tup
     return np.concatenate([text[ok], lone_of]), np.concatenate([at[ok], lone]), np.concatenate([(at - high)[ok], zero]), np.concatenate([(at - low)[ok], zero])
 
 
-def names(h: Hashed, at: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, length: int) -> tuple[np.ndarray, ...]:
+def names(h: Hashed, g: Hashed, at: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, length: int) -> tuple[np.ndarray, ...]:
     """Index of the range, its parts' offsets a to b, and core and union names. The grid of parts is that of CONTEXT + width * k."""
     owner, k = expand((a - CONTEXT) // width, (b - CONTEXT) // width)
     low = CONTEXT + width * k
@@ -103,19 +109,29 @@ def names(h: Hashed, at: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, l
     lone = (a == 0) & (b == 0)
     core_a, core_b = np.where(lone, p, p - low), np.where(lone, p + length, p + length - high)
     core = mix(h.of(core_a, core_b) + low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    union = mix(h.of(p - b, p + length - a) ^ ((a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)))
+    union = mix(g.of(p - b, p + length - a) ^ ((a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)))
     return owner, a, b, core, union
 
 
+def copies(core: np.ndarray, union: np.ndarray) -> np.ndarray:
+    """0 for a range that a chunk holds once, 1 for the first of several equal ones, 2 for the others."""
+    order = np.lexsort((union, core))
+    same = np.zeros(len(core) + 1, bool)
+    same[1:-1] = (core[order][1:] == core[order][:-1]) & (union[order][1:] == union[order][:-1])
+    out = np.zeros(len(core), np.int16)
+    out[order] = np.where(same[:-1], 2, same[1:].astype(np.int16))
+    return out
+
+
 def _named(texts: DataFrame, width: int, length: int) -> DataFrame:
-    """core, name, key, at, a, b of texts (key, text) or of given ranges of theirs (key, text, ranges)."""
+    """core, name, key, at, a, b, copy of texts (key, text) or of given ranges of theirs (key, text, ranges)."""
     given = "ranges" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             data, offs = text_bytes(batch.column("text"))
             starts, ends = offs[:-1], offs[1:]
-            h = Hashed(data)
+            h, g = Hashed(data), Hashed(data, _BASES[1])
             if given:
                 r = batch.column("ranges")
                 text = np.repeat(np.arange(batch.num_rows), r.value_lengths().fill_null(0).to_numpy())
@@ -124,19 +140,32 @@ def _named(texts: DataFrame, width: int, length: int) -> DataFrame:
                 at = at + starts[text]
             else:
                 text, at, a, b = samples(h, starts, ends, length)
-            owner, low, high, core, union = names(h, at, a, b, width, length)
+            owner, low, high, core, union = names(h, g, at, a, b, width, length)
             keys = batch.column("key").take(pa.array(text[owner]))
-            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(union.view(np.int64)), keys, pa.array((at - starts[text])[owner]), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16))], ["core", "name", "key", "at", "a", "b"])
+            columns = [pa.array(core.view(np.int64)), pa.array(union.view(np.int64)), keys, pa.array((at - starts[text])[owner]), *(pa.array(x.astype(np.int16)) for x in (low, high, copies(core, union)))]
+            yield pa.RecordBatch.from_arrays(columns, ["core", "name", "key", "at", "a", "b", "copy"])
+
+    return mapped(texts, run, "core long, name long, key long, at long, a short, b short, copy short")
+
 
-    return mapped(texts, run, "core long, name long, key long, at long, a short, b short")
+def _often(texts: DataFrame, width: int, length: int) -> DataFrame:
+    """Cores that a sample of the texts has often, so that they surely have equal neighbours."""
+    seen = _named(texts.sample(SAMPLE, 11), width, length).groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return cut(seen.orderBy(F.desc("n")).limit(MOST_OFTEN).select("core", F.lit(True).alias("often")))
 
 
-def _compared(rows: DataFrame) -> DataFrame:
+def _compared(rows: DataFrame, often: DataFrame) -> DataFrame:
     """Ranges whose core has an equal neighbour: whether the union has one too, and whether it goes on for its name."""
-    core, name = Window.partitionBy("core"), Window.partitionBy("core", "name")
+    again = F.col("copy") == 2
+    rows = rows.join(F.broadcast(often), "core", "left")
+    # a copy meets no one; ranges of a frequent core meet those of their own union
+    rows = rows.withColumn("side", F.when(again, F.xxhash64("key", "at", "a")).when(F.col("often"), F.col("name")).otherwise(F.lit(0).cast("long")))
+    core, name = Window.partitionBy("core", "side"), Window.partitionBy("core", "side", "name")
     rows = rows.select("*", F.count("*").over(name).alias("n"), F.min(F.struct("key", "at")).over(name).alias("first"), F.count("*").over(core).alias("all"))
-    rows = rows.where("all > 1")
-    return rows.select("key", "at", "a", "b", (F.col("n") > 1).alias("repeats"), ((F.col("n") < F.col("all")) & (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))).alias("goes_on"))
+    several = F.coalesce("often", F.lit(False)) | (F.col("n") < F.col("all"))
+    rows = rows.where("all > 1 OR often OR copy > 0")
+    leads = (F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))
+    return rows.select("key", "at", "a", "b", ((F.col("n") > 1) | (F.col("copy") > 0)).alias("repeats"), (several & leads & ~again).alias("goes_on"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -157,7 +186,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> t
     distinct = rest.unionByName(copies.select("key", "text")) if n_many else rest
     found = None
     for width in WIDTHS:
-        rows = store(_compared(_named(distinct, width, length)))
+        rows = store(_compared(_named(distinct, width, length), _often(distinct, width, length)))
         starts = rows.where("repeats").select("key", (F.col("at") - F.col("b")).alias("first"), (F.col("at") - F.col("a")).alias("last"))
         found = starts if found is None else found.unionByName(starts)
         on = rows.where("goes_on").groupBy("key").agg(F.collect_list(F.struct("at", "a", "b")).alias("ranges"))

@@ -58,3 +58,17 @@ def test_empty(spark):
     assert suffix.digests(frame(spark, [])).count() == 0
     rows = suffix.digests(frame(spark, [(None, "k" * 500), (7, "k" * 500), (7, None)])).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in rows) == [(0, 0), (500, 500), (500, 500)]
+
+
+def test_frequent_cores_change_nothing(spark, monkeypatch):
+    """Every core that occurs twice is dealt out by its unions, and so is none."""
+    texts = mixed(3)
+    for often in (2, 10**9):
+        monkeypatch.setattr(suffix, "SAMPLE", 1.0)
+        monkeypatch.setattr(suffix, "OFTEN", often)
+        check(spark, texts)
+
+
+def test_clashing_columns(spark):
+    df = frame(spark, ["k" * 500, "k" * 500 + "!", "short"]).withColumnRenamed("lang", "key").withColumnRenamed("source", "core").withColumnRenamed("n_chars", "spans")
+    assert [r["n_removed"] for r in suffix.digests(df).orderBy("doc_id").collect()] == [500, 500, 0]
