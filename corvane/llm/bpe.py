@@ -30,7 +30,7 @@ from corvane.llm.common import CHUNK_BYTES, chunks, mapped
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words and ids that a worker remembers before it starts anew, and pairs of tokens whose borders it remembers.
-MEMORY_BYTES, MEMORY_PAIRS = 96 << 20, 200_000
+MEMORY_BYTES, MEMORY_PAIRS = 48 << 20, 100_000
 #: Bytes by which the longest last token is looked up.
 TAIL = 3
 #: Python's cost of a remembered word besides its letters and ids.

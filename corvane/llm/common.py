@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,13 +64,28 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, since workers live on and others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow of rows with whole texts, whose batches are kept small for the rest of the session: rows may be long."""
     conf = df.sparkSession.conf
     at = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(at).rstrip("b")) <= BATCH_BYTES:
         conf.set(at, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
