@@ -106,6 +106,16 @@ def date_of(text: Column | str) -> tuple[Column, Column]:
     return first_of(text, [(p, 0, 0.92) for p in DATES])
 
 
+def sentences(text: Column) -> Column:
+    """Parts between sentence ends that white space follows, and between lines."""
+    return F.split(text, r"[.!?][ \t\n\f\r]+|\n")
+
+
+def one_line(text: Column) -> Column:
+    """Lower case, with single spaces for white space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\f\r]+", " "))
+
+
 def lines_like(text: Column | str, pattern: str) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern))
 

@@ -45,3 +45,36 @@ def routed(queries: DataFrame, routes: list[DataFrame], key: str) -> DataFrame:
         out = out.join(r.select(key, F.struct("section", "similarity", F.lit(i).alias("level")).alias(f"r{i}")), key, "left")
     full = F.struct(F.lit("full text").alias("section"), F.lit(0.0).alias("similarity"), F.lit(len(routes)).alias("level"))
     return out.withColumn("route", F.coalesce(*(f"r{i}" for i in range(len(routes))), full)).select(*queries.columns, "route.section", "route.similarity", "route.level")
+
+
+def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """Texts with each needle that they contain; both in single spaces.
+
+    A counted few needles are tried on every text. More meet the texts by words in a row: a needle's second to fourth word stand whole in
+    any text that contains it. Needles without that many words are few, as there are few such strings, and are tried on every text.
+    """
+    if needles.limit(rows + 1).count() <= rows:
+        return texts.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle)))
+    words = F.split(F.col(needle), " ")
+    long = needles.where(F.size(words) >= 5).withColumn("__key", F.xxhash64(F.slice(words, 2, 3)))
+    own = F.split(F.col(text), " ")
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, 3))))
+    met = texts.withColumn("__key", F.explode(windows)).join(long, "__key").drop("__key")
+    return met.unionByName(texts.crossJoin(broadcast_if_small(needles.where(F.size(words) < 5), rows))).where(F.contains(F.col(text), F.col(needle)))
+
+
+def looked_up(rows: DataFrame, terms: DataFrame, key: str, term: str, default: str) -> DataFrame:
+    """Rows with the term of their key, or the default. terms: one row a key."""
+    return rows.join(broadcast_if_small(terms), key, "left").withColumn(term, F.coalesce(term, F.lit(default)))
+
+
+def amendment(before: DataFrame, after: DataFrame, key: str, parts: list[tuple[str, list[str]]]) -> DataFrame:
+    """key, part, change: keys that came or went, then, for those in both versions, each part any of whose fields changed, in order."""
+    found = diff(before, after, [key], [f for _, fields in parts for f in fields])
+    kinds = F.lit(None).cast("string")
+    for name, fields in parts:
+        kinds = F.when(F.col("field").isin(fields), name).otherwise(kinds)
+    order = F.lit(1)
+    for i, (name, _) in enumerate(parts, 2):
+        order = F.when(F.col("change") == name, i).otherwise(order)
+    return found.select(key, F.coalesce(kinds, F.col("change")).alias("change")).distinct().select(key, order.alias("part"), "change")

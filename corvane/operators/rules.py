@@ -59,3 +59,19 @@ def completeness(present: DataFrame, name: str, required: list[str]) -> DataFram
 def summary(findings: DataFrame) -> DataFrame:
     """Findings by severity, and whether the whole is feasible (no error)."""
     return findings.groupBy("severity").agg(F.count("*").alias("rules"), F.sum("n").alias("n")).withColumn("feasible", F.max((F.col("severity") == "Error").cast("int")).over(Window.partitionBy()) == 0)
+
+
+# Levels in order of preference, and what each needs.
+EXTRACTION_LEVELS = [("E1", ["layout", "vision"]), ("E2", ["layout"]), ("E3", [])]
+CLASSIFICATION_LEVELS = [("C1", ["model", "index", "language"]), ("C2", ["model", "language"]), ("C3", ["language"]), ("C4", ["model"]), ("C5", [])]
+
+
+def best_level(levels: list[tuple[str, list[str]]], has: dict[str, Column], forced: Column | None = None) -> Column:
+    """The forced level, or the first whose needs are all there."""
+    out = F.lit(None).cast("string")
+    for level, needs in reversed(levels):
+        ok = F.lit(True)
+        for need in needs:
+            ok = ok & has[need]
+        out = F.when(ok, level).otherwise(out)
+    return out if forced is None else F.coalesce(forced, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,27 +81,47 @@ def synthetic_subjects(studies: DataFrame, study: str, n: int, seed: int) -> Dat
 
 
 def shape_components(edges: DataFrame) -> DataFrame:
-    """Components of small graphs (one per page): the smallest node label spreads over edges until nothing changes.
+    """Components of graphs (page, a, b), one per page: each node's label is the smallest node that it reaches.
 
-    edges: page, a, b. Each round halves no paths, so this is for pages, whose graphs are small; lineage is cut every round.
+    By alternating large and small stars, so rounds grow with the logarithm of a path's length; lineage is cut every round.
     """
-    both = edges.select("page", "a", "b").unionByName(edges.select("page", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.select("page", "a").distinct().withColumn("label", F.col("a"))
+    links = _cut(edges.select("page", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    nodes = links.select("page", F.explode(F.array("u", "v")).alias("a")).distinct()
+    links, sign = links.where("u <> v"), None
     while True:
-        near = both.join(label.select("page", F.col("a").alias("b"), F.col("label").alias("other")), ["page", "b"]).groupBy("page", "a").agg(F.min("other").alias("other"))
-        new = label.join(near, ["page", "a"], "left").select("page", "a", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved"))
-        new = _cut(new)
-        label = new.select("page", "a", "label")
-        if new.where("moved").isEmpty():
+        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("page", "u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (now["n"], now["h"]) == sign or not now["n"]:
             break
-    return label
+        sign = (now["n"], now["h"])
+        both = links.unionByName(links.select("page", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("page", "u").agg(F.min("v").alias("m")).select("page", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["page", "u"]).where("v > u").select("page", F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(large.groupBy("page", "u").agg(F.min("v").alias("m")), ["page", "u"])
+        links = _cut(small.select("page", "u", F.col("m").alias("v")).unionByName(small.where("v <> m").select("page", F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+    return nodes.join(links.select("page", F.col("u").alias("a"), F.col("v").alias("label")), ["page", "a"], "left").withColumn("label", F.coalesce("label", "a"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage is cut in the shared folder that the session names; only without one in a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only on one machine, where none is named, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage is cut in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

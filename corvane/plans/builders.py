@@ -168,13 +168,16 @@ def gr12_weak_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_keyword(F.col("text"), [("the", "en"), ("eau", "fr")], "other").alias("weak"), "lang")
 
 
-@query("SELECT d.doc_id % 100 AS grp, sum(CASE WHEN contains(b.text, left(d.text, 20)) THEN length(d.text) ELSE 0 END) / sum(length(d.text)) AS fidelity FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 10 GROUP BY 1")
+@query(r"""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS o FROM benchmark), s AS (SELECT doc_id, UNNEST(string_split_regex(text, '[.!?][ \t\n\f\r]+|\n')) AS x FROM documents), n AS (SELECT doc_id, trim(regexp_replace(lower(x), '[ \t\n\f\r]+', ' ', 'g')) AS x FROM s),
+f AS (SELECT doc_id, sum(CASE WHEN contains(o, left(x, 60)) THEN length(x) ELSE 0 END) / sum(length(x)) AS share FROM n JOIN b ON item_id = doc_id % 10 WHERE length(x) >= 20 GROUP BY 1) SELECT d.doc_id, coalesce(share, 1.0) AS fidelity FROM documents d LEFT JOIN f USING (doc_id)""")
 def gr19_fidelity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 10)
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("original"))
-    rows = d.join(J.broadcast_if_small(b), "item_id")
-    n = F.length("text")
-    return rows.groupBy((F.col("doc_id") % 100).alias("grp")).agg(ratio(F.sum(F.when(F.contains("original", F.left("text", F.lit(20))), n).otherwise(0)), F.sum(n)).alias("fidelity"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("item_id"), "text")
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.one_line(F.col("text")).alias("original"))
+    said = F.filter(F.transform(T.sentences(F.coalesce("text", F.lit(""))), T.one_line), lambda x: F.length(x) >= 20)
+    rows = d.join(J.broadcast_if_small(b), "item_id", "left").select("doc_id", "original", said.alias("said"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    held = F.filter("said", lambda x: F.contains(F.col("original"), F.left(x, F.lit(60))))
+    return rows.select("doc_id", F.coalesce(F.try_divide(total(held), total(F.col("said"))), F.lit(1.0)).alias("fidelity"))
 
 
 @query("SELECT l_orderkey AS study, l_suppkey AS element, l_linenumber AS visitnum, CASE WHEN l_returnflag = 'A' THEN 'LB' ELSE 'VS' END AS domain FROM lineitem WHERE l_quantity > 45")
@@ -276,3 +279,60 @@ def str30_diagram_pairs(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
     a = i.where("l_partkey < 20").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     return a.join(i.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), ["l_orderkey", "l_linenumber"]).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def dat4_date_struct(spark, sf_dir):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    info = F.when(F.col("event_id") % 3 == 1, F.to_json(F.struct(day.alias("date"), F.lit("ACTUAL").alias("type")))).when(F.col("event_id") % 3 == 2, F.to_json(F.struct(day.alias("date")))).otherwise(F.lit("{}"))
+    return table(spark, sf_dir, "events").select("event_id", readers.struct_date(info).alias("day"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_orderkey % 4 = 0 THEN count(*) END AS n FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def jsn2_list_length(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")).agg(F.collect_list("l_partkey").alias("items"))
+    own = F.to_json(F.struct(F.col("items").alias("items")))
+    text = F.when(F.col("id") % 4 == 0, own).when(F.col("id") % 4 == 1, F.lit('{"items": "none"}')).when(F.col("id") % 4 == 2, F.lit('{"other": [1]}')).otherwise(F.lit("no json"))
+    return rows.select("id", "line", readers.json_list_length(text, "items").alias("n"))
+
+
+@query("SELECT p_partkey AS id, coalesce(r_name, 'OTHER') AS term FROM part LEFT JOIN region ON r_regionkey = p_partkey % 8")
+def map2_lookup(spark, sf_dir):
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("code"), F.col("r_name").alias("term"))
+    return J.looked_up(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 8).alias("code")), names, "code", "term", "OTHER").select("id", "term")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 3 = 1 THEN 'E1' WHEN c_custkey % 2 = 1 THEN 'E2' ELSE 'E3' END AS extraction,
+CASE WHEN c_custkey % 11 = 0 THEN 'C5' WHEN c_custkey % 5 > 2 AND c_custkey % 7 > 3 AND c_custkey % 3 = 1 THEN 'C1' WHEN c_custkey % 5 > 2 AND c_custkey % 3 = 1 THEN 'C2' WHEN c_custkey % 3 = 1 THEN 'C3' WHEN c_custkey % 5 > 2 THEN 'C4' ELSE 'C5' END AS classification FROM customer""")
+def val16_levels(spark, sf_dir):
+    k = F.col("c_custkey")
+    has = {"layout": k % 2 == 1, "vision": k % 3 == 1, "model": k % 5 > 2, "index": k % 7 > 3, "language": k % 3 == 1}
+    return table(spark, sf_dir, "customer").select(k.alias("id"), R.best_level(R.EXTRACTION_LEVELS, has).alias("extraction"), R.best_level(R.CLASSIFICATION_LEVELS, has, F.when(k % 11 == 0, "C5")).alias("classification"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS visit, min(l_linenumber) AS day, min(l_tax) AS early, count(*) AS n, max(l_returnflag) AS status FROM lineitem WHERE l_orderkey % 2 = 0 AND l_suppkey % 9 <> 0 GROUP BY 1), b AS (SELECT l_suppkey AS visit, min(l_linenumber) AS day, min(l_tax) AS early, count(*) AS n, max(l_returnflag) AS status FROM lineitem WHERE l_orderkey % 2 = 1 AND l_suppkey % 7 <> 0 GROUP BY 1),
+j AS (SELECT coalesce(a.visit, b.visit) AS visit, a.visit IS NULL AS added, b.visit IS NULL AS removed, a.day AS da, b.day AS db, a.early AS ea, b.early AS eb, a.n AS na, b.n AS nb, a.status AS sa, b.status AS sb FROM a FULL JOIN b ON a.visit = b.visit)
+SELECT visit, 1 AS part, CASE WHEN added THEN 'added' ELSE 'removed' END AS change FROM j WHERE added OR removed UNION ALL SELECT visit, 2, 'timing' FROM j WHERE NOT added AND NOT removed AND da IS DISTINCT FROM db UNION ALL SELECT visit, 3, 'window' FROM j WHERE NOT added AND NOT removed AND ea IS DISTINCT FROM eb
+UNION ALL SELECT visit, 4, 'assessments' FROM j WHERE NOT added AND NOT removed AND na IS DISTINCT FROM nb UNION ALL SELECT visit, 5, 'status' FROM j WHERE NOT added AND NOT removed AND sa IS DISTINCT FROM sb""")
+def data_op25_amendment_diff(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem")
+    side = lambda r, m: item.where((F.col("l_orderkey") % 2 == r) & (F.col("l_suppkey") % m != 0)).groupBy(F.col("l_suppkey").alias("visit")).agg(F.min("l_linenumber").alias("day"), F.min("l_tax").alias("early"), F.count("*").alias("n"), F.max("l_returnflag").alias("status"))
+    parts = [("timing", ["day"]), ("window", ["early"]), ("assessments", ["n"]), ("status", ["status"])]
+    return J.amendment(side(0, 9), side(1, 7), "visit", parts)
+
+
+_INDEXED = "SELECT vec_id, label, embedding FROM embeddings WHERE label % 5 <> 0"
+
+
+@query("WITH i AS (" + _INDEXED + """), p AS (SELECT a.vec_id AS query, b.vec_id AS idx, b.label, list_sum(list_transform(range(1, 65), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) AS s FROM embeddings a JOIN i b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, idx) AS rank FROM p) SELECT query, idx, CAST(label AS VARCHAR) AS section_code, round(s, 4) AS similarity, rank FROM r WHERE rank <= 5""")
+def gr6_src22_index(spark, sf_dir):
+    from corvane.operators import vectors as O
+
+    e = table(spark, sf_dir, "embeddings").withColumn("section_code", F.col("label").cast("string")).withColumn("confidence_score", (F.col("label") % 5).cast("double") / 4).withColumn("source", F.lit("registry"))
+    first = O.add_to_index(None, e.where("vec_id % 2 = 0"), "vec_id", "embedding", 0.2)
+    path = S.shared_path(spark, "index")
+    O.save_index(first, path)
+    O.save_index(O.add_to_index(O.load_index(spark, path), e, "vec_id", "embedding", 0.2).join(first.select("idx"), "idx", "left_anti"), path, "append")
+    found = O.search_index(O.load_index(spark, path), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+    return found.select("query", "idx", "section_code", F.round("similarity", 4).alias("similarity"), "rank")

@@ -66,8 +66,8 @@ def jn22_registry_by_sections(spark, sf_dir):
 
 @query(None)
 def jn24_fuzzy_windows(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("chunk"), F.concat(F.lit("Prefix words here. "), F.left("text", F.lit(150))).alias("text"))
-    return M.aligned_windows(b, "chunk", "text", 0.4).select("item_id", "start", F.round("similarity", 4).alias("similarity"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Prefix words here. "), "text").alias("text"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "chunk"))
+    return M.aligned_windows(b.where(F.length("chunk") >= 20), "chunk", "text").select("item_id", "pos", "start", F.round("similarity", 4).alias("similarity"))
 
 
 @query("""WITH t AS (SELECT p_size AS number, p_partkey AS pos, p_name AS title, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part) SELECT s_suppkey AS number, pos AS header_pos, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS page_end FROM supplier LEFT JOIN t ON number = s_suppkey AND k = 1""")
@@ -220,10 +220,14 @@ def str28_visit_synonyms(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("id"), X.synonym_day(label).alias("v")).select("id", "v.day", "v.follow_up")
 
 
-@query("SELECT o_orderkey AS id, 'ECG' AS name, 'Week ' || (o_orderkey % 9) AS visit FROM orders")
+@query("""WITH f AS (SELECT o_orderkey AS id, o_orderkey % 9 AS k FROM orders), p AS (SELECT id, UNNEST([('ECG', 'Week ' || k, 0.70), ('ECG', 'Day ' || (k + 1), 0.70), ('blood draw', 'Screening', 0.70), ('Weight', 'Every ' || (k + 2) || ' cycles', 0.65), ('Vital signs', 'Each Visit', 0.60)]) AS v FROM f)
+SELECT id, v[1] AS name, v[2] AS visit, CAST(v[3] AS DOUBLE) AS confidence FROM p""")
 def str29_narrative_pairs(spark, sf_dir):
-    text = F.concat(F.lit("An ECG will be performed at Week "), (F.col("o_orderkey") % 9).cast("string"), F.lit(". Other text."))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(X.performed_at(text)).alias("p")).select("id", "p.name", "p.visit")
+    k = F.col("o_orderkey") % 9
+    s = lambda c: c.cast("string")
+    text = F.concat(F.lit("An ECG will be performed at Week "), s(k), F.lit(", and Day "), s(k + 1), F.lit(". The blood draw during Screening and home. Weight every "), s(k + 2), F.lit(" cycles. Vital signs are collected at each visit. the ECG on week "), s(k), F.lit("."))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(X.narrative_pairs(text)).alias("p"))
+    return rows.select("id", "p.*")
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part")
@@ -241,10 +245,12 @@ def str35_domain_classify(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.first_keyword(F.col("p_type"), [("brass", "LB"), ("steel", "VS"), ("tin", "EG")], "FA").alias("domain"))
 
 
-@query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS dose, 'MG' AS unit, 'oral' AS route, 'twice daily' AS frequency FROM part")
+@query("""SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS dose, (['MG/KG', 'ML', 'UNITS'])[p_partkey % 3 + 1] AS unit, (['ORAL', 'INTRAVENOUS', 'SUBCUTANEOUS', NULL])[p_partkey % 4 + 1] AS route, (['BID', 'Q2W', 'Q3W', 'QD', NULL])[p_partkey % 5 + 1] AS frequency FROM part""")
 def str38_dose(spark, sf_dir):
-    text = F.concat(F.lit("receives "), F.col("p_size").cast("string"), F.lit(" mg by oral use twice daily"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.dose(text).alias("d")).select("id", "d.*")
+    k = F.col("p_partkey")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    text = F.concat_ws(" ", F.lit("takes"), F.col("p_size").cast("string"), pick(3, "mg/kg", "mL", "units"), pick(4, "given po,", "as an IV drip", "by SC use", "as planned,"), pick(5, "twice a day", "every 2 weeks", "every three weeks", "once daily", "until day 9"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), X.dose(text).alias("d")).select("id", "d.*")
 
 
 @query("WITH c AS (SELECT c_custkey AS id, UNNEST(['inclusion', 'inclusion', 'exclusion']) AS category, UNNEST([1, 2, 1]) AS seq FROM customer) SELECT id, category, CAST(seq AS BIGINT) AS seq FROM c")
@@ -324,9 +330,9 @@ def gr14_subsection_registry(spark, sf_dir):
     return rows.select("section", F.array_join(F.transform("s", lambda x: x["p_name"]), " ").alias("description"), F.element_at("s", 1)["p_type"].alias("name"))
 
 
-@query("WITH h AS (SELECT l_orderkey AS header, l_suppkey % 16 AS parent, max(l_discount) AS d FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL) SELECT header, s_suppkey AS sub, round(0.65 * d * 10 + 0.35 * (s_suppkey % 10) / 10, 4) AS score FROM h JOIN supplier ON s_suppkey % 16 = parent")
+@query("WITH h AS (SELECT l_orderkey AS header, l_suppkey % 16 AS parent, max(l_discount) AS d FROM lineitem GROUP BY ALL) SELECT header, s_suppkey AS sub, round(0.65 * d * 10 + 0.35 * (s_suppkey % 10) / 10, 4) AS score FROM h JOIN supplier ON s_suppkey % 16 = parent")
 def gr15_subsection_scores(spark, sf_dir):
-    h = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("header"), (F.col("l_suppkey") % 16).alias("parent")).agg(F.max("l_discount").alias("d"))
+    h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("header"), (F.col("l_suppkey") % 16).alias("parent")).agg(F.max("l_discount").alias("d"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sub"), (F.col("s_suppkey") % 16).alias("parent"))
     return h.join(J.broadcast_if_small(s), "parent").select("header", "sub", F.round(0.65 * F.col("d") * 10 + 0.35 * (F.col("sub") % 10) / 10, 4).alias("score"))
 

@@ -166,12 +166,12 @@ def agg22_repeating_lines(spark, sf_dir):
     return norm.groupBy("norm").agg(F.count("*").alias("docs")).where("docs >= 3")
 
 
-@query("""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 300)), '[a-z]{3,}')) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM s a JOIN s b ON a.doc_id < b.doc_id AND a.doc_id // 20 = b.doc_id // 20)
-SELECT a, b, CASE WHEN u = 0 THEN 1.0 ELSE i / u END AS jaccard FROM p""")
+@query("""WITH s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM s a JOIN s b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, CASE WHEN u = 0 THEN 1.0 ELSE i / u END AS jaccard FROM p""")
 def set5_jaccard(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 20).alias("batch"), F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(300))), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
-    side = lambda n: s.select("batch", F.col("doc_id").alias(n), F.col("w").alias(f"w{n}"))
-    return side("a").join(side("b"), "batch").where("a < b").select("a", "b", jaccard("wa", "wb").alias("jaccard"))
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
+    answer = s.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("said"))
+    return s.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", jaccard("w", "said").alias("jaccard"))
 
 
 @query("SELECT code, part FROM (SELECT DISTINCT 'B.' || (p_size % 12) || '.' || (p_partkey % 30) AS code, p_partkey % 30 AS part FROM part) ORDER BY 1")
@@ -180,12 +180,13 @@ def srt1_natural_sort(spark, sf_dir):
     return rows.orderBy(T.natural_key("code"))
 
 
-@query("SELECT p_partkey AS id, regexp_matches(p_name, '[A-Z][a-z]+,? [A-Z]\\.') OR length(p_name) > 100 AS cited, length(p_name) AS chars FROM part")
+@query(r"""WITH l AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, pos, (length(line) > 100 OR regexp_matches(line, '[A-Z][a-z]+,? [A-Z]\.') OR len(list_filter(string_split_regex(line, '\s+'), lambda w: (length(w) <= 2 AND NOT list_contains(['a', 'an', 'as', 'at', 'by', 'de', 'du', 'en', 'es', 'if', 'in', 'is', 'it', 'la', 'le', 'of', 'on', 'or', 'se', 'to', 'un', 'we'], lower(w))) OR starts_with(w, '-'))) >= 2) AS garbage FROM l""")
 def fil5_garbage_header(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_name").rlike(r"[A-Z][a-z]+,? [A-Z]\.") | (F.length("p_name") > 100)).alias("cited"), F.length("p_name").cast("long").alias("chars"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), T.garbage_header(F.col("line")).alias("garbage"))
 
 
-@query(None)
+@query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) SELECT page_id, (length(title) > 100 OR regexp_matches(title, '[A-Z][a-z]+,? [A-Z]\.') OR len(list_filter(string_split_regex(title, '\s+'), lambda w: (length(w) <= 2 AND NOT list_contains(['a', 'an', 'as', 'at', 'by', 'de', 'du', 'en', 'es', 'if', 'in', 'is', 'it', 'la', 'le', 'of', 'on', 'or', 'se', 'to', 'un', 'we'], lower(w))) OR starts_with(w, '-'))) >= 2) AS garbage FROM t""")
 def fil5_garbage_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).select("page_id", T.garbage_header(F.col("title")).alias("garbage"))
 
@@ -202,14 +203,14 @@ def mth11_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha"), F.left(sha, F.lit(16)).alias("short"))
 
 
-@query("""WITH c AS (SELECT d.doc_id, b.item_id, strpos(d.text, left(b.text, 60)) AS "at" FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))) SELECT doc_id, item_id, CAST("at" AS BIGINT) AS "at" FROM c""")
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS t FROM documents), s AS (SELECT item_id, UNNEST(string_split_regex(text, '[.!?][ \t\n\f\r]+|\n')) AS x, generate_subscripts(string_split_regex(text, '[.!?][ \t\n\f\r]+|\n'), 1) - 1 AS pos FROM benchmark),
+n AS (SELECT item_id, pos, left(trim(regexp_replace(lower(x), '[ \t\n\f\r]+', ' ', 'g')), 60) AS needle FROM s) SELECT doc_id, item_id, pos, CAST(strpos(t, needle) AS BIGINT) AS "at" FROM d JOIN n ON length(needle) >= 20 AND contains(t, needle)""")
 def jn23_substring_search(spark, sf_dir):
-    # needles meet texts by a shared 8-word key would lose none, but the needle list is short: its size is checked
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("needle"))
-    from corvane.operators.joins import broadcast_if_small
+    from corvane.operators.joins import containing
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(broadcast_if_small(needles), F.contains("text", F.col("needle"))).select("doc_id", "item_id", F.instr("text", F.col("needle")).cast("long").alias("at"))
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).select("item_id", F.col("pos").cast("long").alias("pos"), F.left(T.one_line(F.col("s")), F.lit(60)).alias("needle"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text")).alias("text"))
+    return containing(docs, needles.where(F.length("needle") >= 20), "text", "needle").select("doc_id", "item_id", "pos", F.instr("text", F.col("needle")).cast("long").alias("at"))
 
 
 @query("""WITH h AS (SELECT d.doc_id, UNNEST(string_split(d.text, chr(10))) AS line FROM documents d), n AS (SELECT sha256(line) AS s, count(*) AS c FROM h WHERE length(line) > 0 GROUP BY 1) SELECT c AS copies, count(*) AS lines FROM n GROUP BY 1""")

@@ -70,12 +70,9 @@ def gr4_two_hop_propagation(spark, sf_dir):
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
-@query(f"""WITH p AS (SELECT a.label = b.label AS same, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 8 = b.vec_id % 8) SELECT same, count(*) AS pairs, round(avg(s), 4) AS mean FROM p GROUP BY 1""")
+@query(f"""WITH p AS (SELECT a.label = b.label AS same, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT same, count(*) AS pairs, round(avg(s), 4) AS mean FROM p GROUP BY 1""")
 def agg38_label_similarity(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    side = lambda s: e.select((F.col("vec_id") % 8).alias("batch"), F.col("vec_id").alias(f"id{s}"), F.col("label").alias(f"l{s}"), F.col("embedding").alias(f"v{s}"))
-    pairs = side("a").join(side("b"), "batch").where("ida < idb")
-    return pairs.groupBy((F.col("la") == F.col("lb")).alias("same")).agg(F.count("*").alias("pairs"), F.round(F.avg(V.dot("va", "vb")), 4).alias("mean"))
+    return O.label_similarity(table(spark, sf_dir, "embeddings"), "label", "embedding").select("same", "pairs", F.round("mean", 4).alias("mean"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS id, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line, l_discount * 10 AS e, l_tax * 10 AS k, CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE l_quantity / 50 END AS j FROM lineitem),

@@ -176,3 +176,14 @@ def latest_per_key(rows: DataFrame, key: list[str], ts: str) -> DataFrame:
     """The last write of each key."""
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("s")).select(*key, "s.*")
+
+
+def struct_date(info: Column) -> Column:
+    """The date of a registry's date struct in JSON, or '' without one."""
+    return F.coalesce(F.get_json_object(info, "$.date"), F.lit(""))
+
+
+def json_list_length(content: Column, key: str) -> Column:
+    """Items of the list at a key; null if there is none."""
+    value = F.try_variant_get(F.try_parse_json(content), f"$.{key}", "array<variant>")
+    return F.when(F.try_parse_json(content).isNotNull() & value.isNotNull(), F.size(value).cast("long"))
