@@ -1,12 +1,17 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard of training text (a slice of documents) gets a word-level suffix array: its suffixes sorted by their
-first words. Every suffix of every test item is binary-searched in it. A hit is then extended to
-the longest verbatim match, which tells where it stands and how long it is.
+Each shard of training text (some megabytes of documents) gets a word-level suffix array: its suffixes in the order of as many words as a
+window has, named by prefix doubling, so that no word is looked at twice. Every test suffix is named by the same tables, by binary search
+at each doubling, and then binary-searched among the shard's suffixes. Matches that go on word by word on both sides are one longest
+verbatim match, which tells where it stands and how long it is.
+
+A benchmark of more than BLOCK_BYTES is taken a block at a time: one pass over the documents each, whose result is written before the
+next block is collected, so that driver and executors hold one block only.
 
 Words are compared by 64-bit hashes. Null texts and texts without words have no words and no hits; an
-item without words has no window. Repeated rows give repeated results. Clashing column names do not matter,
-since only the id and the text are read.
+item without words has no window. Repeated rows give repeated results; items that repeat an id count as one item. Texts of any length are
+read whole, since a shard holds whole documents. An empty table gives no rows, an empty benchmark no hits. Clashing column names do not
+matter, since only the id and the text are read, and `decontaminate` keeps all columns.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, chunks, mapped, word_table
+from corvane.llm.common import Words, chunks, mapped, store, word_table
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark takes more passes over the documents.
@@ -28,8 +33,8 @@ BLOCK_BYTES = 16 << 20
 ALNUM = word_table("alnum")
 #: What is said of a document.
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: Words of a suffix that its sort key holds, 16 bits of hash each.
-KEY_WORDS = 4
+#: Bytes of text of a shard.
+SHARD_BYTES = 4 << 20
 
 
 @dataclass
@@ -46,65 +51,117 @@ class Tests:
         return cls([i for i, _ in rows], w.hashes, w.bounds)
 
 
-def sort_keys(hashes: np.ndarray) -> np.ndarray:
-    """The top 16 bits of the hashes of each suffix's first words, side by side."""
-    top = hashes >> np.uint64(48)
-    key = np.zeros(len(top), np.uint64)
-    for j in range(min(KEY_WORDS, len(top))):
-        key[: len(top) - j] |= top[j:] << np.uint64(48 - 16 * j)
-    return key
+def shifted(ranks: np.ndarray, by: int) -> np.ndarray:
+    """The rank that stands `by` places on; 0 beyond the end."""
+    out = np.zeros_like(ranks)
+    out[: max(0, len(ranks) - by)] = ranks[by:]
+    return out
 
 
 class SuffixArray:
-    """Suffixes of a shard's words, in the order of their keys; texts do not run into each other when matched."""
-
-    def __init__(self, words: Words):
-        self.words, self.bounds = words.hashes, words.bounds
-        key = sort_keys(self.words)
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
-
-    def find(self, test: np.ndarray, n_key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Binary search: pairs of test suffix and text position that agree in the key's first n_key words."""
-        key = sort_keys(test)[at]
-        free = np.uint64(16) * (np.uint64(KEY_WORDS) - n_key.astype(np.uint64))
-        low = np.where(n_key < KEY_WORDS, key >> free << free, key)
-        high = np.where(n_key < KEY_WORDS, low | ((np.uint64(1) << free) - np.uint64(1)), key)
-        a, b = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
-        count = b - a
+    """Suffixes of a shard's words by their first n words, and test suffixes by the same names. Texts do not run into each other."""
+
+    def __init__(self, words: Words, tests: Tests):
+        # what is left of its text or item at each word, so that a name never reaches beyond
+        self.left, self.test_left = (np.repeat(b[1:], np.diff(b)) - np.arange(b[-1]) for b in (words.bounds, tests.bounds))
+        self.names: dict[int, tuple[np.ndarray, np.ndarray]] = {1: self._named(words.hashes, tests.hashes, np.ones(len(words.hashes), bool), np.ones(len(tests.hashes), bool))}
+
+    @staticmethod
+    def _named(own: np.ndarray, test: np.ndarray, own_ok: np.ndarray, test_ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks from 1 of the shard's keys, and those of equal test keys, found by binary search; 0 for none."""
+        table, inverse = np.unique(own[own_ok], return_inverse=True)
+        ranks, found = np.zeros(len(own), np.int64), np.zeros(len(test), np.int64)
+        ranks[own_ok] = inverse + 1
+        if len(table):
+            keys = test[test_ok]
+            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            found[test_ok] = np.where(table[at] == keys, at + 1, 0)
+        return ranks, found
+
+    def _joined(self, first: tuple[np.ndarray, np.ndarray], k: int, second: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of n words from those of the first k and of the rest."""
+        span = int(second[0].max(initial=0)) + 1
+        keys, ok = [], []
+        for a, b, left in zip(first, second, (self.left, self.test_left)):
+            b = shifted(b, k)
+            keys.append(a * span + b)
+            ok.append((a > 0) & (b > 0) & (left >= n))
+        return self._named(*keys, *ok)
+
+    def ranks(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the first n words of the shard's and the tests' suffixes."""
+        if n not in self.names:
+            half = 1 << ((n - 1).bit_length() - 1)
+            self.names[n] = self._joined(self.ranks(half), half, self.ranks(n - half), n)
+        return self.names[n]
+
+    def find(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of test suffix (index in `at`) and text position that agree in their first n words."""
+        own, test = self.ranks(n)
+        order = np.argsort(own, kind="stable")
+        ranks, wanted = own[order], test[at]
+        a, b = np.searchsorted(ranks, wanted, "left"), np.searchsorted(ranks, wanted, "right")
+        count = np.where(wanted > 0, b - a, 0)
         which = np.repeat(np.arange(len(at)), count)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
-        return which, self.order[place]
+        return which, order[place]
 
-    def longest(self, test: np.ndarray, t: np.ndarray, t_end: np.ndarray, p: np.ndarray, p_end: np.ndarray) -> np.ndarray:
-        """Words that agree from t and p on, without passing the ends."""
-        most = np.minimum(t_end - t, p_end - p)
-        length = np.zeros(len(t), np.int64)
-        live = np.flatnonzero(most > 0)
-        while len(live):
-            same = test[t[live] + length[live]] == self.words[p[live] + length[live]]
-            live = live[same]
-            length[live] += 1
-            live = live[length[live] < most[live]]
-        return length
+
+def windows_of(tests: Tests, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length of a window: the places of windows of so many words, and the items that they are in."""
+    n = np.diff(tests.bounds)
+    need = np.minimum(n, window)
+    for k in np.unique(need[need > 0]):
+        own = np.flatnonzero(need == k)
+        count = n[own] - k + 1
+        item = np.repeat(own, count)
+        yield int(k), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + tests.bounds[item], item
 
 
 def matches(words: Words, tests: Tests, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Text number, first word in it, words, item number and first word in the item, of each match of a window or more."""
-    none = np.zeros(0, np.int64)
-    n = np.diff(tests.bounds)
-    need = np.minimum(n, window)  # words that a match must have
-    item = np.repeat(np.arange(len(n)), np.maximum(n - need + 1, 0) * (n > 0))
-    at = np.concatenate([np.arange(a, a + k - w + 1) for a, k, w in zip(tests.bounds[:-1], n, need) if k] or [none])
-    if not len(at) or not len(words.hashes):
-        return none, none, none, none, none
-    shard = SuffixArray(words)
-    which, pos = shard.find(tests.hashes, np.minimum(need[item], KEY_WORDS), at)
-    text = np.searchsorted(words.bounds, pos, "right") - 1
-    length = shard.longest(tests.hashes, at[which], tests.bounds[item[which] + 1], pos, words.bounds[text + 1])
-    ok = length >= need[item[which]]
-    which, pos, text, length = which[ok], pos[ok], text[ok], length[ok]
-    return text, pos - words.bounds[text], length, item[which], at[which] - tests.bounds[item[which]]
+    """Text number, first word in it, words, item number and first word in the item, of each longest match of a window or more."""
+    out = [np.zeros((5, 0), np.int64)]
+    if len(words.hashes) and len(tests.hashes):
+        shard = SuffixArray(words, tests)
+        for k, at, item in windows_of(tests, window):
+            which, pos = shard.find(k, at)
+            place, own = at[which], item[which]
+            # matches that go on by a word on both sides lie on one diagonal, in a row
+            order = np.lexsort((pos, pos - place))
+            pos, place, own = pos[order], place[order], own[order]
+            text = np.searchsorted(words.bounds, pos, "right") - 1
+            new = np.ones(len(pos), bool)
+            new[1:] = (pos[1:] != pos[:-1] + 1) | (place[1:] != place[:-1] + 1) | (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+            starts = np.flatnonzero(new)
+            length = np.diff(np.append(starts, len(pos))) + k - 1
+            pos, place, own, text = pos[starts], place[starts], own[starts], text[starts]
+            out.append(np.array([text, pos - words.bounds[text], length, own, place - tests.bounds[own]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def hits(words: Words, tests: Tests, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are in a window's occurrence, and the pairs of text number and item. Windows with equal words are searched once."""
+    change = np.zeros(len(words.hashes) + 1, np.int64)
+    pairs = [np.zeros((2, 0), np.int64)]
+    if len(words.hashes) and len(tests.hashes):
+        shard = SuffixArray(words, tests)
+        for k, at, item in windows_of(tests, window):
+            name = shard.ranks(k)[1][at]
+            at, item, name = at[name > 0], item[name > 0], name[name > 0]
+            _, first, same = np.unique(name, return_index=True, return_inverse=True)
+            which, pos = shard.find(k, at[first])
+            np.add.at(change, pos, 1)
+            np.add.at(change, pos + k, -1)
+            # texts that hold a window, each once, and then the window's items, each once
+            text = np.searchsorted(words.bounds, pos, "right") - 1
+            holds = np.unique(np.stack([which, text]), axis=1)
+            of = np.unique(np.stack([same, item]), axis=1)
+            a, b = np.searchsorted(of[0], holds[0], "left"), np.searchsorted(of[0], holds[0], "right")
+            row = np.repeat(np.arange(len(a)), b - a)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+            pairs.append(np.stack([holds[1][row], of[1][place]]))
+    found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return np.cumsum(change[:-1]) > 0, found[0], found[1]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -126,15 +183,13 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tests = shared.value
-            for batch in chunks(batches, "text"):
+            for batch in chunks(batches, "text", SHARD_BYTES):
                 text, first, length, item, item_first = matches(Words(batch.column("text"), ALNUM), tests, window)
-                # a match that begins one word later in both is part of the one before
-                seen = set(zip(text.tolist(), first.tolist(), item.tolist(), item_first.tolist()))
-                keep = [k for k, (a, b, c, d) in enumerate(zip(text.tolist(), first.tolist(), item.tolist(), item_first.tolist())) if (a, b - 1, c, d - 1) not in seen]
-                if keep:
-                    yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(text[keep])), pa.array(first[keep]), pa.array(length[keep]), pa.array([tests.ids[i] for i in item[keep]]), pa.array(item_first[keep])], [id_col, "first_word", "n_match", "item_id", "item_word"])
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(text)), pa.array(first), pa.array(length), pa.array([tests.ids[i] for i in item]), pa.array(item_first)], [id_col, "first_word", "n_match", "item_id", "item_word"])
 
-        found = mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {kind}, first_word long, n_match long, item_id {item_kind}, item_word long")
+        found = store(mapped(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, f"{id_col} {kind}, first_word long, n_match long, item_id {item_kind}, item_word long"))
+        shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -153,24 +208,20 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: s
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("n")).first()["n"]
     if size > block_bytes:
         return _by_passes(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, keep)
-    shared = [docs.sparkSession.sparkContext.broadcast(Tests.of([tuple(r) for r in benchmark.select(item_col, item_text).collect()]))]
+    shared = docs.sparkSession.sparkContext.broadcast(Tests.of([tuple(r) for r in benchmark.select(item_col, item_text).collect()]))
     kept = [c for c in dict.fromkeys((id_col, *keep))]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
+        tests = shared.value
+        for batch in chunks(batches, "__text", SHARD_BYTES):
             words = Words(batch.column("__text"), ALNUM)
             n = np.diff(words.bounds)
-            change = np.zeros(len(words.hashes) + 1, np.int64)
+            inside, text, item = hits(words, tests, window)
             items: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for block in shared:
-                text, first, length, item, _ = matches(words, block.value, window)
-                at = words.bounds[text] + first
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
-                for t, i in set(zip(text.tolist(), item.tolist())):
-                    items[t].add(str(block.value.ids[i]))
-            hit = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) > 0)))
+            for t, i in zip(text.tolist(), item.tolist()):
+                items[t].add(str(tests.ids[i]))
+            hit = np.concatenate(([0], np.cumsum(inside)))
             n_hit = hit[words.bounds[1:]] - hit[words.bounds[:-1]]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
