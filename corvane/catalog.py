@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.registry import QUERIES, SQL, Query
 
-PLANS = ("analytics", "windows", "texts", "filters", "vectors", "studies", "rules", "matching", "builders", "events")
+PLANS = ("analytics", "windows", "texts", "filters", "vectors", "studies", "rules", "matching", "builders", "storage", "events")
 
 
 def _load() -> None:

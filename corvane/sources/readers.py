@@ -187,3 +187,16 @@ def json_list_length(content: Column, key: str) -> Column:
     """Items of the list at a key; null if there is none."""
     value = F.try_variant_get(F.try_parse_json(content), f"$.{key}", "array<variant>")
     return F.when(F.try_parse_json(content).isNotNull() & value.isNotNull(), F.size(value).cast("long"))
+
+
+def dims(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
+    """A small dimension from JSON lines, or from one YAML file with a list of entries. A wrong type or a missing key raises."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml  # optional: only these files need it
+
+        text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        rows = spark.createDataFrame(yaml.safe_load(text), schema, verifySchema=True)
+    else:
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    return rows.select(*(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"an entry without {c}"))).otherwise(F.col(c)).alias(c) if c in required else F.col(c) for c in fields))
