@@ -108,3 +108,15 @@ def mth2_cosine(spark, sf_dir):
     from corvane.functions.vector import cosine
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(cosine("embedding", F.reverse("embedding")), 5).alias("similarity"))
+
+
+@query("SELECT 'ST' || (o_custkey % 40) AS STUDYID, 'TS' AS DOMAIN, CAST(o_orderkey AS DOUBLE) AS TSSEQ, o_orderpriority AS TSPARM, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice * (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) END AS TSVAL FROM orders")
+def src10_transport(spark, sf_dir):
+    from corvane.sources import transport
+
+    k = F.col("o_orderkey")
+    value = F.when(k % 7 != 0, F.col("o_totalprice") * F.when(k % 2 == 0, 1).otherwise(-1))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("ST"), (F.col("o_custkey") % 40).cast("string")).alias("STUDYID"), F.lit("TS").alias("DOMAIN"), k.cast("double").alias("TSSEQ"), F.col("o_orderpriority").alias("TSPARM"), value.alias("TSVAL"))
+    path = shared_path(spark, "transport")
+    transport.transport_files(rows, "STUDYID", "TS", ["TSSEQ"], "Trial Summary").write.parquet(path)
+    return transport.transport_rows(spark.read.parquet(path), "STUDYID string, DOMAIN string, TSSEQ double, TSPARM string, TSVAL double")
