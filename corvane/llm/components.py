@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import store
 
 #: Pivots of a bucket in each round; the last number holds for all further rounds.
-PIVOTS = (1, 4, 32, 256)
+PIVOTS = (1, 3, 9, 27, 81, 243)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -64,39 +64,40 @@ def shared(members: DataFrame) -> DataFrame:
     return store(rows.drop("size").join(degree, "id"))
 
 
-def bucket_components(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, pivots: tuple[int, ...] = PIVOTS) -> DataFrame | None:
+def bucket_components(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, pivots: tuple[int, ...] = PIVOTS, quick: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
     """id, component by all true links between members of a bucket; None if there is no link. rows: key, id, degree.
 
     In a round each member is held against a few pivots of its buckets, those of the greatest degree, by `verify`, which gives
-    the true ones of pairs (id, pivot). Pivots then leave the bucket, since all their pairs are known. After the first round, which finds
-    most links, so does every bucket whose members lie in one component. Rounds go on, each with more pivots, until no bucket has
-    two members left; or after the rounds of `pivots` `finish` makes the pairs of all that is left.
+    the true ones of pairs (id, pivot). Pivots then leave the bucket, since all their pairs are known, and so does every bucket
+    whose other members lie in one component. Rounds go on, each with more pivots, until no bucket is left; or after the rounds of
+    `pivots` `finish` makes the pairs of all that is left. With `quick` rows have a `mark` too,
+    and pairs whose marks it refuses are no links.
     """
 
     def linked(pairs: DataFrame) -> DataFrame:
         return store(verify(store(pairs.select("id", "pivot").distinct())).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
-    labels, links, turn = None, None, 0
-    now = rows.select("key", "id", "degree", F.col("id").alias("cid"))
+    labels, turn = None, 0
+    marks = ["mark"] if quick else []
+    now = rows.select("key", "id", "degree", *marks, F.col("id").alias("cid"))
     while True:
-        if turn >= len(pivots) and finish is not None:
-            links = links.unionByName(linked(finish(now)))
-            break
-        order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64(F.lit(turn), "id"), "id")
-        first = store(now.select("key", F.col("id").alias("pivot"), F.col("cid").alias("pivot_cid"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)]).drop("rank"))
-        found = linked(now.join(first, "key").where("cid != pivot_cid"))
-        links = found if links is None else links.unionByName(found)
-        rest = now.join(first.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti")
-        if not turn:
-            if not found.isEmpty():
-                labels, links = store(connected(found)), found.limit(0)
-            rest = with_component(rest.drop("cid"), labels)
-            # a pivot's component counts too, but it has been held against all
-            open_ = rest.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
+        last = turn >= len(pivots) and finish is not None
+        if last:
+            found = linked(finish(now))
         else:
-            open_ = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        now = store(rest.join(open_.select("key"), "key", "left_semi"))
-        turn += 1
+            order = Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64(F.lit(turn), "id"), "id")
+            first = store(now.select("key", F.col("id").alias("pivot"), F.col("cid").alias("pivot_cid"), *(F.col(m).alias("pivot_mark") for m in marks), F.row_number().over(order).alias("rank")).where(F.col("rank") <= pivots[min(turn, len(pivots) - 1)]).drop("rank"))
+            near = F.col("key") == F.col("pivot_key")
+            if quick:
+                near = near & quick(F.col("mark"), F.col("pivot_mark"))
+            found = linked(now.join(first.withColumnRenamed("key", "pivot_key"), near & (F.col("cid") != F.col("pivot_cid"))))
+        if not found.isEmpty():
+            labels = merged(labels, found)
+        if last:
+            return labels
+        rest = with_component(now.drop("cid").join(first.select("key", F.col("pivot").alias("id")), ["key", "id"], "left_anti"), labels)
+        open_ = rest.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key")
+        now = store(rest.join(open_, "key", "left_semi"))
         if now.isEmpty():
-            break
-    return labels if links.isEmpty() else merged(labels, links)
+            return labels
+        turn += 1
