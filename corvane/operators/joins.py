@@ -78,3 +78,11 @@ def amendment(before: DataFrame, after: DataFrame, key: str, parts: list[tuple[s
     for i, (name, _) in enumerate(parts, 2):
         order = F.when(F.col("change") == name, i).otherwise(order)
     return found.select(key, F.coalesce(kinds, F.col("change")).alias("change")).distinct().select(key, order.alias("part"), "change")
+
+
+def page_ranges(starts: DataFrame, blocks: DataFrame, doc: str, start: str, page: str) -> DataFrame:
+    """Blocks with each section whose pages they lie on: from its start to the page before the next one's, the last to the document's end."""
+    last = blocks.groupBy(doc).agg(F.max(page).alias("__last"))
+    stop = F.coalesce(F.lead(start).over(Window.partitionBy(doc).orderBy(start)) - 1, F.col("__last"))
+    ranges = starts.join(last, doc).withColumn("__stop", F.greatest(stop, F.col(start)))
+    return ranges.join(blocks, doc).where((F.col(page) >= F.col(start)) & (F.col(page) <= F.col("__stop"))).drop("__stop", "__last")

@@ -49,11 +49,11 @@ def jn20_page_enrichment(spark, sf_dir):
     return c.select("conv_id", "turn", "text", F.lit("paragraph").alias("block_type")).unionByName(extra)
 
 
-@query("""WITH s AS (SELECT conv_id, turn AS start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, 1000000) AS stop FROM conversations WHERE role = 'user') SELECT s.conv_id, s.start, count(*) AS blocks, CAST(sum(length(c.text)) AS BIGINT) AS chars FROM s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn BETWEEN s.start AND s.stop GROUP BY ALL""")
+@query("""WITH s AS (SELECT conv_id, turn AS start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, (SELECT max(turn) FROM conversations l WHERE l.conv_id = u.conv_id)) AS stop FROM conversations u WHERE role = 'user') SELECT s.conv_id, s.start, count(*) AS blocks, CAST(sum(length(c.text)) AS BIGINT) AS chars FROM s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn BETWEEN s.start AND s.stop GROUP BY ALL""")
 def jn21_section_pages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    s = c.where("role = 'user'").select("conv_id", F.col("turn").alias("start"), F.coalesce(F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")) - 1, F.lit(1000000)).alias("stop"))
-    return s.join(c, "conv_id").where("turn BETWEEN start AND stop").groupBy("conv_id", "start").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+    s = c.where("role = 'user'").select("conv_id", F.col("turn").alias("start"))
+    return J.page_ranges(s, c, "conv_id", "start", "turn").groupBy("conv_id", "start").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("""WITH a AS (SELECT DISTINCT l_suppkey AS code FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07), b AS (SELECT DISTINCT l_suppkey AS code FROM lineitem WHERE l_quantity < 2 AND l_tax > 0.07) SELECT coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NULL THEN 'pdf only' WHEN b.code IS NULL THEN 'registry only' ELSE 'both' END AS status FROM a FULL JOIN b ON a.code = b.code""")
