@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import store
 
 #: Pivots of a bucket in each round; the last number holds for all further rounds.
-PIVOTS = (1, 3, 9, 27, 81, 243)
+PIVOTS = (1, 8, 64, 512)
 
 
 def connected(links: DataFrame) -> DataFrame:
