@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table of ids may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
 #: Text bytes that one vectorised step works on, so that its arrays stay small.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Bytes of a batch of whole texts on its way to Python, in both the executor's and the worker's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32

@@ -1,6 +1,6 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard of training text (some megabytes of documents) gets a word-level suffix array: its suffixes in the order of as many words as a
+Each shard of training text (about a megabyte of documents) gets a word-level suffix array: its suffixes in the order of as many words as a
 window has, named by prefix doubling, so that no word is looked at twice. Every test suffix is named by the same tables, by binary search
 at each doubling, and then binary-searched among the shard's suffixes. Matches that go on word by word on both sides are one longest
 verbatim match, which tells where it stands and how long it is.
@@ -34,7 +34,7 @@ ALNUM = word_table("alnum")
 #: What is said of a document.
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Bytes of text of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
