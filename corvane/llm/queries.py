@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, jaccard, lines, matroska, pii, quality, sharding, suffix, warc
+from corvane.llm import bpe, decontam, jaccard, lines, matroska, pii, quality, sharding, suffix, token_counts, warc
 from corvane.llm.common import cut, read_table, utf8
 
 
@@ -55,7 +55,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_suffix_dedup, op3_sharding, op4_line_dedup, op5_jaccard, op6_decontamination, op7_pii, op8_bpe, op9_warc, op10_quality)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_suffix_dedup, op3_sharding, op4_line_dedup, op5_jaccard, op6_decontamination, op7_pii, op8_bpe, op9_warc, op10_quality, op11_token_counts)}
 
 ORACLE_SQL = {
     "op9_warc": """
