@@ -1,16 +1,13 @@
-"""Centroids, nearest neighbours, label propagation. Vectors are an input column of arrays."""
+"""Centroids, indexes of sections, label propagation. Vectors are an input column of arrays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.vector import dot, unit
 from corvane.operators.joins import broadcast_if_small
+from corvane.operators.neighbour_index import Index, neighbours  # noqa: F401
 
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -20,53 +17,6 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.select(label, unit("mean").alias("centroid"))
 
 
-def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """block, ids, data: rows in blocks of about `size`, their vectors as one matrix of doubles."""
-    n = max(1, -(-rows.count() // size))
-    kind = rows.schema[key].dataType.simpleString()
-
-    def pack(group: pa.Table) -> pa.Table:
-        matrix = np.array(group.column("v").to_pylist(), np.float64)
-        return pa.table({"block": group.column("block")[:1], "ids": pa.array([group.column("id").to_pylist()]), "data": pa.array([matrix.tobytes()], pa.binary())})
-
-    part = F.pmod(F.xxhash64(key), F.lit(n))
-    return rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), part.alias("block")).groupBy("block").applyInArrow(pack, f"block long, ids array<{kind}>, data binary")
-
-
-def neighbours(targets: DataFrame, index: DataFrame, key: str, vector: str, k: int, size: int = 2048) -> DataFrame:
-    """The k nearest index rows of each target by inner product, itself left out; ties go to the smaller id.
-
-    Both sides are packed into blocks, and each pair of blocks is one matrix product that keeps k rows a target, so no task holds
-    more than two blocks. This is exact: every target is held against the whole index.
-    """
-    kind = targets.schema[key].dataType.simpleString()
-    t, i = _packed(targets, key, vector, size), _packed(index, key, vector, size)
-    left = t.select(F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
-    right = i.select(F.col("ids").alias("i_ids"), F.col("data").alias("i_data"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = [batch.column(c)[r].as_py() for c in ("t_ids", "t_data", "i_ids", "i_data")]
-                a, b = (np.frombuffer(row[j + 1]).reshape(len(row[j]), -1) for j in (0, 2))
-                t_ids, i_ids = np.array(row[0]), np.array(row[2])
-                by_id = np.argsort(i_ids, kind="stable")
-                # equal vectors must tie, whatever the order of a sum's parts
-                s = np.round(a @ b[by_id].T, 12)
-                s[t_ids[:, None] == i_ids[by_id][None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(s, best, axis=1)
-                ok = np.isfinite(found)
-                out = [np.repeat(t_ids, best.shape[1])[ok.ravel()], i_ids[by_id][best].ravel()[ok.ravel()], found.ravel()[ok.ravel()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["target", "neighbour", "similarity"])
-
-    # each task takes a few pairs of blocks
-    pairs = left.join(right, F.lit(True)).repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    near = pairs.mapInArrow(run, f"target {kind}, neighbour {kind}, similarity double")
-    best = Window.partitionBy("target").orderBy(F.desc("similarity"), "neighbour")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("target", "neighbour", "similarity", F.col("rank").cast("long").alias("rank"))
-
-
 def label_similarity(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """same, pairs, mean: mean inner product over all pairs of one label, and over all pairs of two.
 
@@ -84,31 +34,20 @@ def label_similarity(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return both.select(F.inline(cases)).where("pairs > 0").select("same", "pairs", (F.col("twice") / 2 / F.col("pairs")).alias("mean"))
 
 
-#: Columns of a vector index beside the vector.
+#: Columns of an index of sections beside key and vector.
 INDEX = ("section_code", "confidence_score", "source")
 
 
-def add_to_index(index: DataFrame | None, sections: DataFrame, key: str, vector: str, min_confidence: float = 0.0) -> DataFrame:
-    """An index, or a new one, with more sections: those with a vector and enough confidence. A key that it has stays as it was."""
-    new = sections.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & (F.coalesce("confidence_score", F.lit(0.0)) >= min_confidence))
-    new = new.select(F.col(key).alias("idx"), unit(vector).alias("vec"), *INDEX).dropDuplicates(["idx"])
-    return new if index is None else index.unionByName(new.join(index.select("idx"), "idx", "left_anti"))
-
-
-def save_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One Parquet table: idx, vec and the metadata."""
-    index.write.mode(mode).parquet(path)
-
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def indexable(sections: DataFrame, key: str, vector: str, min_confidence: float = 0.0) -> DataFrame:
+    """What goes into an index of sections: those with a vector, scaled to length 1, and enough confidence."""
+    kept = sections.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & (F.coalesce("confidence_score", F.lit(0.0)) >= min_confidence))
+    return kept.select(key, unit(vector).alias(vector), *INDEX)
 
 
-def search_index(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+def search_sections(index: Index, queries: DataFrame, key: str, vector: str, k: int = 5, exact: bool = False) -> DataFrame:
     """query, idx, similarity, rank and the metadata: the k entries of the greatest cosine; a query's own key is left out."""
-    entries = index.select(F.col("idx").alias(key), F.col("vec").alias(vector))
-    near = neighbours(queries.select(key, unit(vector).alias(vector)), entries, key, vector, k)
-    return near.join(index.drop("vec"), F.col("neighbour") == F.col("idx")).select(F.col("target").alias("query"), "idx", "similarity", "rank", *INDEX)
+    near = index.search(queries.select(key, unit(vector).alias(vector)), key, vector, k, exact)
+    return near.join(index.entries.select("idx", *INDEX), F.col("neighbour") == F.col("idx")).select(F.col("target").alias("query"), "idx", "similarity", "rank", *INDEX)
 
 
 def nearest_centroids(rows: DataFrame, centres: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:

@@ -327,12 +327,14 @@ _INDEXED = "SELECT vec_id, label, embedding FROM embeddings WHERE label % 5 <> 0
 @query("WITH i AS (" + _INDEXED + """), p AS (SELECT a.vec_id AS query, b.vec_id AS idx, b.label, list_sum(list_transform(range(1, 65), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) AS s FROM embeddings a JOIN i b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, idx) AS rank FROM p) SELECT query, idx, CAST(label AS VARCHAR) AS section_code, round(s, 4) AS similarity, rank FROM r WHERE rank <= 5""")
 def gr6_src22_index(spark, sf_dir):
+    from corvane.operators import neighbour_index as N
     from corvane.operators import vectors as O
 
     e = table(spark, sf_dir, "embeddings").withColumn("section_code", F.col("label").cast("string")).withColumn("confidence_score", (F.col("label") % 5).cast("double") / 4).withColumn("source", F.lit("registry"))
-    first = O.add_to_index(None, e.where("vec_id % 2 = 0"), "vec_id", "embedding", 0.2)
-    path = S.shared_path(spark, "index")
-    O.save_index(first, path)
-    O.save_index(O.add_to_index(O.load_index(spark, path), e, "vec_id", "embedding", 0.2).join(first.select("idx"), "idx", "left_anti"), path, "append")
-    found = O.search_index(O.load_index(spark, path), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+    kept = O.indexable(e, "vec_id", "embedding", 0.2)
+    path, grown = S.shared_path(spark, "index"), S.shared_path(spark, "index")
+    N.build(kept.where("vec_id % 2 = 0"), "vec_id", "embedding").save(path)
+    # what the index holds stays, the rest is added
+    N.load(spark, path).add(kept, "vec_id", "embedding").tuned(5).save(grown)
+    found = O.search_sections(N.load(spark, grown), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, exact=True)
     return found.select("query", "idx", "section_code", F.round("similarity", 4).alias("similarity"), "rank")

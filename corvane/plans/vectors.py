@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import vector as V
+from corvane.operators import neighbour_index as N
 from corvane.operators import vectors as O
 from corvane.registry import query, table
 
@@ -31,7 +32,7 @@ _KNN = f"""p AS (SELECT a.vec_id AS target, b.vec_id AS neighbour, {DOT} AS s FR
 @query(f"WITH {_KNN} SELECT target, neighbour, round(s, 5) AS similarity, rank FROM r WHERE rank <= 5")
 def jn13_nearest_neighbours(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return O.neighbours(e, e, "vec_id", "embedding", 5).withColumn("similarity", F.round("similarity", 5))
+    return N.neighbours(e, e, "vec_id", "embedding", 5).withColumn("similarity", F.round("similarity", 5))
 
 
 @query(f"SELECT b.vec_id, round({DOT}, 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 ORDER BY {DOT} DESC, b.vec_id LIMIT 10")
@@ -54,7 +55,7 @@ v AS (SELECT target, label, count(*) AS votes, max(s) AS s, arg_max(c, s) AS c F
 SELECT target AS vec_id, label, round(c * s, 4) AS confidence, votes FROM b WHERE n = 1 AND c * s >= 0.3""")
 def agg25_label_vote(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    near = O.neighbours(e.where("vec_id % 3 = 0"), e, "vec_id", "embedding", 9)
+    near = N.neighbours(e.where("vec_id % 3 = 0"), e, "vec_id", "embedding", 9)
     known = e.where("vec_id % 3 <> 0").select("vec_id", "label", F.lit(0.95).alias("confidence"))
     return O.propagate(near, known, "vec_id", "label", "confidence", 0.3).withColumn("confidence", F.round("confidence", 4))
 
@@ -62,7 +63,7 @@ def agg25_label_vote(spark, sf_dir):
 @query(None)
 def gr4_two_hop_propagation(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    near = O.neighbours(e, e, "vec_id", "embedding", 9).where("similarity >= 0.3")
+    near = N.neighbours(e, e, "vec_id", "embedding", 9).where("similarity >= 0.3")
     known = e.where("vec_id % 10 = 0").select("vec_id", "label", F.lit(0.95).alias("confidence"))
     unknown = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("target"))
     one = O.propagate(near.join(unknown, "target", "left_semi"), known, "vec_id", "label", "confidence", 0.25)
