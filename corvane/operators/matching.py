@@ -36,19 +36,6 @@ def contained_in_any(rows: DataFrame, name: str, others: Column) -> DataFrame:
     return rows.where(F.exists(others, lambda o: F.contains(low, F.lower(o)) | F.contains(F.lower(o), low)))
 
 
-def neighbour_boost(candidates: DataFrame, doc: str, pos: str) -> DataFrame:
-    """The parallel form of the neighbour rule: in a close call the second candidate gains .06 if its ordinal fits between the neighbours' and the first's does not.
-
-    candidates: doc, pos, first, second (ordinals), score1, score2. Neighbours are taken by their unadjusted first candidates.
-    """
-    w = Window.partitionBy(doc).orderBy(pos)
-    low, high = F.coalesce(F.lag("first").over(w), F.lit(0)), F.coalesce(F.lead("first").over(w), F.lit(10**6))
-    fits = lambda c: F.col(c).between(low, high)
-    close = (F.col("score1") - F.col("score2") <= 0.10) & (F.col("score1") >= 0.50) & (F.col("score1") < 0.75)
-    rows = candidates.withColumn("boosted", F.when(close & fits("second") & ~fits("first"), F.col("score2") + 0.06).otherwise(F.col("score2")))
-    return rows.withColumn("chosen", F.when(F.col("boosted") > F.col("score1"), F.col("second")).otherwise(F.col("first")))
-
-
 def header_votes(votes: DataFrame, key: str) -> DataFrame:
     """The code that two or more of the top three exemplars agree on, with a gain of .06."""
     counts = votes.where("rank <= 3").groupBy(key, "code").agg(F.count("*").alias("n"))
@@ -78,16 +65,6 @@ def gap_recovery(gaps: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     return first.select(key, "level", "answer", F.round(scaled, 4).alias("confidence"))
 
 
-def aligned_windows(texts: DataFrame, chunk: str, text: str, least: float = 0.8) -> DataFrame:
-    """The best window of a text for a chunk: windows of twice its length every quarter of it; similarity by edit distance."""
-    n = F.greatest(F.length(chunk), F.lit(4))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n), F.floor(n / 4).cast("int"))
-    rows = texts.withColumn("start", F.explode(starts)).withColumn("window", F.expr(f"substring({text}, start, greatest(length({chunk}), 4))"))
-    score = 1 - F.levenshtein(chunk, "window") / F.greatest(F.length(chunk), F.length("window"))
-    scored = rows.withColumn("similarity", score).where(F.col("similarity") >= least)
-    return scored
-
-
 def exact_stream_merge(pairs: DataFrame, doc: str) -> DataFrame:
     """The order-dependent merge of visit pairs of a document: a pair joins the first kept one whose name and visit contain, or are in, its own; each re-match adds .1, at most .95."""
     kind = pairs.schema[doc].dataType.simpleString()

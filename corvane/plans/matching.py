@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions import parsing as X
 from corvane.functions import text as T
+from corvane.operators import alignment as A
 from corvane.operators import joins as J
 from corvane.operators import matching as M
+from corvane.operators.order_hints import order_hints
 from corvane.operators.sets import first_per_key
 from corvane.registry import query, table, typed
 
@@ -66,8 +68,11 @@ def jn22_registry_by_sections(spark, sf_dir):
 
 @query(None)
 def jn24_fuzzy_windows(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Prefix words here. "), "text").alias("text"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "chunk"))
-    return M.aligned_windows(b.where(F.length("chunk") >= 20), "chunk", "text").select("item_id", "pos", "start", F.round("similarity", 4).alias("similarity"))
+    item = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(A.chunked("text")).alias("pos", "chunk"))
+    chunks = item.select("item_id", "pos", F.concat_ws(":", "item_id", "pos").alias("part"), "chunk")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    links = A.linked_by_words(chunks, docs, "part", "doc_id")
+    return A.align(chunks.join(links, "part"), docs, ["doc_id"]).select("doc_id", "item_id", F.col("pos").cast("long").alias("pos"), "char_offset", "span_length", F.round("similarity", 4).alias("similarity"))
 
 
 @query("""WITH t AS (SELECT p_size AS number, p_partkey AS pos, p_name AS title, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part) SELECT s_suppkey AS number, pos AS header_pos, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS page_end FROM supplier LEFT JOIN t ON number = s_suppkey AND k = 1""")
@@ -143,11 +148,19 @@ def agg39_protein_merge(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("trial")).agg(F.array_sort(F.collect_set("l_partkey")).alias("proteins"))
 
 
-@query("""WITH c AS (SELECT conv_id AS doc, turn AS pos, CAST(turn % 5 AS INT) AS first, CAST((turn + 1) % 4 AS INT) AS second, 0.6 AS s1, 0.55 AS s2 FROM conversations), n AS (SELECT *, coalesce(lag(first) OVER w, 0) AS low, coalesce(lead(first) OVER w, 1000000) AS high FROM c WINDOW w AS (PARTITION BY doc ORDER BY pos))
-SELECT doc, pos, CASE WHEN second BETWEEN low AND high AND NOT first BETWEEN low AND high THEN second ELSE first END AS chosen FROM n""")
+_FITS = "(coalesce({x} > {p}, true) AND coalesce({x} < t.next, true))"
+_GAINS = "(t.s1 < 0.75 AND t.s1 >= 0.5 AND t.s1 - t.s2 <= 0.10 AND ({p} IS NOT NULL OR t.next IS NOT NULL) AND " + _FITS.replace("{x}", "t.second") + " AND NOT " + _FITS.replace("{x}", "t.first") + ")"
+_CHOSEN = "CASE WHEN " + _GAINS + " AND (least(1.0, t.s2 + 0.06) > t.s1 OR least(1.0, t.s2 + 0.06) = t.s1 AND t.second < t.first) THEN t.second ELSE t.first END"
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id AS doc, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, [CAST(50 + (turn * 17 + conv_id * 11 + j * 7 + length(text)) % 23 AS DOUBLE) / 100 FOR j IN range(0, 6)] AS scores FROM conversations),
+o AS (SELECT *, list_sort([{'x': -scores[j + 1], 'i': j} FOR j IN range(0, 6)]) AS o FROM s), t AS (SELECT doc, pos, k, o[1].i AS first, o[2].i AS second, -o[1].x AS s1, -o[2].x AS s2, lead(o[1].i) OVER (PARTITION BY doc ORDER BY k) AS next FROM o),
+r AS (SELECT t.doc, t.pos, t.k, """ + _GAINS.replace("{p}", "CAST(NULL AS BIGINT)") + " AS boosted, " + _CHOSEN.replace("{p}", "CAST(NULL AS BIGINT)") + " AS chosen FROM t WHERE k = 1 UNION ALL SELECT t.doc, t.pos, t.k, " + _GAINS.replace("{p}", "r.chosen") + ", " + _CHOSEN.replace("{p}", "r.chosen") + """ FROM r JOIN t ON t.doc = r.doc AND t.k = r.k + 1)
+SELECT doc, pos, boosted, CAST(chosen AS INTEGER) AS chosen FROM r""")
 def win10_neighbour_boost(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), (F.col("turn") % 5).cast("int").alias("first"), ((F.col("turn") + 1) % 4).cast("int").alias("second"), F.lit(0.6).alias("score1"), F.lit(0.55).alias("score2"))
-    return M.neighbour_boost(c, "doc", "pos").select("doc", "pos", "chosen")
+    score = lambda j: (F.lit(50) + (F.col("turn") * 17 + F.col("conv_id") * 11 + j * 7 + F.length("text")) % 23).cast("double") / 100
+    headers = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.array(*map(score, range(6))).alias("scores"))
+    return order_hints(headers, "doc", "pos", "scores").select("doc", "pos", "boosted", "chosen")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size * 7 END AS day FROM part")
