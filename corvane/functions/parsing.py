@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import found, number, sentences, spelled
+from corvane.functions.text import bound, found, number, sentences, spelled
 
 #: Letters of a reference that is given in full.
 FULL_REFERENCE = 60
@@ -27,6 +29,8 @@ DONE = ["performed", "collected", "assessed", "obtained", "measured", "done"]
 VISIT_NAMES = ["screening", "baseline", "day #", "week #", "month #", "cycle #", "visit #", "end of treatment", "end of study", "early termination", "follow up", "followup", "unscheduled"]
 INTERVALS = ["cycle", "week", "month", "visit"]
 AT_VISITS, AT_INTERVALS, AT_EACH = 0.70, 0.65, 0.60
+#: Words that lead from a name to its visits, words that stand before a verb of DONE, and articles.
+LEADS, HELPERS, ARTICLES = ["at", "during", "on"], ["will be", "is", "are"], ["a", "an", "the"]
 
 
 def is_citation(line: Column) -> Column:
@@ -63,49 +67,85 @@ def synonym_day(label: Column) -> Column:
     return F.struct(F.coalesce(year * 365, month * 30, week * 7, day, F.lit(0)).cast("long").alias("day"), F.coalesce(month > 6, F.lit(False)).alias("follow_up"))
 
 
-def _is_visit(part: Column) -> Column:
-    words = F.regexp_replace(spelled(part), "[0-9]+", "#")
-    hit = F.lit(False)
-    for name in VISIT_NAMES:
-        hit = hit | words.startswith(f" {name} ")
-    return hit
+def _is_visit(label: Column) -> Column:
+    names = F.array(*(F.lit(f" {name} ") for name in VISIT_NAMES))
+    return bound(F.regexp_replace(spelled(label), "[0-9]+", "#"), lambda plain: F.exists(names, lambda name: F.startswith(plain, name)))
+
+
+def _without_end(phrase: str) -> Callable[[Column], Column]:
+    """Words without a phrase that they end with."""
+    n = len(phrase.split(" "))
+
+    def cut(words: Column) -> Column:
+        ends = F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ")) == phrase
+        return F.when(ends, F.slice(words, F.lit(1), F.size(words) - n)).otherwise(words)
+
+    return cut
+
+
+def _name(words: Column) -> Column:
+    """The words before a lead, without article, verb and the verb's helper, as a name."""
+    last = lambda w: F.lower(F.coalesce(F.get(w, F.size(w) - 1), F.lit("")))
+
+    def without_verb(w: Column) -> Column:
+        bare = F.slice(w, F.lit(1), F.size(w) - 1)
+        for helper in HELPERS:
+            bare = bound(bare, _without_end(helper))
+        return F.when(last(w).isin(DONE), bare).otherwise(w)
 
+    article = lambda w: F.when(F.lower(F.coalesce(F.get(w, F.lit(0)), F.lit(""))).isin(ARTICLES), F.slice(w, F.lit(2), F.size(w))).otherwise(w)
+    return F.array_join(bound(bound(words, without_verb), article), " ")
 
-def _assessment(text: Column) -> Column:
-    """A name without its article and its verb."""
-    verbs = "|".join(DONE)
-    bare = F.regexp_replace(F.trim(text), rf"(?i)\s+(?:(?:will be|is|are)\s+)?(?:{verbs})$", "")
-    return F.trim(F.regexp_replace(bare, r"(?i)^(?:an?|the)\s+", ""))
+
+def _first_place(words: Column, holds: Callable[[Column, Column], Column]) -> Column:
+    """The first place, from 0, whose word and place hold; null if none does."""
+    return F.array_min(F.filter(F.transform(words, lambda w, i: F.when(holds(F.lower(w), i), i)), lambda i: i.isNotNull()))
+
+
+def _next(words: Column, place: Column, after: int) -> Column:
+    return F.lower(F.coalesce(F.get(words, place + after), F.lit("")))
 
 
 def narrative_pairs(text: Column) -> Column:
     """An array of (name, visit, confidence) of sentences that say what is done at which visits, at which intervals, or at each visit.
 
-    A sentence is cut at the word that leads to its visits; what stands before it, without article and verb, is the name. Of equal names
+    Sentences are read as words, commas being words too. A sentence has a lead ("at", "during" or "on" before a list of visits, "every" before a
+    number and a unit, "each" or "every" before a visit); the words before it, without article and verb, are the name. Of equal names
     and visits, whatever their case, the first one of the first form counts.
     """
     pair = lambda name, visit, c: F.struct(name.alias("name"), visit.alias("visit"), F.lit(c).alias("confidence"))
-    empty = F.array().cast("array<struct<name:string,visit:string,confidence:double>>")
-    said = F.transform(sentences(text), lambda s: F.regexp_replace(F.trim(s), r"[.]$", ""))
-
-    def listed(s: Column) -> Column:
-        sides = F.split(s, r"(?i)\s+(?:at|during|on)\s+", 2)
-        parts = F.transform(F.split(F.coalesce(F.get(sides, F.lit(1)), F.lit("")), r"\s*,\s*(?:and\s+)?|\s+and\s+"), lambda x: F.trim(x))
-        return F.transform(F.filter(parts, _is_visit), lambda v: pair(_assessment(F.get(sides, F.lit(0))), v, AT_VISITS))
-
-    def repeated(s: Column) -> Column:
-        p = rf"(?i)^(.*?)\s+every\s+(\d+)\s*({'|'.join(INTERVALS)})s?\b"
-        visit = F.concat(F.lit("Every "), F.regexp_extract(s, p, 2), F.lit(" "), F.regexp_extract(s, p, 3), F.lit("s"))
-        return F.when(s.rlike(p), F.array(pair(_assessment(F.regexp_extract(s, p, 1)), visit, AT_INTERVALS))).otherwise(empty)
-
-    def each(s: Column) -> Column:
-        p = r"(?i)^(.*?)\s+(?:at\s+)?(?:each|every)\s+(?:scheduled\s+)?visit"
-        return F.when(s.rlike(p), F.array(pair(_assessment(F.regexp_extract(s, p, 1)), F.lit("Each Visit"), AT_EACH))).otherwise(empty)
-
-    found = F.flatten(F.array(*(F.flatten(F.transform(said, given)) for given in (listed, repeated, each))))
-    named = F.filter(found, lambda p: F.length(p["name"]) >= 3)
+    none = F.array().cast("array<struct<name:string,visit:string,confidence:double>>")
+    before = lambda w, place: _name(F.slice(w, F.lit(1), place))
+
+    def words(sentence: Column) -> Column:
+        return F.filter(F.split(F.replace(F.rtrim(F.trim(sentence), F.lit(".")), F.lit(","), F.lit(" , ")), r"\s"), lambda w: w != "")
+
+    def listed(w: Column) -> Column:
+        def at(place: Column) -> Column:
+            tail = F.transform(F.slice(w, place + 2, F.size(w)), lambda x: F.when(F.lower(x).isin(",", "and"), F.lit(",")).otherwise(x))
+            labels = F.filter(F.transform(F.split(F.array_join(tail, " "), ","), lambda x: F.trim(x)), _is_visit)
+            return bound(before(w, place), lambda name: F.transform(labels, lambda v: pair(name, v, AT_VISITS)))
+
+        return bound(_first_place(w, lambda x, i: x.isin(LEADS)), lambda place: F.when(place > 0, at(place)).otherwise(none))
+
+    def repeated(w: Column) -> Column:
+        unit = lambda place: F.rtrim(_next(w, place, 2), F.lit("s"))
+        holds = lambda x, i: (x == "every") & _next(w, i, 1).try_cast("int").isNotNull() & unit(i).isin(INTERVALS)
+        plural = lambda place: F.concat(F.rtrim(F.get(w, place + 2), F.lit("s")), F.lit("s"))
+        made = lambda place: F.array(pair(before(w, place), F.concat_ws(" ", F.lit("Every"), F.get(w, place + 1), plural(place)), AT_INTERVALS))
+        return bound(_first_place(w, holds), lambda place: F.when(place > 0, made(place)).otherwise(none))
+
+    def each(w: Column) -> Column:
+        visit = lambda place, k: F.startswith(_next(w, place, k), F.lit("visit"))
+        holds = lambda x, i: x.isin("each", "every") & (visit(i, 1) | (_next(w, i, 1) == "scheduled") & visit(i, 2))
+        name = lambda place: _name(bound(F.slice(w, F.lit(1), place), _without_end("at")))
+        return bound(_first_place(w, holds), lambda place: F.when(place > 0, F.array(pair(name(place), F.lit("Each Visit"), AT_EACH))).otherwise(none))
+
+    read = F.transform(sentences(text), words)
+    found = bound(read, lambda r: F.flatten(F.array(*(F.flatten(F.transform(r, form)) for form in (listed, repeated, each)))))
     key = lambda p: F.lower(F.concat(p["name"], F.lit("\u0001"), p["visit"]))
-    return F.filter(named, lambda p, i: F.array_position(F.transform(named, key), key(p)) == i + 1)
+    long = lambda p: F.length(p["name"]) >= 3
+    return bound(F.filter(found, long), lambda named: bound(F.transform(named, key), lambda keys: F.filter(named, lambda p, i: F.array_position(keys, key(p)) == i + 1)))
 
 
 def without_markers(name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,9 +55,13 @@ def spelled(text: Column | str, keep: str = "") -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, f"[^a-z0-9{keep}]+", " ")), F.lit(" "))
 
 
-def says(words: Column, phrases: list[str]) -> Column:
-    """Whether spelled words hold one of the phrases."""
-    plain = F.regexp_replace(words, "[0-9]+", "#")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def says(plain: Column, phrases: list[str]) -> Column:
+    """Whether spelled words, their numbers replaced by #, hold one of the phrases."""
     hit = F.lit(False)
     for phrase in phrases:
         hit = hit | F.contains(plain, F.lit(f" {phrase} "))
@@ -67,33 +73,37 @@ def number_in(words: Column, phrase: str) -> Column:
     return number(words, " " + phrase.replace("#", "([0-9]+)") + " ")
 
 
-def counted(tokens: Column, unit: str) -> Column:
-    """The number of the first pair of a unit's spelling and a number."""
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda word, n: F.when(word.isin(UNITS[unit]) & n.rlike("^[0-9]+$"), n))
-    return F.get(F.filter(pairs, lambda n: n.isNotNull()), F.lit(0)).try_cast("long")
+def counted(words: Column, unit: str) -> Column:
+    """The number after the first of a unit's spellings that one follows, in spelled words."""
+    return number(words, f" (?:{'|'.join(UNITS[unit])}) ([0-9]+) ")
 
 
 def visit_day(label: Column, cycle: Column | int = DEFAULT_CYCLE) -> Column:
     """A struct (day, method, confidence) of a visit label. Relative visits have day 0 until milestones are filled."""
-    cycle = F.lit(cycle) if isinstance(cycle, int) else cycle
     made = lambda day, method, c: F.struct(day.cast("long").alias("day"), F.lit(method).alias("method"), F.lit(c).alias("confidence"))
-    words = spelled(label)
-    # a minus belongs to its number, so that days before the first are no plain days
-    tokens = F.split(F.trim(spelled(label, "-")), " ")
-    n = {unit: counted(tokens, unit) for unit in UNITS}
     baseline = next(phrases for name, _, _, phrases in MILESTONES if name == "baseline")
-    rules = [
-        (n["cycle"].isNotNull() & n["day"].isNotNull(), made((n["cycle"] - 1) * cycle + n["day"], "cycle_day", 0.95)),
-        ((n["day"] == 1) & says(words, baseline), made(F.lit(1), "baseline_day1", 1.0)),
-        (n["day"].isNotNull(), made(n["day"], "explicit_day", 1.0)),
-        *((n[unit].isNotNull(), made((n[unit] - 1) * days + 1, unit, c)) for unit, days, c in SPANS),
-        *((says(words, phrases), made(F.lit(day), name, c)) for name, day, c, phrases in MILESTONES),
-        (n["cycle"].isNotNull(), made((n["cycle"] - 1) * cycle + 1, "cycle_only", 0.85)),
-    ]
-    out = made(F.lit(0), "unresolved", 0.0)
-    for holds, value in reversed(rules):
-        out = F.when(holds, value).otherwise(out)
-    return out
+
+    def read(x: Column) -> Column:
+        # a minus belongs to its number, so that days before the first are no plain days
+        numbers = [counted(x["signed"], unit).alias(unit) for unit in UNITS]
+        return F.struct(x["cycle_days"].alias("cycle_days"), F.regexp_replace(F.regexp_replace(x["signed"], "[- ]+", " "), "[0-9]+", "#").alias("plain"), *numbers)
+
+    def decide(n: Column) -> Column:
+        rules = [
+            (n["cycle"].isNotNull() & n["day"].isNotNull(), made((n["cycle"] - 1) * n["cycle_days"] + n["day"], "cycle_day", 0.95)),
+            ((n["day"] == 1) & says(n["plain"], baseline), made(F.lit(1), "baseline_day1", 1.0)),
+            (n["day"].isNotNull(), made(n["day"], "explicit_day", 1.0)),
+            *((n[unit].isNotNull(), made((n[unit] - 1) * days + 1, unit, c)) for unit, days, c in SPANS),
+            *((says(n["plain"], phrases), made(F.lit(day), name, c)) for name, day, c, phrases in MILESTONES),
+            (n["cycle"].isNotNull(), made((n["cycle"] - 1) * n["cycle_days"] + 1, "cycle_only", 0.85)),
+        ]
+        out = made(F.lit(0), "unresolved", 0.0)
+        for holds, value in reversed(rules):
+            out = F.when(holds, value).otherwise(out)
+        return out
+
+    given = F.struct((F.lit(cycle) if isinstance(cycle, int) else cycle).alias("cycle_days"), spelled(label, "-").alias("signed"))
+    return bound(given, lambda x: bound(read(x), decide))
 
 
 def cycle_length(text: Column | str) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import bound
+
 #: Rows up to which a dimension is broadcast.
 SMALL_ROWS = 50_000
+#: Needles that are tried on every text.
+FEW_NEEDLES = 32
 
 
 def broadcast_if_small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -47,20 +51,45 @@ def routed(queries: DataFrame, routes: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("route", F.coalesce(*(f"r{i}" for i in range(len(routes))), full)).select(*queries.columns, "route.section", "route.similarity", "route.level")
 
 
-def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, rows: int = SMALL_ROWS) -> DataFrame:
+def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, rows: int = FEW_NEEDLES) -> DataFrame:
     """Texts with each needle that they contain; both in single spaces.
 
     A counted few needles are tried on every text. More meet the texts by words in a row: a needle's second to fourth word stand whole in
-    any text that contains it. Needles without that many words are few, as there are few such strings, and are tried on every text.
+    any text that contains it. Texts send hashes of their words in a row only, under two hashes of their own, and what met is joined back.
+    Needles without that many words are few, as there are few such strings, and are tried on every text.
     """
     if needles.limit(rows + 1).count() <= rows:
         return texts.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle)))
+    key, own = (next(n for i in range(len(texts.columns + needles.columns) + 1) if (n := f"{name}{i}") not in texts.columns + needles.columns) for name in ("key", "own"))
     words = F.split(F.col(needle), " ")
-    long = needles.where(F.size(words) >= 5).withColumn("__key", F.xxhash64(F.slice(words, 2, 3)))
-    own = F.split(F.col(text), " ")
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, 3))))
-    met = texts.withColumn("__key", F.explode(windows)).join(long, "__key").drop("__key")
-    return met.unionByName(texts.crossJoin(broadcast_if_small(needles.where(F.size(words) < 5), rows))).where(F.contains(F.col(text), F.col(needle)))
+    long = needles.where(F.size(words) >= 5).withColumn(key, F.xxhash64(*(F.get(words, F.lit(i)) for i in (1, 2, 3))))
+    marked = texts.withColumn(own, F.struct(F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))))
+    windows = bound(F.split(F.col(text), " "), lambda w: F.array_distinct(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
+    met = marked.select(own, F.explode(windows).alias(key)).join(broadcast_if_small(long), key).drop(key).distinct()
+    found = marked.join(broadcast_if_small(met), own).drop(own)
+    short = texts.crossJoin(broadcast_if_small(needles.where(F.size(words) < 5)))
+    return found.unionByName(short).where(F.contains(F.col(text), F.col(needle)))
+
+
+def occurring(needles: DataFrame, needle: str, texts: DataFrame, text: str, letters: int = 20) -> DataFrame:
+    """The distinct needles that occur in a text. Needles have at least `letters` characters: their first ones are met by those of all places of the texts."""
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - letters + 1, F.lit(1))), lambda i: F.xxhash64(F.col(text).substr(i, F.lit(letters))))
+    heads = texts.select(F.col(text).alias("text"), F.explode(F.array_distinct(places)).alias("head"))
+    asked = needles.select(F.col(needle).alias("needle")).distinct().withColumn("head", F.xxhash64(F.col("needle").substr(1, letters)))
+    # texts meet the needles without their letters first, so a place that no needle begins at sends a number only
+    wanted = heads.join(asked.select("head").distinct(), "head", "left_semi")
+    return asked.join(wanted, "head").where(F.contains("text", "needle")).select(F.col("needle").alias(needle)).distinct()
+
+
+def fidelity(outputs: DataFrame, key: str, sentences: str, originals: DataFrame, text: str, least: int = 20, head: int = 60) -> DataFrame:
+    """key, fidelity: the share of an output's characters that lie in sentences whose beginning occurs in an original; 1.0 of nothing to check.
+
+    outputs: one row a key, with an array of normalised sentences; shorter ones than `least` do not count.
+    """
+    said = outputs.select(F.col(key).alias("key"), F.explode(F.filter(sentences, lambda x: F.length(x) >= least)).alias("said")).withColumn("head", F.left("said", F.lit(head)))
+    held = occurring(said, "head", originals, text, least).withColumn("held", F.lit(True))
+    share = said.join(held, "head", "left").groupBy("key").agg((F.coalesce(F.sum(F.when(F.col("held"), F.length("said"))), F.lit(0)) / F.sum(F.length("said"))).alias("fidelity"))
+    return outputs.select(F.col(key).alias("key")).join(share, "key", "left").select(F.col("key").alias(key), F.coalesce("fidelity", F.lit(1.0)).alias("fidelity"))
 
 
 def looked_up(rows: DataFrame, terms: DataFrame, key: str, term: str, default: str) -> DataFrame:

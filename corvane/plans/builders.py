@@ -168,16 +168,12 @@ def gr12_weak_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_keyword(F.col("text"), [("the", "en"), ("eau", "fr")], "other").alias("weak"), "lang")
 
 
-@query(r"""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS o FROM benchmark), s AS (SELECT doc_id, UNNEST(string_split_regex(text, '[.!?][ \t\n\f\r]+|\n')) AS x FROM documents), n AS (SELECT doc_id, trim(regexp_replace(lower(x), '[ \t\n\f\r]+', ' ', 'g')) AS x FROM s),
-f AS (SELECT doc_id, sum(CASE WHEN contains(o, left(x, 60)) THEN length(x) ELSE 0 END) / sum(length(x)) AS share FROM n JOIN b ON item_id = doc_id % 10 WHERE length(x) >= 20 GROUP BY 1) SELECT d.doc_id, coalesce(share, 1.0) AS fidelity FROM documents d LEFT JOIN f USING (doc_id)""")
+@query(r"""WITH b AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[ \t\n\f\r]+', ' ', 'g')) AS o FROM benchmark), s AS (SELECT doc_id, UNNEST(string_split_regex(text, '[.!?][ \t\n\f\r]+|\n')) AS x FROM documents), n AS (SELECT doc_id, trim(regexp_replace(lower(x), '[ \t\n\f\r]+', ' ', 'g')) AS x FROM s),
+h AS (SELECT DISTINCT left(x, 60) AS head FROM n WHERE length(x) >= 20), o AS (SELECT DISTINCT head FROM h JOIN b ON contains(o, head)),
+f AS (SELECT doc_id, sum(CASE WHEN head IS NOT NULL THEN length(x) ELSE 0 END) / sum(length(x)) AS share FROM n LEFT JOIN o ON head = left(x, 60) WHERE length(x) >= 20 GROUP BY 1) SELECT d.doc_id, coalesce(share, 1.0) AS fidelity FROM documents d LEFT JOIN f USING (doc_id)""")
 def gr19_fidelity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("item_id"), "text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.one_line(F.col("text")).alias("original"))
-    said = F.filter(F.transform(T.sentences(F.coalesce("text", F.lit(""))), T.one_line), lambda x: F.length(x) >= 20)
-    rows = d.join(J.broadcast_if_small(b), "item_id", "left").select("doc_id", "original", said.alias("said"))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    held = F.filter("said", lambda x: F.contains(F.col("original"), F.left(x, F.lit(60))))
-    return rows.select("doc_id", F.coalesce(F.try_divide(total(held), total(F.col("said"))), F.lit(1.0)).alias("fidelity"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.sentences(F.coalesce("text", F.lit(""))), T.one_line).alias("said"))
+    return J.fidelity(d, "doc_id", "said", table(spark, sf_dir, "benchmark").select(T.one_line(F.col("text")).alias("original")), "original")
 
 
 @query("SELECT l_orderkey AS study, l_suppkey AS element, l_linenumber AS visitnum, CASE WHEN l_returnflag = 'A' THEN 'LB' ELSE 'VS' END AS domain FROM lineitem WHERE l_quantity > 45")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import predicates as P
+from corvane.functions import text as T
 from corvane.functions.text import natural_key
 from corvane.operators import joins as J
 from corvane.operators.sets import first_per_key, near_duplicates_removed
@@ -158,11 +159,11 @@ def set1_union_of_streams(spark, sf_dir):
     return rows.where("l_returnflag = 'A' AND l_quantity > 30").select("part", "supp").unionByName(rows.where("l_returnflag = 'N' AND l_quantity > 45").select("part", "supp")).distinct()
 
 
-@query("""WITH o AS (SELECT DISTINCT list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS url, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM part WHERE p_partkey % 2 = 1)
+@query(r"""WITH t AS (SELECT doc_id AS url, string_split_regex(text, '[.!?][ \t\n\f\r]+|\n')[1] AS title FROM documents), o AS (SELECT DISTINCT list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM t WHERE url % 2 = 0), n AS (SELECT url, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM t WHERE url % 2 = 1)
 SELECT url FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE len(list_intersect(n.w, o.w)) > 0.8 * len(list_distinct(list_concat(n.w, o.w))))""")
 def set7_near_duplicate_articles(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("url"), F.col("p_name").alias("title"))
-    return near_duplicates_removed(p.where("url % 2 = 1"), p.where("url % 2 = 0"), "url", "title").select("url")
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.get(T.sentences(F.col("text")), F.lit(0)).alias("title"))
+    return near_duplicates_removed(t.where("url % 2 = 1"), t.where("url % 2 = 0"), "url", "title").select("url")
 
 
 @query("SELECT DISTINCT l_orderkey AS nct, l_suppkey AS section FROM lineitem WHERE l_returnflag = 'N' AND (l_orderkey, l_suppkey) NOT IN (SELECT (l_orderkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'A')")

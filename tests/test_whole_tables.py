@@ -75,3 +75,28 @@ def test_narrative_forms(spark):
     text = "Blood pressure will be measured at Screening, Day 1, and Day 15. The MRI on week 3 and at home. MRI every 2 Weeks. ECG at every scheduled visit. MRI on Week 3"
     row = spark.createDataFrame([(text,)], "t string").select(narrative_pairs(F.col("t")).alias("p")).first()["p"]
     assert [tuple(x) for x in row] == [("Blood pressure", "Screening", 0.7), ("Blood pressure", "Day 1", 0.7), ("Blood pressure", "Day 15", 0.7), ("MRI", "week 3", 0.7), ("MRI", "Every 2 Weeks", 0.65), ("ECG", "Each Visit", 0.6)]
+
+
+def test_fidelity_against_all_originals(spark):
+    import random
+
+    from corvane.operators.joins import fidelity
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abc", k=rng.randrange(1, 9)))
+    originals = [" ".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(12)] + [None, "", "x" * 30]
+    said = {}
+    for d in range(40):
+        parts = [" ".join(word() for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(0, 5))]
+        for _ in range(rng.randrange(0, 3)):
+            o = rng.choice(originals[:12])
+            at = rng.randrange(len(o) + 1)
+            parts.append(o[at : at + rng.randrange(10, 90)] + rng.choice(["", " changed at the end of it"]))
+        said[d] = parts
+    said[99], said[98] = None, ["x" * 25, "x" * 31]
+    got = {r["id"]: r["fidelity"] for r in fidelity(spark.createDataFrame(list(said.items()), "id int, s array<string>"), "id", "s", spark.createDataFrame([(o,) for o in originals], "t string"), "t").collect()}
+    for d, parts in said.items():
+        long = [p for p in parts or [] if len(p) >= 20]
+        held = [p for p in long if any(o and p[:60] in o for o in originals)]
+        assert abs(got[d] - (sum(map(len, held)) / sum(map(len, long)) if long else 1.0)) < 1e-12
+    assert len(got) == len(said) and 0 < sum(0 < v < 1 for v in got.values())
