@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import bound
+from corvane.operators.studies import _cut
 
 #: Rows up to which a dimension is broadcast.
 SMALL_ROWS = 50_000
@@ -65,7 +66,8 @@ def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, row
     long = needles.where(F.size(words) >= 5).withColumn(key, F.xxhash64(*(F.get(words, F.lit(i)) for i in (1, 2, 3))))
     marked = texts.withColumn(own, F.struct(F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))))
     windows = bound(F.split(F.col(text), " "), lambda w: F.array_distinct(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))
-    met = marked.select(own, F.explode(windows).alias(key)).join(broadcast_if_small(long), key).drop(key).distinct()
+    # found in a pass of its own, since it is counted and then joined
+    met = _cut(marked.select(own, F.explode(windows).alias(key)).join(broadcast_if_small(long), key).drop(key).distinct())
     found = marked.join(broadcast_if_small(met), own).drop(own)
     short = texts.crossJoin(broadcast_if_small(needles.where(F.size(words) < 5)))
     return found.unionByName(short).where(F.contains(F.col(text), F.col(needle)))

@@ -149,12 +149,22 @@ def gr5_apply_pseudo_labels(spark, sf_dir):
 
 @query(None)
 def gr7_text_encoder(spark, sf_dir):
-    """A stand-in for a sentence encoder: hashed word counts of length 64, scaled to length 1."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", unit(vec).alias("v"))
-    return b.select("item_id", F.round(cosine("v", "v"), 6).alias("self"), F.size("v").alias("dims"))
+    from corvane.operators.encoder import fit_encoder
+
+    d = table(spark, sf_dir, "documents")
+    found = fit_encoder(d, "text").encode(d.select("doc_id", "text"), "text", "v")
+    return found.select("doc_id", F.size("v").cast("long").alias("dims"), F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 4)).alias("head"))
+
+
+@query(None)
+def gr11_window_classifier(spark, sf_dir):
+    from corvane.operators import encoder as E
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnt = d.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    model = E.fit_classifier(learnt, "text", "lang", E.fit_encoder(d, "text"))
+    found = E.sections(model.classify(d.select("doc_id", "text"), "text"), "doc_id")
+    return found.select("doc_id", "label", F.round("confidence", 4).alias("confidence"), "windows", F.col("at").cast("long").alias("at"), F.col("until").cast("long").alias("until"))
 
 
 @query("SELECT label, count(*) * (count(*) - 1) // 2 AS pairs FROM embeddings GROUP BY 1")
@@ -205,6 +215,15 @@ def sd9_mock_rows(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), F.element_at(codes, (S.hash_draw(k, 21, 3) + 1).cast("int")).alias("code"), (S.hash_draw(k, 22, 91) + 10).alias("value"))
 
 
+@query(None)
+def sd9_copula_rows(spark, sf_dir):
+    from corvane.operators import copula
+
+    item = table(spark, sf_dir, "lineitem")
+    model = copula.fit(item, ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"])
+    return model.rows(spark, item.count(), "mock rows")
+
+
 @query("SELECT * FROM (VALUES ('STUDYID', 'not_null', NULL), ('SEX', 'in_set', 'F,M'), ('AGE', 'between', '18,90')) t(variable, expectation, argument)")
 def sd10_expectation_suite(spark, sf_dir):
     spec = spark.createDataFrame([("STUDYID", "Req", None, None, None), ("SEX", "Exp", "F,M", None, None), ("AGE", "Exp", None, 18, 90)], "variable string, core string, codelist string, low int, high int")
