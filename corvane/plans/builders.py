@@ -284,9 +284,17 @@ def str11_extractor_dispatch(spark, sf_dir):
     return rows.select("id", value.alias("value"), "kind")
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS blocks FROM documents")
+@query(r"""WITH t AS (SELECT conv_id, string_agg(upper(role) || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1), l AS (SELECT conv_id, UNNEST(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM t), w AS (SELECT *, string_split_regex(line, '[ \t]+') AS w FROM l),
+h AS (SELECT conv_id, i, line, regexp_matches(line, '^[A-Z][A-Z \t]{3,}$') OR NOT starts_with(line, ' ') AND (regexp_matches(w[1], '^[0-9].*[.)]$') AND regexp_matches(w[1], '^[0-9.)]*$') AND NOT contains(w[1], '..') AND regexp_matches(coalesce(w[2], ''), '^[A-Z]') OR w[1] IN ('Section', 'SECTION', 'Part', 'PART') AND regexp_matches(coalesce(w[2], ''), '^[A-Z0-9]')) AS head FROM w),
+g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS b, max(i) OVER (PARTITION BY conv_id) AS n FROM h), b AS (SELECT conv_id, b, string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) AS block FROM g WHERE b > 0 GROUP BY ALL),
+s AS (SELECT conv_id, string_split(list_reduce(list(block ORDER BY b), lambda s, x: CASE WHEN length(string_split(s, chr(1))[-1]) < 500 THEN s || x ELSE s || chr(1) || x END), chr(1)) AS parts FROM b GROUP BY 1)
+SELECT conv_id, CASE WHEN len(parts) > 1 AND length(parts[-1]) < 500 THEN len(parts) - 1 ELSE len(parts) END AS blocks, CAST(list_sum([length(y) FOR y IN parts]) AS BIGINT) AS chars FROM s""")
 def str21_heading_blocks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("blocks"))
+    from corvane.functions.blocks import heading_blocks
+    from corvane.plans.matching import conversation_texts
+
+    t = conversation_texts(spark, sf_dir, F.concat(F.upper("role"), F.lit("\n"), F.coalesce("text", F.lit(""))), "\n").select("conv_id", heading_blocks(F.col("text")).alias("b"))
+    return t.select("conv_id", F.size("b").cast("long").alias("blocks"), F.aggregate("b", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
 
 
 @query("SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey < 20 GROUP BY ALL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corvane.functions import blocks as B
 from corvane.functions import parsing as X
 from corvane.functions import text as T
 from corvane.operators import alignment as A
@@ -186,9 +187,26 @@ def str15_citations(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("id"), X.is_citation(text).alias("cites"))
 
 
-@query(r"SELECT doc_id, len(string_split_regex(text, '\n')) AS parts FROM documents")
+def conversation_texts(spark, sf_dir, turn, between):
+    """conv_id, text: a conversation's turns in order, each as `turn` has it, put together."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("part")))).alias("parts"))
+    return c.select("conv_id", F.array_join(F.transform("parts", lambda p: p["part"]), between).alias("text"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1), p AS (SELECT conv_id, x, [p FOR p IN [regexp_replace(q, '^\s+|\s+$', '', 'g') FOR q IN string_split_regex(x, '\n\s*\n')] IF length(p) >= 20] AS ps FROM t),
+c AS (SELECT conv_id, x, flatten([CASE WHEN length(p) <= 300 THEN [p] ELSE [substr(p, CAST(i * 300 + 1 AS BIGINT), 300) FOR i IN range(0, (length(p) - 1) // 300 + 1) IF length(trim(substr(p, CAST(i * 300 + 1 AS BIGINT), 300))) >= 20] END FOR p IN ps]) AS cs FROM p),
+r AS (SELECT conv_id, CASE WHEN x = '' THEN [] WHEN length(x) <= 300 OR len(cs) = 0 THEN [left(x, 300)] ELSE cs END AS cs FROM c) SELECT conv_id, len(cs) AS parts, CAST(coalesce(list_sum([length(y) FOR y IN cs]), 0) AS BIGINT) AS chars FROM r""")
 def str16_str51_paragraphs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("parts"))
+    t = conversation_texts(spark, sf_dir, F.coalesce("text", F.lit("")), "\n\n").select("conv_id", A.chunked("text").alias("c"))
+    return t.select("conv_id", F.size("c").cast("long").alias("parts"), F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
+
+
+@query(None)
+def str16_subsections(spark, sf_dir):
+    subs = [("B.1", "User", "what the user asks for"), ("B.2", "Assistant", "what the assistant answers")]
+    turn = F.concat(F.lit("## 1."), F.col("turn").cast("string"), F.lit(" "), F.initcap("role"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    t = conversation_texts(spark, sf_dir, turn, "\n\n")
+    return t.select("conv_id", F.inline(B.subsections(F.col("text"), subs, "B"))).select("conv_id", "code", F.length("text").alias("chars"))
 
 
 @query("SELECT l_orderkey AS doc, CASE WHEN count(*) FILTER (l_suppkey % 16 = 0) = 0 THEN 'front matter' ELSE 'own' END AS b1, CASE WHEN max(l_tax) FILTER (l_suppkey % 16 = 1) < 0.05 THEN 'appended' WHEN count(*) FILTER (l_suppkey % 16 = 1) = 0 THEN 'created' ELSE 'kept' END AS registry FROM lineitem GROUP BY 1")

@@ -120,3 +120,61 @@ def src10_transport(spark, sf_dir):
     path = shared_path(spark, "transport")
     transport.transport_files(rows, "STUDYID", "TS", ["TSSEQ"], "Trial Summary").write.parquet(path)
     return transport.transport_rows(spark.read.parquet(path), "STUDYID string, DOMAIN string, TSSEQ double, TSPARM string, TSVAL double")
+
+
+@query("""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS key, page_id, coalesce(html, '') AS html FROM pages) SELECT key, CAST(1 AS BIGINT) AS version, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS size, page_id % 3 = 0 AS immutable FROM p
+UNION ALL SELECT key, 2, sha256(html || ' again'), strlen(html) + 6, false FROM p WHERE page_id % 3 = 1""")
+def src12_versions(spark, sf_dir):
+    from corvane.sources.artifacts import ArtifactStore
+
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), "page_id", F.coalesce("html", F.lit("")).alias("html"), F.lit("text/html").alias("content_type"))
+    store = ArtifactStore(spark, shared_path(spark, "artifacts"))
+    store.put(p.select("key", F.col("html").cast("binary").alias("content"), "content_type", (F.col("page_id") % 3 == 0).alias("immutable")), "first", "reader")
+    # keys divisible by 3 are immutable and stay as they are
+    again = p.where("page_id % 3 <> 2").select("key", F.concat("html", F.lit(" again")).cast("binary").alias("content"), "content_type", F.lit(False).alias("immutable"))
+    store.put(again, "second", "reader", skip_refused=True)
+    return store.lineage().select("key", "version", "sha256", "size", "immutable")
+
+
+def _of_flag(rows):
+    return rows.where("l_returnflag <> 'N'").select("l_suppkey", "l_quantity")
+
+
+def _per_supplier(rows):
+    return rows.groupBy("l_suppkey").agg(F.count("*").alias("items"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+@query("SELECT l_suppkey, count(*) AS items, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def src28_stages(spark, sf_dir):
+    from corvane.operators.stages import Stages
+
+    stages = Stages(spark, shared_path(spark, "stages"))
+    rows = table(spark, sf_dir, "lineitem")
+    stages.run([("flag", _of_flag)], rows)
+    # the first stage is committed by now, so only the second one runs
+    return stages.run([("flag", _of_flag), ("supplier", _per_supplier)], rows)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM e) SELECT user_id, event_type, event_id, ts FROM r WHERE k = 1""")
+def data_op27_upsert(spark, sf_dir):
+    from corvane.operators.stages import create_keyed, upsert
+
+    key = ["user_id", "event_type"]
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.struct("ts", "event_id").alias("at"))
+    last = lambda rows: rows.groupBy(*key).agg(F.max_by(F.struct("event_id", "ts", "at"), "at").alias("s")).select(*key, "s.*")
+    path = shared_path(spark, "annotations")
+    create_keyed(last(e.where("event_id % 2 = 0")), path, key)
+    upsert(e.where("event_id % 2 = 1"), path, key, "at")
+    return spark.read.parquet(path).select(*key, "event_id", "ts")
+
+
+@query("""SELECT 'ORDERS' AS domain, 'o_orderstatus' AS variable, o_orderstatus AS item FROM orders GROUP BY ALL UNION ALL SELECT 'ORDERS', 'o_orderpriority', o_orderpriority FROM orders GROUP BY ALL UNION ALL SELECT 'ITEMS', 'l_returnflag', l_returnflag FROM lineitem GROUP BY ALL""")
+def src11_code_lists(spark, sf_dir):
+    from corvane.sources import define_xml as X
+
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lists = X.code_lists(orders, "ORDERS", ["o_orderstatus", "o_orderpriority"]) | X.code_lists(items, "ITEMS", ["l_returnflag"])
+    xml = X.to_xml({"ORDERS": orders.schema, "ITEMS": items.schema}, "ST", lists)
+    docs = spark.createDataFrame([("d", xml)], "doc string, xml string")
+    held = X.variables(docs, "doc", "xml").where("code_list IS NOT NULL").select("doc", "domain", "variable", "code_list")
+    return held.join(X.list_items(docs, "doc", "xml"), ["doc", "code_list"]).select("domain", "variable", "item")
