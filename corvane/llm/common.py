@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -44,6 +45,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or the first of its numbered forms that is not taken."""
+    low = {c.lower() for c in taken}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}{i or ''}").lower() not in low)
+
+
+def with_own_names(run: Callable) -> Callable:
+    """For operators whose inner columns begin with two underscores: a table's columns that do so too are renamed on the way in and back
+    on the way out, also where a parameter names one."""
+
+    @functools.wraps(run)
+    def renamed(docs: DataFrame, *args, **named):
+        names: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                names[c] = fresh("column", [*docs.columns, *names.values()])
+        if not names:
+            return run(docs, *args, **named)
+
+        def inner(v):
+            if isinstance(v, (list, tuple)):
+                return type(v)(inner(x) for x in v)
+            return names.get(v, v) if isinstance(v, str) else v
+
+        out = run(docs.withColumnsRenamed(names), *map(inner, args), **{k: inner(v) for k, v in named.items()})
+        return out.withColumnsRenamed({n: c for c, n in names.items()})
+
+    return renamed
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

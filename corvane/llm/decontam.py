@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, chunks, mapped, store, word_table
+from corvane.llm.common import Words, chunks, mapped, store, with_own_names, word_table
 
 WINDOW = 13
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark takes more passes over the documents.
@@ -194,10 +194,12 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     return out
 
 
+@with_own_names
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Contaminated: it has hit words, and they are a twentieth of its words or more.
+    Contaminated: it has hit words, and they are a twentieth of its words or more. An item without an id hits words like any other, but
+    is not among the items that are counted and named.
     """
     found = _contamination(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, ())
     return found.select(id_col, *(F.col(f"__{c}").alias(c) for c in RESULTS))
@@ -220,7 +222,8 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, id_col: s
             inside, text, item = hits(words, tests, window)
             items: list[set[str]] = [set() for _ in range(batch.num_rows)]
             for t, i in zip(text.tolist(), item.tolist()):
-                items[t].add(str(tests.ids[i]))
+                if tests.ids[i] is not None:
+                    items[t].add(str(tests.ids[i]))
             hit = np.concatenate(([0], np.cumsum(inside)))
             n_hit = hit[words.bounds[1:]] - hit[words.bounds[:-1]]
             sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
@@ -253,6 +256,7 @@ def _by_passes(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str,
     return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
 
 
+@with_own_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
     found = _contamination(docs, benchmark, window, id_col, text_col, item_col, item_text, block_bytes, tuple(docs.columns))

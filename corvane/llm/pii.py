@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, chunks, cut, mapped
+from corvane.llm.common import BROADCAST_ROWS, chunks, cut, mapped, with_own_names
 
 # Given names by gender and script.
 GIVEN = {
@@ -365,6 +365,7 @@ def exceptions(found: DataFrame, key: bytes, most_turns: int = 20) -> DataFrame:
         moved = cut(moved.join(hits, ["kind", "value"], "left_anti").unionByName(hits))
 
 
+@with_own_names
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", given: dict[tuple[str, str], list[str]] | None = None) -> DataFrame:
     """The documents with surrogates for their entities, and n_entities. given: more given names by gender and script."""
     names = LISTED_NAMES.with_more(given)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Words, chunks, cut, mapped, text_bytes, word_table
+from corvane.llm.common import Words, chunks, cut, mapped, text_bytes, with_own_names, word_table
 
 #: Cosine features.
 N_COSINES = 160
@@ -261,12 +261,14 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return source.mapInArrow(run, f"{fields}, `__score` double")
 
 
+@with_own_names
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, score, predicted for every document, and the columns named in `keep`."""
     score = F.col("__score")
     return _scored(docs, labels, id_col, text_col, label_col, keep).select(*dict.fromkeys((id_col, *keep)), held_out(id_col).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+@with_own_names
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     return _scored(docs, labels, id_col, text_col, label_col, tuple(docs.columns)).where("__score >= 0.5").select(*docs.columns)
