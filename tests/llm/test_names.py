@@ -60,3 +60,15 @@ def test_items_without_ids(spark, block_bytes):
     assert got == {0: (17, 15, 1, sha("b"), True), 1: (4, 2, 0, sha(""), True), 2: (1, 0, 0, sha(""), False), 3: (0, 0, 0, sha(""), False), 4: (0, 0, 0, sha(""), False)}
     left = decontam.decontaminate(docs, items, block_bytes=block_bytes)
     assert left.columns == docs.columns and set(kept(left, 3)) == {2, 3, 4}
+
+
+def test_pipeline_lines_stage(spark):
+    import corpus_pipeline
+
+    texts = [f"{LINE}\n{own}" for own in ("apples ripen late in autumn rain", "ships carry grain across an ocean")] + [None, "", LINE]
+    docs = odd(spark, texts).withColumn("__gone_lines", F.lit("u")).withColumn("gone_lines", F.lit("v"))
+    out = corpus_pipeline.lines_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert set(rows) == {0, 1, 2, 3} and all((r["__gone_lines"], r["gone_lines"], r["__gone"]) == ("u", "v", "kept 0") for r in rows.values())
+    assert rows[1]["text"] == "ships carry grain across an ocean" and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[0]["text"] == texts[0]
