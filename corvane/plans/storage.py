@@ -178,3 +178,15 @@ def src11_code_lists(spark, sf_dir):
     docs = spark.createDataFrame([("d", xml)], "doc string, xml string")
     held = X.variables(docs, "doc", "xml").where("code_list IS NOT NULL").select("doc", "domain", "variable", "code_list")
     return held.join(X.list_items(docs, "doc", "xml"), ["doc", "code_list"]).select("domain", "variable", "item")
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS TSSEQ, o_orderpriority AS TSPARM, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS TSVAL FROM orders")
+def src10_transport_source(spark, sf_dir):
+    from corvane.sources import xport
+
+    xport.register(spark)
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.cast("double").alias("TSSEQ"), F.col("o_orderpriority").alias("TSPARM"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("TSVAL"))
+    path = shared_path(spark, "xport")
+    rows.write.format("xport").option("dataset", "TS").option("textWidth", 40).mode("append").save(path)
+    return spark.read.format("xport").load(path)
