@@ -107,7 +107,8 @@ def continuation_merge(tables: DataFrame, doc: str, least: float = 0.5) -> DataF
     """Group numbers of tables that continue the one before: within two pages and with headers that overlap enough."""
     from corvane.operators.sets import jaccard
 
-    w = Window.partitionBy(doc).orderBy("page", "pos")
+    # tables at one place go by their headers
+    w = Window.partitionBy(doc).orderBy("page", "pos", "header")
     before_page, before_head = F.lag("page").over(w), F.lag("header").over(w)
     starts = ~((F.col("page") <= before_page + 2) & (jaccard("header", F.coalesce(before_head, F.array().cast("array<string>"))) >= least))
     rows = tables.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int"))

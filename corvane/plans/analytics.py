@@ -215,9 +215,11 @@ def agg40_rollup(spark, sf_dir):
     return star.matches(spark, sf_dir).join(star.results(spark, sf_dir), "result_id").rollup("run_id", "code").agg(F.count("*").alias("n"), F.avg("boosted").alias("avg_boosted"))
 
 
-@query(None)
+@query(with_(MATCHES) + "SELECT code, count(DISTINCT result_id) AS documents, true AS close FROM sm GROUP BY code")
 def agg41_approximate_distinct(spark, sf_dir):
-    return star.matches(spark, sf_dir).groupBy("code").agg(F.approx_count_distinct("result_id").alias("documents"))
+    """Sketches of a relative error of 2 % (one standard deviation), held against exact counts: within five of these, and one."""
+    counts = star.matches(spark, sf_dir).groupBy("code").agg(F.approx_count_distinct("result_id", 0.02).alias("about"), F.countDistinct("result_id").alias("documents"))
+    return counts.select("code", "documents", (F.abs(F.col("about") - F.col("documents")) <= 0.1 * F.col("documents") + 1).alias("close"))
 
 
 @query("""WITH a AS (SELECT avg(CAST(l_comment_null AS INT)) AS x, avg(CASE WHEN l_returnflag IN ('A', 'N') THEN 1 ELSE 0 END) AS y, avg(CASE WHEN l_quantity BETWEEN 5 AND 45 THEN 1 ELSE 0 END) AS z FROM (SELECT *, l_tax IS NOT NULL AS l_comment_null FROM lineitem))

@@ -16,10 +16,14 @@ from corvane.operators.sets import first_per_key
 from corvane.registry import query, table, typed
 
 
-@query(None)
+@query("""WITH RECURSIVE p AS (SELECT p_partkey // 20 AS doc, p_partkey AS pos, lower(split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)) AS low, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS name FROM part),
+e AS (SELECT doc, name, low, row_number() OVER (PARTITION BY doc ORDER BY pos) AS k FROM p WHERE pos % 2 = 0), a AS (SELECT doc, list(name ORDER BY pos) AS names, list(low ORDER BY pos) AS lows FROM p WHERE pos % 2 = 1 GROUP BY 1),
+m AS (SELECT doc, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS BIGINT) AS hit FROM a UNION ALL
+SELECT doc, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, name, hit FROM (SELECT m.doc, e.k, m.used, e.name, list_filter(range(1, len(a.lows) + 1), lambda i: NOT list_contains(m.used, i) AND (contains(a.lows[i], e.low) OR contains(e.low, a.lows[i])))[1] AS hit FROM m JOIN e ON e.doc = m.doc AND e.k = m.k + 1 JOIN a ON a.doc = m.doc))
+SELECT m.doc, m.expected, a.names[m.hit] AS actual FROM m JOIN a ON a.doc = m.doc WHERE m.k > 0""")
 def jn10_greedy_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("doc"), F.col("p_partkey").alias("pos"), F.substring_index("p_name", " ", 2).alias("name"))
-    return M.greedy_names(p.where("pos % 2 = 0"), p.where("pos % 2 = 1"), "doc")
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).alias("doc"), F.col("p_partkey").alias("pos"), F.substring_index("p_name", " ", 2).alias("name"))
+    return M.greedy_names(p.where("pos % 2 = 0"), p.where("pos % 2 = 1"), "doc").where(F.col("expected").isNotNull())
 
 
 @query("SELECT p_partkey AS id, p_type AS name FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_type), 'promo') OR contains('steel', lower(p_type)) OR contains('promo', lower(p_type))")
@@ -402,9 +406,10 @@ def jn12_agg20_ordered_merge(spark, sf_dir):
     return M.exact_stream_merge(rows, "doc")
 
 
-@query(None)
+@query("""WITH t AS (SELECT l_suppkey AS doc, l_orderkey AS page, l_partkey AS pos, list_sort(list_distinct([l_returnflag, l_linestatus])) AS h FROM lineitem), b AS (SELECT *, lag(page) OVER w AS bp, lag(h) OVER w AS bh FROM t WINDOW w AS (PARTITION BY doc ORDER BY page, pos, h)),
+s AS (SELECT doc, CASE WHEN bp IS NOT NULL AND page <= bp + 2 AND len(list_intersect(h, bh)) >= 0.5 * len(list_distinct(list_concat(h, bh))) THEN 0 ELSE 1 END AS starts FROM b) SELECT doc, CAST(sum(starts) AS BIGINT) AS tables FROM s GROUP BY 1""")
 def data_op15_continued_tables(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("pos"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("header"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("pos"), F.array_sort(F.array_distinct(F.array(F.col("l_returnflag"), F.col("l_linestatus")))).alias("header"))
     return M.continuation_merge(rows, "doc").groupBy("doc").agg(F.max("group_no").alias("tables"))
 
 

@@ -60,7 +60,12 @@ def agg25_label_vote(spark, sf_dir):
     return O.propagate(near, known, "vec_id", "label", "confidence", 0.3).withColumn("confidence", F.round("confidence", 4))
 
 
-@query(None)
+_HOP = "SELECT target, label, c * s AS c, votes FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY votes DESC, s DESC, label) AS n FROM (SELECT k.target, l.label, count(*) AS votes, max(s) AS s, arg_max(c, s) AS c FROM k JOIN {known} l ON l.target = k.neighbour WHERE k.target % 10 <> 0 {only} GROUP BY ALL)) WHERE n = 1 AND c * s >= {least}"
+
+
+@query(f"""WITH {_KNN}, k AS (SELECT target, neighbour, s FROM r WHERE rank <= 9 AND s >= 0.3), l AS (SELECT vec_id AS target, label, CAST(0.95 AS DOUBLE) AS c FROM embeddings WHERE vec_id % 10 = 0),
+one AS ({_HOP.format(known="l", only="", least=0.25)}), two AS ({_HOP.format(known="one", only="AND k.target NOT IN (SELECT target FROM one)", least=0.1)})
+SELECT target AS vec_id, label, round(c, 4) AS confidence, votes, 1 AS hop FROM one UNION ALL SELECT target, label, round(c, 4), votes, 2 FROM two""")
 def gr4_two_hop_propagation(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     near = N.neighbours(e, e, "vec_id", "embedding", 9).where("similarity >= 0.3")
@@ -68,7 +73,7 @@ def gr4_two_hop_propagation(spark, sf_dir):
     unknown = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("target"))
     one = O.propagate(near.join(unknown, "target", "left_semi"), known, "vec_id", "label", "confidence", 0.25)
     two = O.propagate(near.join(unknown, "target", "left_semi").join(one.select(F.col("vec_id").alias("target")), "target", "left_anti"), one, "vec_id", "label", "confidence", 0.1)
-    return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
+    return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2))).withColumn("confidence", F.round("confidence", 4))
 
 
 @query(f"""WITH p AS (SELECT a.label = b.label AS same, {DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT same, count(*) AS pairs, round(avg(s), 4) AS mean FROM p GROUP BY 1""")

@@ -100,7 +100,8 @@ def win11_content_spans(spark, sf_dir):
     return W.spans(heads(spark, sf_dir), "doc_id", "pos", "n_chars").select("doc_id", "pos", "span_chars")
 
 
-@query(None)
+@query("""WITH """ + HEADS + """, l AS (SELECT doc_id, list([pos] ORDER BY pos) AS s FROM h GROUP BY 1), k AS (SELECT doc_id, s, list_reduce(s, lambda a, x: CASE WHEN x[1] >= a[-1] + 250 THEN list_concat(a, x) ELSE a END) AS kept FROM l)
+SELECT doc_id, CAST(len(kept) AS BIGINT) AS kept, CAST(len(s) AS BIGINT) AS found FROM k""")
 def win12_overlap_elimination(spark, sf_dir):
     rows = heads(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("pos").alias("start"), (F.col("pos") + 250).alias("end"))).alias("s"))
     kept = W.without_overlaps(F.col("s"))
@@ -123,13 +124,14 @@ def win14_continuation_groups(spark, sf_dir):
     return W.sessions(e, "user_id", ["ts", "event_id"], gap > 14400).select("user_id", "event_id", "group_no")
 
 
-@query(None)
+@query(r"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(list_reduce(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda a, x: CASE WHEN string_split(a, chr(1))[-1] = '' THEN a || x WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) <= 400 THEN a || ' ' || x ELSE a || chr(1) || x END), chr(1)) IF x <> ''] AS c FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(UNNEST(range(len(c))) AS INT) AS chunk, CAST(length(UNNEST(c)) AS INT) AS chars, sha256(UNNEST(c)) AS sha FROM p""")
 def win15_sentence_chunks(spark, sf_dir):
     sentences = F.split("text", r"(?<=[.!?])\s+")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(W.packed(sentences, 400)).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT conv_id, string_split(list_reduce(list(text ORDER BY turn), lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) <= 1200 THEN a || chr(10) || x ELSE a || chr(1) || x END), chr(1)) AS c FROM conversations WHERE trim(text) <> '' GROUP BY 1) SELECT conv_id, CAST(UNNEST(range(len(c))) AS INT) AS chunk, CAST(length(UNNEST(c)) AS INT) AS chars FROM p""")
 def win16_page_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(F.trim("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
     return rows.select("conv_id", F.posexplode(W.packed(F.transform("s", lambda s: s["text"]), 1200, "\n")).alias("chunk", "text")).select("conv_id", "chunk", F.length("text").alias("chars"))
@@ -150,7 +152,8 @@ def win18_budgeted_paragraphs(spark, sf_dir):
     return W.within_budget(rows, "doc_id", "score", "pos", "chars", 800).select("doc_id", "pos", "chars", "used")
 
 
-@query(None)
+@query("WITH " + HEADS + """, p AS (SELECT doc_id, pos, CAST(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n_chars) - pos AS BIGINT) AS chars, CAST((k - 1) % 3 + 1 AS BIGINT) AS rank FROM h), l AS (SELECT doc_id, list([0, chars, rank] ORDER BY pos) AS s FROM p GROUP BY 1),
+c AS (SELECT doc_id, list_reduce(list_concat([[0, 0, 99]], s), lambda a, x: CASE WHEN a[1] < 5 AND a[2] + x[2] <= 2000 THEN [a[1] + 1, a[2] + x[2], least(a[3], x[3])] ELSE a END) AS c FROM l) SELECT doc_id, CAST(c[1] AS INT) AS sections, c[2] AS chars, CAST(c[3] AS INT) AS worst FROM c""")
 def win19_capped_concatenation(spark, sf_dir):
     rows = W.spans(heads(spark, sf_dir), "doc_id", "pos", "n_chars").groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.col("span_chars").alias("chars"), (F.col("k") % 3 + 1).cast("int").alias("rank"))).alias("s"))
     return rows.select("doc_id", W.capped(F.col("s"), 5, 2000).alias("c")).select("doc_id", F.col("c.n").alias("sections"), F.col("c.chars").alias("chars"), F.col("c.worst").alias("worst"))
