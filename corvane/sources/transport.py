@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORD, VARIABLE, LONGEST = 80, 140, 200
+#: Bytes that a value of a column may have.
+LARGEST = 2**31 - 1
 MISSING = b"." + b"\0" * 7
 #: Fixed value: the date in the heads, so that equal datasets give equal files.
 WRITTEN = b"01JAN24:00:00:00"
@@ -73,6 +75,13 @@ def file_of(name: str, label: str, columns: list[tuple[str, bool]], rows: list[t
     return out + padded(body)
 
 
+def held(content: bytes, most: int = LARGEST) -> bytes:
+    """The content, if a column can hold it."""
+    if len(content) > most:
+        raise ValueError(f"a file of {len(content)} bytes is no value of a column; write with the xport format")
+    return content
+
+
 def rows_of(data: bytes) -> Iterator[dict]:
     """Observations by variable; a number that is missing is None, a blank text is ''."""
     start = data.index(head("NAMESTR ")[:48])
@@ -94,7 +103,7 @@ def rows_of(data: bytes) -> Iterator[dict]:
 
 
 def transport_files(rows: DataFrame, study: str, name: str, order: list[str], label: str = "") -> DataFrame:
-    """study, content: one file of each study's rows, in order. A study's dataset is one file, so it is built in one task."""
+    """study, content: one file of each study's rows, in order. A study's dataset is one file, so it is built in one task; beyond LARGEST it raises."""
     fields = rows.schema.fields
     number = {f.name: isinstance(f.dataType, T.NumericType) for f in fields}
     kind = rows.schema[study].dataType.simpleString()
@@ -102,7 +111,7 @@ def transport_files(rows: DataFrame, study: str, name: str, order: list[str], la
     def build(group: pa.Table) -> pa.Table:
         own = group.sort_by([(c, "ascending") for c in order])
         values = list(zip(*([None if v is None else float(v) for v in own.column(f.name).to_pylist()] if number[f.name] else own.column(f.name).to_pylist() for f in fields)))
-        content = file_of(name, label, [(f.name, number[f.name]) for f in fields], values)
+        content = held(file_of(name, label, [(f.name, number[f.name]) for f in fields], values))
         return pa.table({"study": own.column(study)[:1], "content": pa.array([content], pa.binary())})
 
     return rows.groupBy(study).applyInArrow(build, f"study {kind}, content binary")

@@ -27,3 +27,26 @@ def test_files_are_read_by_others(tmp_path):
     assert list(frame.columns) == ["STUDYID", "TSSEQ", "TSVAL"] and frame["TSSEQ"].tolist()[:2] == [1.0, 2.5] and frame["TSVAL"].tolist()[:2] == ["a", "bcd"]
     assert list(transport.rows_of(data)) == [{"STUDYID": s, "TSSEQ": n, "TSVAL": v} for s, n, v in rows]
     assert struct.calcsize(">hhhh8s40s8shhh2s8shhl52s") == transport.VARIABLE
+
+
+def test_files_beyond_a_value_are_refused(spark):
+    rows = spark.createDataFrame([("ST1", float(i)) for i in range(50)], "STUDYID string, TSSEQ double")
+    (r,) = transport.transport_files(rows, "STUDYID", "TS", ["TSSEQ"]).collect()
+    assert [x["TSSEQ"] for x in transport.rows_of(bytes(r["content"]))] == list(map(float, range(50)))
+    assert transport.held(b"ab", 2) == b"ab"
+    with pytest.raises(ValueError, match="xport"):
+        transport.held(b"abc", 2)
+
+
+def test_dimensions_from_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from corvane.sources.readers import dims
+
+    schema = "query_id string, section_id string, priority long, required boolean"
+    good = "- {query_id: q1, section_id: B.1, priority: 1, required: true}\n- {query_id: q2, section_id: B.2, priority: 2, required: false}\n"
+    (tmp_path / "q.yaml").write_text(good)
+    assert sorted(map(tuple, dims(spark, str(tmp_path / "q.yaml"), schema, ["query_id", "section_id"]).collect())) == [("q1", "B.1", 1, True), ("q2", "B.2", 2, False)]
+    for name, text, error in (("type", good.replace("priority: 1", "priority: high"), "priority"), ("missing", good.replace("section_id: B.1", "section_id: null"), "without section_id")):
+        (tmp_path / f"{name}.yaml").write_text(text)
+        with pytest.raises(Exception, match=error):
+            dims(spark, str(tmp_path / f"{name}.yaml"), schema, ["query_id", "section_id"]).collect()
