@@ -72,7 +72,7 @@ def exact_stream_merge(pairs: DataFrame, doc: str) -> DataFrame:
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
         alike = lambda a, b: a in b or b in a
-        for d, name, visit, c, source in frame.sort_values("pos")[[doc, "name", "visit", "confidence", "source"]].itertuples(index=False):
+        for d, name, visit, c, source in frame.sort_values(["pos", "name", "visit", "source", "confidence"])[[doc, "name", "visit", "confidence", "source"]].itertuples(index=False):
             hit = next((k for k in kept if alike(k[1].lower(), name.lower()) and alike(k[2].lower(), visit.lower())), None)
             if hit is None:
                 kept.append([d, name, visit, c, {source}])

@@ -400,10 +400,16 @@ def data_op2_error_capture(spark, sf_dir):
     return M.safely(rows, work, "double", "doc").select("doc", "status")
 
 
-@query(None)
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey % 200 AS doc, l_orderkey || '-' || l_partkey || '-' || l_suppkey AS pos, 'act ' || (l_partkey % 12) AS name, 'visit ' || l_linenumber AS visit, CAST(l_tax * 10 AS DOUBLE) AS c, l_returnflag AS source FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos, name, visit, source, c) AS k FROM l),
+m AS (SELECT DISTINCT doc, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(name VARCHAR, visit VARCHAR, c DOUBLE, sources VARCHAR[])[]) AS kept FROM l UNION ALL
+SELECT doc, k, CASE WHEN hit IS NULL THEN list_append(kept, {'name': name, 'visit': visit, 'c': c, 'sources': [source]})
+  ELSE [CASE WHEN i = hit THEN {'name': kept[i].name, 'visit': kept[i].visit, 'c': least(greatest(kept[i].c, c) + 0.1, 0.95), 'sources': list_sort(list_distinct(list_append(kept[i].sources, source)))} ELSE kept[i] END FOR i IN range(1, len(kept) + 1)] END
+FROM (SELECT p.*, m.kept, list_filter(range(1, len(m.kept) + 1), lambda i: (contains(m.kept[i].name, p.name) OR contains(p.name, m.kept[i].name)) AND (contains(m.kept[i].visit, p.visit) OR contains(p.visit, m.kept[i].visit)))[1] AS hit FROM m JOIN p ON p.doc = m.doc AND p.k = m.k + 1)),
+f AS (SELECT m.doc, UNNEST(m.kept) AS x FROM m JOIN (SELECT doc, max(k) AS k FROM p GROUP BY 1) t ON t.doc = m.doc AND t.k = m.k) SELECT doc, x.name AS name, x.visit AS visit, round(x.c, 6) AS confidence, array_to_string(x.sources, ',') AS sources FROM f""")
 def jn12_agg20_ordered_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("doc"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("pos"), F.concat(F.lit("act "), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.concat(F.lit("visit "), F.col("l_linenumber").cast("string")).alias("visit"), (F.col("l_tax") * 10).alias("confidence"), F.col("l_returnflag").alias("source"))
-    return M.exact_stream_merge(rows, "doc")
+    return M.exact_stream_merge(rows, "doc").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH t AS (SELECT l_suppkey AS doc, l_orderkey AS page, l_partkey AS pos, list_sort(list_distinct([l_returnflag, l_linestatus])) AS h FROM lineitem), b AS (SELECT *, lag(page) OVER w AS bp, lag(h) OVER w AS bh FROM t WINDOW w AS (PARTITION BY doc ORDER BY page, pos, h)),
