@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import bound
+from corvane.operators.neighbour_index import matrix
 from corvane.operators.partition_sums import summed
 
 #: Buckets that words are hashed into, dimensions of a vector, further directions that the search carries, and passes of X'X.
@@ -65,16 +66,21 @@ def _projected(texts: list[str | None], idf: np.ndarray, basis: np.ndarray) -> t
     return out, row, at, weight
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
 @dataclass(frozen=True)
 class Encoder:
-    """Weights of buckets and the directions (buckets x dimensions) that texts are projected on."""
+    """Weights of buckets, the directions (buckets x dimensions) that texts are projected on, and what tuning turns vectors by."""
 
     idf: np.ndarray
     basis: np.ndarray
+    turn: np.ndarray | None = None
 
     def encode(self, rows: DataFrame, text: str, vector: str = "vector") -> DataFrame:
         """The rows with the vector of each whole text; texts without words have the zero vector."""
-        idf, basis = self.idf, self.basis
+        idf, basis, turn = self.idf, self.basis, self.turn
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +88,7 @@ class Encoder:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
                     x = _projected(part.column(text).to_pylist(), idf, basis)[0]
-                    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                    x = _unit(x) if turn is None else _unit(_unit(x) @ turn)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, vector])
 
@@ -120,6 +126,30 @@ def fit_encoder(rows: DataFrame, text: str, dims: int = DIMS, seed: int = 7) ->
     return Encoder(idf, found)
 
 
+def tuned(encoder: Encoder, rows: DataFrame, text: str, label: str, ridge: float = 0.05) -> Encoder:
+    """The encoder, turned so that texts of one label come closer: directions in which texts of one label differ count less.
+
+    All pairs of equal labels are taken at once, as the scatter around the labels' means, which is a sum over partitions. Rows without a label
+    or without words are left out; a label of one text tells nothing. `ridge` keeps directions that hardly vary from counting too much.
+    """
+    known = rows.select(F.col(label).cast("string").alias("y"), F.col(text).alias("text")).where("y IS NOT NULL")
+    labels = {r["y"]: i for i, r in enumerate(known.select("y").distinct().collect())}  # a row a class
+    k, c = encoder.basis.shape[1], len(labels)
+
+    def add(batch: pa.RecordBatch, out: np.ndarray) -> None:
+        x = matrix(batch.column("vector"))
+        x1 = np.hstack([x, (np.abs(x).sum(axis=1) > 0)[:, None]])
+        np.add.at(out, [labels[y] for y in batch.column("y").to_pylist()], x1)
+        out[c:, :k] += x.T @ x
+
+    found = summed(encoder.encode(known, "text").select("y", "vector"), add, (c + k, k + 1))
+    sums, n = found[:c, :k], np.maximum(found[:c, k:], 1)
+    within = (found[c:, :k] - (sums / n).T @ sums) / max(1.0, found[:c, k].sum())
+    values, vectors = np.linalg.eigh((within + within.T) / 2)
+    floor = max(ridge * float(np.maximum(values, 0).mean()), 1e-12)
+    return Encoder(encoder.idf, encoder.basis, (vectors / np.sqrt(np.maximum(values, 0) + floor)) @ vectors.T)
+
+
 def windows(rows: DataFrame, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
     """The rows, one for each window of `size` words of their text every `step` words, to the window that holds the last word: `window`, its
     text, `at`, its first word's place, and `until`. Texts without words have none."""

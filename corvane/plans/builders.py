@@ -167,6 +167,19 @@ def gr11_window_classifier(spark, sf_dir):
     return found.select("doc_id", "label", F.round("confidence", 4).alias("confidence"), "windows", F.col("at").cast("long").alias("at"), F.col("until").cast("long").alias("until"))
 
 
+@query(None)
+def gr8_tuned_encoder(spark, sf_dir):
+    """Mean similarity of documents of one language and of two, before and after tuning on the other documents."""
+    from corvane.operators import encoder as E
+    from corvane.operators.vectors import label_similarity
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    base = E.fit_encoder(d, "text")
+    parts = [label_similarity(model.encode(d.where(held), "text", "v"), "lang", "v").withColumn("tuned", F.lit(name)) for name, model in ((False, base), (True, E.tuned(base, d.where(~held), "text", "lang")))]
+    return parts[0].unionByName(parts[1]).select("tuned", "same", "pairs", F.round("mean", 4).alias("mean"))
+
+
 @query("SELECT label, count(*) * (count(*) - 1) // 2 AS pairs FROM embeddings GROUP BY 1")
 def gr8_pair_counts(spark, sf_dir):
     n = F.count("*")

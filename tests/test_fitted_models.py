@@ -124,6 +124,16 @@ def test_encoder_tells_topics_apart(spark, topics):
     assert len(empty) == 3 and all(not any(r["v"]) for r in empty)
 
 
+def test_tuning_brings_labels_together(spark, topics):
+    """On rows that the tuning has not seen, texts of one topic come closer to each other than before, measured against the others."""
+    base = encoder.fit_encoder(topics, "text", dims=16)
+    better = encoder.tuned(base, topics.where("id % 5 <> 0"), "text", "y")
+    held = topics.where("id % 5 = 0 AND id < 900")
+    before, after = (gain([(r["v"], r["y"]) for r in m.encode(held, "text", "v").collect()]) for m in (base, better))
+    assert after > before + 0.2
+    assert not any(better.encode(topics.where("id = 900"), "text", "v").first()["v"])
+
+
 def test_directions_are_those_of_the_whole_decomposition(spark, topics):
     """Against a plain decomposition of the same weights."""
     model = encoder.fit_encoder(topics, "text", dims=3)
