@@ -205,7 +205,8 @@ def str16_str51_paragraphs(spark, sf_dir):
     return t.select("conv_id", F.size("c").cast("long").alias("parts"), F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
 
 
-@query(None)
+@query(r"""WITH r AS (SELECT conv_id, turn, lower(role) AS role, regexp_replace('## 1.' || turn || ' ' || upper(left(role, 1)) || lower(substr(role, 2)) || chr(10) || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS region, count(*) FILTER (lower(role) IN ('user', 'assistant')) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT *, CASE WHEN n < 2 AND length(region) < 30 THEN 'B' WHEN role = 'user' THEN 'B.1' WHEN role = 'assistant' THEN 'B.2' ELSE 'B' END AS code FROM r) SELECT conv_id, code, CAST(length(string_agg(region, chr(10) || chr(10) ORDER BY turn)) AS INT) AS chars FROM c GROUP BY ALL""")
 def str16_subsections(spark, sf_dir):
     subs = [("B.1", "User", "what the user asks for"), ("B.2", "Assistant", "what the assistant answers")]
     turn = F.concat(F.lit("## 1."), F.col("turn").cast("string"), F.lit(" "), F.initcap("role"), F.lit("\n"), F.coalesce("text", F.lit("")))
