@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, mapped
+from corvane.llm.common import chunks, kept_between_tasks, mapped
 
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words and ids that a worker remembers before it starts anew, and pairs of tokens whose borders it remembers.
-MEMORY_BYTES, MEMORY_PAIRS = 48 << 20, 100_000
+MEMORY_BYTES, MEMORY_PAIRS = 24 << 20, 100_000
 #: Bytes by which the longest last token is looked up.
 TAIL = 3
 #: Python's cost of a remembered word besides its letters and ids.
@@ -188,6 +188,9 @@ def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
+kept_between_tasks(__name__, vocabulary.cache_clear)
+
+
 class Encoder:
     """Texts to ids and back, with a memory of words."""
 

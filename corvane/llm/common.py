@@ -103,6 +103,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: How to give up what a module's workers keep between tasks, such as a vocabulary.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_between_tasks(module: str, forget: Callable[[], None]) -> None:
+    _KEPT[module] = forget
+
+
+def forget_others(module: str) -> None:
+    """Before a task of one operator, what the worker still keeps for the others goes."""
+    for name, forget in _KEPT.items():
+        if name != module:
+            forget()
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow of rows with whole texts, whose batches are kept small for the rest of the session: rows may be long."""
     conf = df.sparkSession.conf
@@ -110,7 +125,10 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     if not 0 < int(conf.get(at).rstrip("b")) <= BATCH_BYTES:
         conf.set(at, f"{BATCH_BYTES}b")
 
+    module = run.__module__
+
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(module)
         try:
             yield from run(batches)
         finally:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, mapped, utf8
+from corvane.llm.common import chunks, kept_between_tasks, mapped, utf8
 
 #: The mark that stands for a space in the vocabulary.
 SPACE = "▁"
@@ -173,6 +173,9 @@ def pieces(model: bytes) -> Pieces:
     return Pieces(model)
 
 
+kept_between_tasks(__name__, pieces.cache_clear)
+
+
 class Counter:
     """Counts tokens of texts: whole tokens at once, the rest by merging, with a memory of what was merged. When that is full it
     becomes the old memory, from which what is met again is taken over, and the old memory before it goes."""

@@ -72,3 +72,16 @@ def test_pipeline_lines_stage(spark):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert set(rows) == {0, 1, 2, 3} and all((r["__gone_lines"], r["gone_lines"], r["__gone"]) == ("u", "v", "kept 0") for r in rows.values())
     assert rows[1]["text"] == "ships carry grain across an ocean" and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[0]["text"] == texts[0]
+
+
+def test_workers_keep_one_operators_things(spark):
+    """A task of another operator gives up the vocabulary that a worker kept; its own operator's tasks do not."""
+    from corvane.llm import bpe, common, token_counts
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        text = f.read()
+    own = bpe.vocabulary(text)
+    common.forget_others(bpe.__name__)
+    assert bpe.vocabulary(text) is own
+    common.forget_others(token_counts.__name__)
+    assert bpe.vocabulary.cache_info().currsize == 0
