@@ -22,14 +22,16 @@ THRESHOLD = 80.0
 SHOWN = 500
 
 
-def chunked(text: Column | str, size: int = CHUNK) -> Column:
+def chunked(text: Column | str, size: int = CHUNK, space: str = r"\s", around: str = r"\s") -> Column:
     """A text of up to `size` characters as it is; a longer one by its paragraphs (between blank lines, without the short ones), those that are
-    too long in pieces of `size`. A text of which nothing is left gives its first `size` characters. Null and empty: no chunk."""
+    too long in pieces of `size`. A text of which nothing is left gives its first `size` characters. Null and empty: no chunk.
+
+    `space` is what is blank in lines and around paragraphs, `around` what does not count at the ends of a piece."""
     text = F.col(text) if isinstance(text, str) else text
-    strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    strip = lambda s, blank: F.regexp_replace(s, rf"(?U)^{blank}+|{blank}+\z", "")
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(p) - 1) / size).cast("int")), lambda i: p.substr(i * size + 1, F.lit(size)))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: F.char_length(p) >= LEAST_PARAGRAPH)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(F.filter(cut(p), lambda c: F.char_length(strip(c)) >= LEAST_PARAGRAPH))))
+    paragraphs = F.filter(F.transform(F.split(text, rf"\n{space}*\n"), lambda p: strip(p, space)), lambda p: F.char_length(p) >= LEAST_PARAGRAPH)
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(F.filter(cut(p), lambda c: F.char_length(strip(c, around)) >= LEAST_PARAGRAPH))))
     whole = F.array(text.substr(1, size))
     found = F.when(F.char_length(text) <= size, whole).when(F.size(pieces) > 0, pieces).otherwise(whole)
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(found)

@@ -28,3 +28,11 @@ def test_first_and_last_by_keys_of_seven_digits(spark, tmp_path):
     study, days, visit = zip(*visits)
     orders = {"o_orderkey": pa.array(visit, pa.int64()), "o_custkey": pa.array(study, pa.int64()), "o_orderstatus": ["P"] * len(visits), "o_totalprice": [1.0] * len(visits), "o_orderdate": pa.array([day(d) for d in days], pa.timestamp("us")), "o_orderpriority": ["1"] * len(visits)}
     hold(spark, tmp_path, "win7_first_and_last", orders=orders)
+
+
+def test_paragraph_pieces_that_end_in_blanks(spark, tmp_path):
+    word, tail = "x" * 299, "y" * 19
+    ends = ["\n", "\t", "\r", "\v", "\f", " ", "\u00a0", "\u3000", "\u0085", "\u2028"]
+    texts = [f"{word}z{e}{tail}" for e in ends] + [f"{e}{tail}\n{e}\n{word}{e}" for e in ends] + [None, "", " ", "short"]
+    conversations = {"conv_id": pa.array(range(len(texts)), pa.int64()), "turn": pa.array([0] * len(texts), pa.int64()), "role": ["user"] * len(texts), "text": texts}
+    hold(spark, tmp_path, "str16_str51_paragraphs", conversations=conversations)
