@@ -36,3 +36,29 @@ def test_paragraph_pieces_that_end_in_blanks(spark, tmp_path):
     texts = [f"{word}z{e}{tail}" for e in ends] + [f"{e}{tail}\n{e}\n{word}{e}" for e in ends] + [None, "", " ", "short"]
     conversations = {"conv_id": pa.array(range(len(texts)), pa.int64()), "turn": pa.array([0] * len(texts), pa.int64()), "role": ["user"] * len(texts), "text": texts}
     hold(spark, tmp_path, "str16_str51_paragraphs", conversations=conversations)
+
+
+def test_lists_of_a_dimension_beyond_one_broadcast(spark, monkeypatch):
+    from corvane.operators import joins as J
+
+    rows = spark.createDataFrame([(i, i % 5 if i % 7 else None) for i in range(60)], "header int, parent int")
+    dim = spark.createDataFrame([(k % 4, k) for k in range(90)] + [(None, 1000), (3, 90), (3, 90), (2, None)], "parent int, sub int")
+    want = sorted((r["header"], r["sub"] or -1) for r in rows.join(dim, "parent").collect())
+    for small in (50, 50_000):
+        monkeypatch.setattr(J, "SMALL_ROWS", small)
+        found = J.listed(rows, dim, "parent", "sub", 8)
+        assert sorted((r["header"], r["sub"] or -1) for r in found.collect()) == want
+        assert found.columns == ["header", "parent", "sub"]
+
+
+def test_headers_meet_suppliers_without_being_moved_again(spark, tmp_path, monkeypatch):
+    """A dimension of more rows than may be broadcast still meets the headers as a few lists, so no join of few keys sorts or keeps them."""
+    from corvane.operators import joins as J
+
+    monkeypatch.setattr(J.broadcast_if_small, "__defaults__", (50,))
+    n = 400
+    lineitem = {"l_orderkey": pa.array([i % 90 for i in range(n)], pa.int64()), "l_suppkey": pa.array([i * 7 % 120 for i in range(n)], pa.int64()), "l_discount": [(i % 11) / 100 for i in range(n)]}
+    supplier = {"s_suppkey": pa.array(range(120), pa.int64())}
+    hold(spark, tmp_path, "gr15_subsection_scores", lineitem=lineitem, supplier=supplier)
+    plan = catalog.queries()["gr15_subsection_scores"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan.split("collect_list")[0]
