@@ -3,21 +3,31 @@
 The score of a chunk in a window is the greatest of 2 * LCS / (length of the chunk + length of the piece) over all pieces of the window that are as
 long as the chunk, and over the window's beginnings and ends that are shorter. The longest common subsequence is found with one integer a row,
 whose bits are the chunk's characters. Two pieces that lie d characters apart differ by at most d in it, so pieces that
-cannot beat the best score so far are passed over without being compared; the result is that of comparing all.
+cannot beat the best score so far are passed over without being compared; the result is that of comparing all. Before that, pieces at every
+sixth of the chunk's length are compared in all texts of a batch at once, side by side in one integer, and texts in which these leave
+no room for a window of the least score are done with.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.joins import spread
+from corvane.operators.studies import _cut
+
 #: Characters of a chunk, the shortest paragraph that becomes one, and the shortest chunk that is aligned.
 CHUNK, LEAST_PARAGRAPH, LEAST_CHUNK = 300, 20, 10
 #: Score (0 to 100) from which a chunk counts as found.
 THRESHOLD = 80.0
+#: Pieces that are compared side by side, and chunks that meet a text in one task.
+LANES, TOGETHER = 2_048, 64
+#: Pairs whose texts a task holds at once.
+ROWS = 512
 #: Characters of a chunk and of a span that are returned.
 SHOWN = 500
 
@@ -80,6 +90,44 @@ class Needle:
         return best
 
 
+def grid(n: int, length: int) -> list[int]:
+    """Places of the pieces that are compared first: every sixth of the chunk's length, and the last place."""
+    return [*range(0, length - n, max(1, n // 6)), length - n]
+
+
+def side_by_side(chunk: str, pieces: list[str]) -> list[int]:
+    """The longest common subsequences of a chunk with pieces as long as it is: Needle.common of each, a lane of whole bytes with a bit to spare for each."""
+    n, needle, out = len(chunk), Needle(chunk), []
+    width = n // 8 + 1
+    letters = np.array(sorted(map(ord, needle.masks)), np.uint32)
+    masks = np.zeros((len(letters) + 1, width), np.uint8)
+    for i, c in enumerate(letters):
+        masks[i] = np.frombuffer(needle.masks[chr(c)].to_bytes(width, "little"), np.uint8)
+    for start in range(0, len(pieces), LANES):
+        part = pieces[start : start + LANES]
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+        at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+        at[letters[at] != codes] = len(letters)
+        full = rest = int.from_bytes(needle.all.to_bytes(width, "little") * len(part), "little")
+        for column in np.ascontiguousarray(at.T):
+            hit = rest & int.from_bytes(masks[column].tobytes(), "little")
+            # a carry beyond a lane's bits falls on its spare bit and goes
+            rest = (rest + hit | rest - hit) & full
+        lanes = np.frombuffer(rest.to_bytes(width * len(part), "little"), np.uint8).reshape(len(part), width)
+        out += (n - np.bitwise_count(lanes).sum(axis=1, dtype=np.int64)).tolist()
+    return out
+
+
+def may_hold(n: int, places: list[int], common: list[int], least: float) -> bool:
+    """Whether a text may have a window of the least score (0 to 1), by the common lengths of its pieces at some places.
+
+    Pieces d characters apart differ by d at most. A shorter piece at a window's edge has no more in common than the whole piece there."""
+    most = max(common)
+    for a, b, x, y in zip(places, places[1:], common, common[1:]):
+        most = max(most, (x + y + b - a) // 2)
+    return max(most / n, 2 * most / (n + most)) >= least - 1e-9
+
+
 def best_window(chunk: str, text: str, least: float = THRESHOLD) -> tuple[float, int, int] | None:
     """score, start and end of the first of the best windows of a text for a chunk, both lowered, if the score is at least `least`.
 
@@ -117,25 +165,54 @@ def best_window(chunk: str, text: str, least: float = THRESHOLD) -> tuple[float,
     return None if found is None else (best * 100, *found)
 
 
+def _worth(needles: list[str], hays: list[str], low: dict[str, str], least: float) -> Iterator[int]:
+    """The pairs that may hold a window of the least score. Those of one chunk are looked at together, as many as fill the lanes."""
+    by: dict[str, list[int]] = {}
+    for i, small in enumerate(needles):
+        by.setdefault(lowered(small), []).append(i)
+    for small, rows in by.items():
+        n, held, pieces = len(small), [], []
+        for i in rows:
+            large = low[hays[i]]
+            if len(large) > n:
+                places = grid(n, len(large))
+                held.append((i, places))
+                pieces += [large[p : p + n] for p in places]
+            if held and (len(pieces) >= LANES or i == rows[-1]):
+                common, at = side_by_side(small, pieces), 0
+                for j, places in held:
+                    if may_hold(n, places, common[at : at + len(places)], least / 100):
+                        yield j
+                    at += len(places)
+                held, pieces = [], []
+
+
 def align(chunks: DataFrame, texts: DataFrame, on: list[str], chunk: str = "chunk", text: str = "text", least: float = THRESHOLD) -> DataFrame:
     """The columns of chunks, and char_offset, span, span_length and similarity (0 to 1) of the best window of each text that is joined to
     them by `on`, if it scores `least` or more. Texts are whole, whatever their length; null texts and chunks and chunks of less than
-    LEAST_CHUNK characters find nothing. Chunks and texts meet by a join, which Spark splits at a hot key.
+    LEAST_CHUNK characters find nothing. Chunks and texts meet by a join; a key's chunks are dealt into parts, so a hot key is many tasks.
     """
     kept = [c for c in chunks.columns if c != chunk]
     rest = [c for c in texts.columns if c not in (text, *kept, *on)]
     needle, hay = (next(n for i in range(len(kept + rest) + 1) if (n := f"{name}{i}") not in kept + rest) for name in ("needle", "hay"))
-    found = chunks.where(F.char_length(F.trim(chunk)) >= LEAST_CHUNK).select(*kept, F.col(chunk).alias(needle))
-    pairs = found.join(texts.where(F.col(text).isNotNull()).select(*on, *rest, F.col(text).alias(hay)), on).select(*kept, *rest, needle, hay)
+    # read twice, so it is worked out once
+    found = _cut(chunks.where(F.char_length(F.trim(chunk)) >= LEAST_CHUNK).select(*kept, F.col(chunk).alias(needle)))
+    part = next(n for i in range(len(kept + rest + on) + 1) if (n := f"part{i}") not in kept + rest + on)
+    parts = found.groupBy(*on).agg(F.ceil(F.count("*") / TOGETHER).alias(part))
+    left = spread(found.join(parts, on).withColumn(part, F.pmod(F.xxhash64(needle, *(c for c in kept if c not in on)), part)), *on, part)
+    hays = texts.where(F.col(text).isNotNull()).select(*on, *rest, F.col(text).alias(hay)).join(parts, on).withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(part) - 1)))
+    # the work lies in the pairs, so they stay where they were dealt
+    pairs = left.join(hays.hint("merge"), [*on, part]).select(*kept, *rest, needle, hay)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (needle, hay))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out, low = [], [], (None, "")
-            for i, (small, large) in enumerate(zip(batch.column(needle).to_pylist(), batch.column(hay).to_pylist())):
-                if low[0] != large:
-                    low = (large, lowered(large))
-                if best := best_window(lowered(small), low[1], least):
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            at, out = [], []
+            needles, hays = batch.column(needle).to_pylist(), batch.column(hay).to_pylist()
+            low = {t: lowered(t) for t in set(hays)}
+            for i in sorted(_worth(needles, hays, low, least)):
+                small, large = needles[i], hays[i]
+                if best := best_window(lowered(small), low[large], least):
                     score, start, end = best
                     span = large[start:end][: len(small) + 100]
                     at.append(i)

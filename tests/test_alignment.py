@@ -151,3 +151,37 @@ def test_empty(spark):
 
 def test_lower_case_keeps_places():
     assert A.lowered("İSTANBUL ΟΔΟΣ") == "İstanbul οδοσ" and A.lowered("ÄB") == "äb"
+
+
+def test_texts_without_room_are_done_with_early():
+    """Pieces side by side have the common lengths of single ones, and no text with a window is left out."""
+    rng = random.Random(12)
+    left = 0
+    for _ in range(60):
+        letters = rng.choice(["ab", "abcd ", "abcdefghijklmno ", "aäΣ日𝄞b"])
+        needle = "".join(rng.choices(letters, k=rng.choice([1, 2, 5, 7, 8, 9, 16, 33, 64, 120])))
+        text = "".join(rng.choices(letters, k=rng.randrange(len(needle) + 1, 400)))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + edited(rng, needle, letters, rng.randrange(0, 1 + len(needle) // 4)) + text[at:]
+        if len(text) <= len(needle):
+            continue
+        places = A.grid(len(needle), len(text))
+        common = A.side_by_side(needle, [text[p : p + len(needle)] for p in places])
+        assert common == [lcs(needle, text[p : p + len(needle)]) for p in places]
+        room = A.may_hold(len(needle), places, common, 0.8)
+        assert room or A.best_window(needle, text) is None
+        left += not room
+    assert left > 5
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    """One text and many chunks of one key: the chunks are dealt over tasks, and each is found once."""
+    rng = random.Random(3)
+    text = prose(rng, 400)
+    chunks = [(i, 1, text[i * 5 : i * 5 + 40]) for i in range(300)]
+    c, t = spark.createDataFrame(chunks, "part int, doc int, chunk string"), spark.createDataFrame([(1, text)], "doc int, text string")
+    found = A.align(c, t, ["doc"]).select("part", "char_offset", "similarity", F.spark_partition_id().alias("task")).collect()
+    want = {i: A.best_window(A.lowered(s), A.lowered(text)) for i, _, s in chunks}
+    assert len(found) == 300 and all((r["similarity"] * 100, r["char_offset"]) == pytest.approx(want[r["part"]][:2]) for r in found)
+    assert len({r["task"] for r in found}) > 1
