@@ -172,8 +172,12 @@ SELECT page, id, box, dist FROM n WHERE k = 1""")
 def jn16_nearest_shape(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("x"), (F.col("p_partkey") % 40).alias("page"))
     r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") % 40).alias("page"), (F.col("s_suppkey") % 50).alias("rx"))
-    near = p.join(r, "page").withColumn("dist", F.abs(F.col("x") - F.col("rx"))).where("dist < 15")
-    return near.groupBy("page", "id").agg(F.min(F.struct("dist", "box")).alias("s")).select("page", "id", "s.box", "s.dist")
+    # of shapes at one place only the first can be the nearest, and points at one place have the same one
+    first = r.groupBy("page", "rx").agg(F.min("box").alias("box"))
+    near = p.select("page", "x").distinct().join(J.broadcast_if_small(first), "page").withColumn("dist", F.abs(F.col("x") - F.col("rx"))).where("dist < 15")
+    best = near.groupBy("page", "x").agg(F.min(F.struct("dist", "box")).alias("s"))
+    found = p.join(J.broadcast_if_small(best), ["page", "x"])
+    return found.groupBy("page", "id").agg(F.min("s").alias("s")).select("page", "id", "s.box", "s.dist")
 
 
 typed(jn27_routes_with_fallback="similarity DOUBLE")

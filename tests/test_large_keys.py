@@ -62,3 +62,31 @@ def test_headers_meet_suppliers_without_being_moved_again(spark, tmp_path, monke
     hold(spark, tmp_path, "gr15_subsection_scores", lineitem=lineitem, supplier=supplier)
     plan = catalog.queries()["gr15_subsection_scores"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan.split("collect_list")[0]
+
+
+def shapes(n, m):
+    part = {"p_partkey": pa.array([*range(n), 3], pa.int64()), "p_size": pa.array([*(i * 13 % 50 + 1 for i in range(n)), 9], pa.int32()), "p_retailprice": [900.0 + i * 37 % 700 for i in range(n + 1)]}
+    return {"part": part, "supplier": {"s_suppkey": pa.array(range(m), pa.int64())}}
+
+
+def pairs_tested(df):
+    """Rows that joins of the plan gave, at most."""
+    df.collect()
+    plan, out = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            node = node.plan()
+        if "Join" in node.nodeName():
+            out = max(out, node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_shapes_of_one_place_meet_points_once(spark, tmp_path):
+    tables = shapes(400, 4000)
+    hold(spark, tmp_path, "jn16_nearest_shape", **tables)
+    # 100 shapes lie on each page, at ten places
+    assert pairs_tested(catalog.queries()["jn16_nearest_shape"](spark, str(tmp_path))) <= 400 * 10
