@@ -164,7 +164,10 @@ def jn17_containment(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("x"), (F.col("p_partkey") % 40).alias("page"), (F.col("p_retailprice") / 20).alias("y"))
     k = F.col("s_suppkey")
     r = table(spark, sf_dir, "supplier").select(k.alias("box"), (k % 40).alias("page"), (k % 25).alias("x0"), (k % 25 + 12).alias("x1"), (k % 30 + 40).alias("y0"), (k % 30 + 60).alias("y1"))
-    return p.join(r, "page").where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("page", "box", "id")
+    shape = ["page", "x0", "x1", "y0", "y1"]
+    # points meet each shape once, and only those that lie in it meet all boxes of this shape
+    inside = p.join(J.broadcast_if_small(r.select(*shape).distinct()), "page").where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("id", F.struct(*shape).alias("shape"))
+    return J.listed(inside, r.select(F.struct(*shape).alias("shape"), "box"), "shape", "box").select("shape.page", "box", "id")
 
 
 @query("""WITH d AS (SELECT p_partkey AS id, p_size AS x, p_partkey % 40 AS page FROM part), r AS (SELECT s_suppkey AS box, s_suppkey % 40 AS page, s_suppkey % 50 AS x FROM supplier), n AS (SELECT d.page, id, box, abs(d.x - r.x) AS dist, row_number() OVER (PARTITION BY id ORDER BY abs(d.x - r.x), box) AS k FROM d JOIN r USING (page) WHERE abs(d.x - r.x) < 15)

@@ -90,3 +90,11 @@ def test_shapes_of_one_place_meet_points_once(spark, tmp_path):
     hold(spark, tmp_path, "jn16_nearest_shape", **tables)
     # 100 shapes lie on each page, at ten places
     assert pairs_tested(catalog.queries()["jn16_nearest_shape"](spark, str(tmp_path))) <= 400 * 10
+
+
+def test_boxes_of_one_shape_meet_points_as_lists(spark, tmp_path):
+    tables = shapes(400, 4000)
+    hold(spark, tmp_path, "jn17_containment", **tables)
+    df = catalog.queries()["jn17_containment"](spark, str(tmp_path))
+    # a point meets shapes, not each of their boxes
+    assert pairs_tested(df) < df.count()
