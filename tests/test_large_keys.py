@@ -98,3 +98,12 @@ def test_boxes_of_one_shape_meet_points_as_lists(spark, tmp_path):
     df = catalog.queries()["jn17_containment"](spark, str(tmp_path))
     # a point meets shapes, not each of their boxes
     assert pairs_tested(df) < df.count()
+
+
+def test_no_document_carries_a_sketch(spark, tmp_path):
+    n = 500
+    lineitem = {"l_orderkey": pa.array([i % 130 for i in range(n)], pa.int64()), "l_partkey": pa.array(range(n), pa.int64()), "l_suppkey": pa.array([i * 7 % 40 or None for i in range(n)], pa.int64()), "l_discount": [0.01] * n, "l_quantity": [1.0] * n, "l_returnflag": ["A"] * n, "l_linenumber": pa.array([1] * n, pa.int32())}
+    hold(spark, tmp_path, "agg41_approximate_distinct", lineitem=lineitem)
+    plan = catalog.queries()["agg41_approximate_distinct"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    sketched = [line for line in plan.split("\n") if "approx_count_distinct" in line]
+    assert sketched and all("keys=[code" in line and "result_id" not in line.split("functions=")[0] for line in sketched)
