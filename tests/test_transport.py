@@ -50,3 +50,29 @@ def test_dimensions_from_yaml(spark, tmp_path):
         (tmp_path / f"{name}.yaml").write_text(text)
         with pytest.raises(Exception, match=error):
             dims(spark, str(tmp_path / f"{name}.yaml"), schema, ["query_id", "section_id"]).collect()
+
+
+def test_a_large_study_is_rows_in_parts(spark, monkeypatch):
+    """Neither the writer nor the reader of a study's file makes more rows Python objects than a part has."""
+    import pyarrow as pa
+
+    from corvane.sources import transport as X
+
+    n = X.ROWS * 2 + 17
+    rows = spark.range(n).selectExpr("'S1' AS STUDYID", "CAST(id AS DOUBLE) AS SEQ", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('ä', id % 1000) END AS TERM")
+    files = X.transport_files(rows, "STUDYID", "TS", ["SEQ"])
+    content = files.first()["content"]
+    plain = [("S1", float(i), None if i % 3 == 0 else f"ä{i % 1000}") for i in range(n)]
+    assert content == X.file_of("TS", "", [("STUDYID", False), ("SEQ", True), ("TERM", False)], plain)
+    assert [(r["STUDYID"], r["SEQ"], r["TERM"] or None) for r in X.rows_of(bytes(content))] == plain
+    parts = []
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            parts.extend(b.num_rows for b in run([pa.RecordBatch.from_pydict({"content": [bytes(content)]})]))
+
+        def select(self, *_):
+            return self
+
+    X.transport_rows(Rows(), "STUDYID string, SEQ double, TERM string")
+    assert parts == [X.ROWS, X.ROWS, 17]
