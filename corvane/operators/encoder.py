@@ -94,6 +94,22 @@ class Encoder:
 
         return rows.mapInArrow(run, f"{kinds}, `{vector}` array<double>")
 
+    def turned(self, rows: DataFrame, vector: str) -> DataFrame:
+        """Rows whose vectors were made before tuning, with those of after it; no text is read again."""
+        turn = self.turn
+        if turn is None:
+            return rows
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _unit(matrix(batch.column(vector)) @ turn)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                    yield pa.RecordBatch.from_arrays([lists if c == vector else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+        return rows.mapInArrow(run, kinds)
+
 
 def fit_encoder(rows: DataFrame, text: str, dims: int = DIMS, seed: int = 7) -> Encoder:
     """An encoder of all texts of a table. Null and empty texts count as texts without words."""
@@ -133,6 +149,12 @@ def tuned(encoder: Encoder, rows: DataFrame, text: str, label: str, ridge: float
     or without words are left out; a label of one text tells nothing. `ridge` keeps directions that hardly vary from counting too much.
     """
     known = rows.select(F.col(label).cast("string").alias("y"), F.col(text).alias("text")).where("y IS NOT NULL")
+    return tuned_by(encoder, encoder.encode(known, "text"), "vector", "y", ridge)
+
+
+def tuned_by(encoder: Encoder, rows: DataFrame, vector: str, label: str, ridge: float = 0.05) -> Encoder:
+    """`tuned` by vectors that the encoder has made already."""
+    known = rows.select(F.col(label).cast("string").alias("y"), F.col(vector).alias("vector")).where("y IS NOT NULL")
     labels = {r["y"]: i for i, r in enumerate(known.select("y").distinct().collect())}  # a row a class
     k, c = encoder.basis.shape[1], len(labels)
 
@@ -142,7 +164,7 @@ def tuned(encoder: Encoder, rows: DataFrame, text: str, label: str, ridge: float
         np.add.at(out, [labels[y] for y in batch.column("y").to_pylist()], x1)
         out[c:, :k] += x.T @ x
 
-    found = summed(encoder.encode(known, "text").select("y", "vector"), add, (c + k, k + 1))
+    found = summed(known, add, (c + k, k + 1))
     sums, n = found[:c, :k], np.maximum(found[:c, k:], 1)
     within = (found[c:, :k] - (sums / n).T @ sums) / max(1.0, found[:c, k].sum())
     values, vectors = np.linalg.eigh((within + within.T) / 2)

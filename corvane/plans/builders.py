@@ -171,12 +171,17 @@ def gr11_window_classifier(spark, sf_dir):
 def gr8_tuned_encoder(spark, sf_dir):
     """Mean similarity of documents of one language and of two, before and after tuning on the other documents."""
     from corvane.operators import encoder as E
+    from corvane.operators.studies import _cut
     from corvane.operators.vectors import label_similarity
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     base = E.fit_encoder(d, "text")
-    parts = [label_similarity(model.encode(d.where(held), "text", "v"), "lang", "v").withColumn("tuned", F.lit(name)) for name, model in ((False, base), (True, E.tuned(base, d.where(~held), "text", "lang")))]
+    # each text is encoded once, whatever reads its vector
+    vectors = _cut(base.encode(d.withColumn("held", held).select("lang", "held", "text"), "text", "v").drop("text"))
+    asked = vectors.where("held")
+    model = E.tuned_by(base, vectors.where("NOT held"), "v", "lang")
+    parts = [label_similarity(rows, "lang", "v").withColumn("tuned", F.lit(name)) for name, rows in ((False, asked), (True, _cut(model.turned(asked, "v"))))]
     return parts[0].unionByName(parts[1]).select("tuned", "same", "pairs", F.round("mean", 4).alias("mean"))
 
 

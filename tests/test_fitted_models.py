@@ -181,3 +181,17 @@ def test_languages_of_documents(spark):
     told = encoder.main_label(encoder.sections(model.classify(d.where(held).drop("lang"), "text"), "doc_id"), "doc_id").join(d, "doc_id").select(F.avg((F.col("label") == F.col("lang")).cast("int"))).first()[0]
     most = d.where(held).groupBy("lang").count().agg(F.max("count") / F.sum("count")).first()[0]
     assert told > 0.9 and told > most + 0.1
+
+
+def test_tuning_by_vectors_is_tuning_by_texts(spark):
+    from corvane.operators import encoder as E
+
+    texts = [(i, " ".join(f"word{(i * 7 + k * k) % 23}" for k in range(3 + i % 9)) if i % 10 else None, None if i % 11 == 0 else f"l{i % 3}") for i in range(60)]
+    rows = spark.createDataFrame(texts, "id int, text string, label string")
+    base = E.fit_encoder(rows, "text", 6)
+    vectors = base.encode(rows, "text", "v").drop("text")
+    a, b = E.tuned(base, rows, "text", "label"), E.tuned_by(base, vectors, "v", "label")
+    assert abs(a.turn - b.turn).max() < 1e-9
+    want = {r["id"]: r["v"] for r in a.encode(rows, "text", "v").collect()}
+    got = {r["id"]: r["v"] for r in b.turned(vectors, "v").collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for i in got for x, y in zip(got[i], want[i]))
