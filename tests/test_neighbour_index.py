@@ -130,3 +130,27 @@ def test_recall_on_the_embeddings(spark):
             want = {int(ids[j]) for j in np.lexsort((ids, -s))[:10]}
             hits, total = hits + len(want & {j for j, _ in got[i]}), total + 10
     assert hits >= 0.9 * total
+
+
+def test_exact_search_sends_a_vector_once_a_part(spark):
+    """However many lists a query could have to go through, it is sent to the parts of the entries, not to the lists."""
+    vectors = clustered(6, 2600, 24, 1)
+    asked = frame(spark, vectors).select(F.col("id").alias("target"), F.col("v").alias("q"))
+    index = N.build(frame(spark, vectors), "id", "v", lists=60)
+    near = index.search(frame(spark, vectors), "id", "v", 4, exact=True)
+    assert N.swept(asked, index.entries.select("idx", "vec"), 4).count() <= len(vectors) * N.GRID * 4
+    same(rows_of(near), brute(vectors, vectors, 4))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e6, 1e20])
+def test_best_by_single_precision_is_exact(scale):
+    """Vectors that single precision cannot tell apart are told apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3, 8))[rng.integers(0, 3, 300)] + 1e-9 * rng.normal(size=(300, 8))
+    x *= scale
+    row, at, values = N._best(x, x, np.arange(300), 5, rows=64, columns=32)
+    s = np.round(np.einsum("id,jd->ijd", x, x).sum(axis=2), 12) if scale == 1 else None
+    assert len(row) == 1500 and not (row == at).any()
+    if s is not None:
+        s[np.arange(300), np.arange(300)] = -np.inf
+        assert np.allclose(values.reshape(300, 5), -np.sort(-s, axis=1)[:, :5], atol=2e-12, rtol=0)
