@@ -1,69 +1,100 @@
 """A text encoder that is fitted on the corpus, and a classifier of windows on top of it.
 
 Words fall into hashed buckets, weighted by tf-idf. The directions that hold most of the rows' variation are found by a randomised
-singular value decomposition: a random basis goes through X'X a few times, each time as a sum over partitions, and is made orthogonal on the
-driver, where nothing is larger than buckets x dimensions. A text's vector is its weights in these directions, scaled to length 1.
+singular value decomposition: texts are read once and their words' counts stored, a random basis goes through X'X a few times, each time as a
+sum over partitions, and is made orthogonal on the driver, where nothing is larger than buckets x dimensions. A text's vector is its weights in these directions, scaled to length 1.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import bound
+from corvane.operators.joins import spread
 from corvane.operators.neighbour_index import matrix
 from corvane.operators.partition_sums import summed
+from corvane.operators.studies import _cut
 
 #: Buckets that words are hashed into, dimensions of a vector, further directions that the search carries, and passes of X'X.
 BUCKETS, DIMS, SPARE, PASSES = 4_096, 64, 16, 3
+#: Texts whose weights are one matrix, and words whose buckets a task remembers.
+CHUNK, KNOWN = 256, 262_144
 #: Words of a window and of the step from one to the next.
 WINDOW, STEP = 128, 64
 
 _WORDS = re.compile(r"\w{2,}").findall
 
 
-def _counted(texts: list[str | None]) -> Iterator[Counter]:
-    bucket: dict[str, int] = {}
-    for text in texts:
-        counts: Counter = Counter()
-        for word, n in Counter(_WORDS((text or "").lower())).items():
-            at = bucket.get(word)
-            if at is None:
-                at = bucket[word] = zlib.crc32(word.encode()) % BUCKETS
-            counts[at] += n
-        yield counts
+class _Buckets(dict):
+    """The bucket of each word that a task has met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        at = self[word] = zlib.crc32(word.encode()) % BUCKETS
+        return at
+
+
+def _counted(texts: list[str | None], buckets: _Buckets) -> np.ndarray:
+    """How often each text has words of each bucket: texts x buckets."""
+    found = [[buckets[word] for word in _WORDS((text or "").lower())] for text in texts]
+    n = np.array([len(f) for f in found], np.int64)
+    at = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())) + np.repeat(np.arange(len(texts)) * BUCKETS, n)
+    return np.bincount(at, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+
+
+def _scaled(at: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
+    """Weights (rows x buckets) by places in that matrix and counts above 0; each row's weights have length 1."""
+    x = np.zeros(rows * BUCKETS)
+    x[at] = (1 + np.log(n)) * idf[at % BUCKETS]
+    x = x.reshape(rows, BUCKETS)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
+
+
+def _weights(texts: list[str | None], idf: np.ndarray, buckets: _Buckets) -> np.ndarray:
+    counts = _counted(texts, buckets).ravel()
+    at = np.flatnonzero(counts)
+    return _scaled(at, counts[at], len(texts), idf)
 
 
 def _weighted(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and weight of all words of texts; each row's weights have length 1."""
-    row, at, n = [], [], []
-    for i, counts in enumerate(_counted(texts)):
-        row += [i] * len(counts)
-        at += counts.keys()
-        n += counts.values()
-    row, at = np.array(row, np.int64), np.array(at, np.int64)
-    weight = (1 + np.log(np.array(n, np.float64))) * idf[at] if len(at) else np.zeros(0)
-    length = np.sqrt(np.bincount(row, weight**2, len(texts))) if len(at) else np.ones(len(texts))
-    return row, at, weight / np.maximum(length, 1e-12)[row] if len(at) else weight
-
-
-def _projected(texts: list[str | None], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    row, at, weight = _weighted(texts, idf)
-    out = np.zeros((len(texts), basis.shape[1]))
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[starts]] = np.add.reduceat(weight[:, None] * basis[at], starts)
-    return out, row, at, weight
+    """Row, bucket and weight of all words of texts."""
+    x = _weights(texts, idf, _Buckets())
+    row, at = np.nonzero(x)
+    return row, at, x[row, at]
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, CHUNK):
+        yield batch.slice(start, CHUNK)
+
+
+def _terms(rows: DataFrame, text: str) -> DataFrame:
+    """Buckets (at) and counts (n) of each text's words, stored, so that the passes of a fit read numbers and no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets()
+        for batch in batches:
+            for part in _chunks(batch):
+                counts = _counted(part.column("text").to_pylist(), buckets)
+                row, at = np.nonzero(counts)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (at.astype(np.int16), counts[row, at].astype(np.int32))], ["at", "n"])
+
+    return _cut(spread(rows.select(F.col(text).alias("text"))).mapInArrow(run, "at array<smallint>, n array<int>"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -84,10 +115,10 @@ class Encoder:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            buckets = _Buckets()
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    x = _projected(part.column(text).to_pylist(), idf, basis)[0]
+                for part in _chunks(batch):
+                    x = _weights(part.column(text).to_pylist(), idf, buckets) @ basis
                     x = _unit(x) if turn is None else _unit(_unit(x) @ turn)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, vector])
@@ -113,26 +144,24 @@ class Encoder:
 
 def fit_encoder(rows: DataFrame, text: str, dims: int = DIMS, seed: int = 7) -> Encoder:
     """An encoder of all texts of a table. Null and empty texts count as texts without words."""
-    texts = rows.select(F.col(text).alias("text"))
+    terms = _terms(rows, text)
 
     def documents(batch: pa.RecordBatch, out: np.ndarray) -> None:
-        for counts in _counted(batch.column("text").to_pylist()):
-            out[list(counts)] += 1
-            out[BUCKETS] += 1
+        out[:BUCKETS] += np.bincount(batch.column("at").flatten().to_numpy(), minlength=BUCKETS)
+        out[BUCKETS] += batch.num_rows
 
-    counted = summed(texts, documents, (BUCKETS + 1,))
+    counted = summed(terms, documents, (BUCKETS + 1,))
     idf = np.log((1 + counted[BUCKETS]) / (1 + counted[:BUCKETS])) + 1
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, dims + SPARE)))[0]
     for _ in range(PASSES):
 
         def back(batch: pa.RecordBatch, out: np.ndarray, basis: np.ndarray = basis) -> None:
-            x, row, at, weight = _projected(batch.column("text").to_pylist(), idf, basis)
-            if len(at):
-                order = np.argsort(at, kind="stable")
-                starts = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                out[at[order][starts]] += np.add.reduceat(weight[order, None] * x[row[order]], starts)
+            for part in _chunks(batch):
+                of = np.repeat(np.arange(part.num_rows) * BUCKETS, pc.list_value_length(part.column("at")).to_numpy())
+                x = _scaled(of + part.column("at").flatten().to_numpy(), part.column("n").flatten().to_numpy(), part.num_rows, idf)
+                out += x.T @ (x @ basis)
 
-        product = summed(texts, back, basis.shape)
+        product = summed(terms, back, basis.shape)
         small = basis.T @ product  # of X'X in the basis it went through
         basis, last = np.linalg.qr(product)[0], basis
     values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -192,7 +221,7 @@ class WindowClassifier:
 
     def classify(self, rows: DataFrame, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
         """Each window of the texts with its `label`, that of the greatest probability (ties: the first name), and its `confidence`."""
-        found = self.encoder.encode(windows(rows, text, size, step), "window")
+        found = self.encoder.encode(windows(spread(rows), text, size, step), "window")
         scored = self.model.transform(found.withColumn("features", array_to_vector("vector")))
         p = vector_to_array("probability")
         best = F.array_position(p, F.array_max(p)).cast("int")
@@ -204,7 +233,7 @@ def fit_classifier(rows: DataFrame, text: str, label: str, encoder: Encoder, siz
     known = rows.select(F.col(label).cast("string").alias("y"), F.col(text).alias("text")).where("y IS NOT NULL")
     labels = tuple(sorted(r["y"] for r in known.select("y").distinct().collect()))  # a row a class
     place = F.create_map(*(x for i, y in enumerate(labels) for x in (F.lit(y), F.lit(float(i)))))
-    train = encoder.encode(windows(known, "text", size, step), "window").select(array_to_vector("vector").alias("features"), place[F.col("y")].alias("label"))
+    train = encoder.encode(windows(spread(known), "text", size, step), "window").select(array_to_vector("vector").alias("features"), place[F.col("y")].alias("label"))
     solver = LogisticRegression(family="multinomial", maxIter=iterations, regParam=1e-4, standardization=False)
     return WindowClassifier(encoder, labels, solver.fit(train))
 

@@ -152,7 +152,7 @@ def gr7_text_encoder(spark, sf_dir):
     from corvane.operators.encoder import fit_encoder
 
     d = table(spark, sf_dir, "documents")
-    found = fit_encoder(d, "text").encode(d.select("doc_id", "text"), "text", "v")
+    found = fit_encoder(d, "text").encode(J.spread(d.select("doc_id", "text")), "text", "v")
     return found.select("doc_id", F.size("v").cast("long").alias("dims"), F.transform(F.slice("v", 1, 4), lambda x: F.round(x, 4)).alias("head"))
 
 
@@ -178,7 +178,7 @@ def gr8_tuned_encoder(spark, sf_dir):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     base = E.fit_encoder(d, "text")
     # each text is encoded once, whatever reads its vector
-    vectors = _cut(base.encode(d.withColumn("held", held).select("lang", "held", "text"), "text", "v").drop("text"))
+    vectors = _cut(base.encode(J.spread(d.withColumn("held", held).select("lang", "held", "text")), "text", "v").drop("text"))
     asked = vectors.where("held")
     model = E.tuned_by(base, vectors.where("NOT held"), "v", "lang")
     parts = [label_similarity(rows, "lang", "v").withColumn("tuned", F.lit(name)) for name, rows in ((False, asked), (True, _cut(model.turned(asked, "v"))))]

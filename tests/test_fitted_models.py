@@ -195,3 +195,22 @@ def test_tuning_by_vectors_is_tuning_by_texts(spark):
     want = {r["id"]: r["v"] for r in a.encode(rows, "text", "v").collect()}
     got = {r["id"]: r["v"] for r in b.turned(vectors, "v").collect()}
     assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for i in got for x, y in zip(got[i], want[i]))
+
+
+def test_a_fit_reads_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return f"word{i % 7} word{i % 5} other{i % 3}"
+
+    model = encoder.fit_encoder(spark.range(120, numPartitions=3).select(text("id").alias("text")), "text", dims=4)
+    assert read.value == 120 and model.basis.shape == (encoder.BUCKETS, 4)
+
+
+def test_counts_of_buckets():
+    texts = ["A b ab AB abc", None, "", "ab " * 70_000]
+    counts = encoder._counted(texts, encoder._Buckets())
+    ab, abc = (zlib.crc32(w) % encoder.BUCKETS for w in (b"ab", b"abc"))
+    assert counts.sum(axis=1).tolist() == [3, 0, 0, 70_000] and counts[:, ab].tolist() == [2, 0, 0, 70_000] and counts[0, abc] == 1
