@@ -211,6 +211,11 @@ def windows(rows: DataFrame, text: str, size: int = WINDOW, step: int = STEP) ->
     return rows.select(*(c for c in rows.columns if c != text), F.explode(found).alias("w")).select("*", "w.*").drop("w")
 
 
+def encoded(encoder: Encoder, rows: DataFrame, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
+    """The windows of the texts with their `vector`, without their texts."""
+    return encoder.encode(windows(spread(rows), text, size, step), "window").drop("window")
+
+
 @dataclass(frozen=True)
 class WindowClassifier:
     """A softmax regression on encoded windows."""
@@ -221,19 +226,29 @@ class WindowClassifier:
 
     def classify(self, rows: DataFrame, text: str, size: int = WINDOW, step: int = STEP) -> DataFrame:
         """Each window of the texts with its `label`, that of the greatest probability (ties: the first name), and its `confidence`."""
-        found = self.encoder.encode(windows(spread(rows), text, size, step), "window")
+        return self.classified(encoded(self.encoder, rows, text, size, step))
+
+    def classified(self, found: DataFrame) -> DataFrame:
+        """`classify` of windows that the encoder has encoded already."""
         scored = self.model.transform(found.withColumn("features", array_to_vector("vector")))
         p = vector_to_array("probability")
         best = F.array_position(p, F.array_max(p)).cast("int")
-        return scored.select(*(c for c in found.columns if c not in ("vector", "window")), F.element_at(F.array(*map(F.lit, self.labels)), best).alias("label"), F.array_max(p).alias("confidence"))
+        return scored.select(*(c for c in found.columns if c != "vector"), F.element_at(F.array(*map(F.lit, self.labels)), best).alias("label"), F.array_max(p).alias("confidence"))
 
 
 def fit_classifier(rows: DataFrame, text: str, label: str, encoder: Encoder, size: int = WINDOW, step: int = STEP, iterations: int = 40) -> WindowClassifier:
     """Learns the label of a text's windows. Gradients are summed over partitions by the solver; rows without a label are left out."""
     known = rows.select(F.col(label).cast("string").alias("y"), F.col(text).alias("text")).where("y IS NOT NULL")
+    # the solver reads its rows several times
+    return classifier_by(_cut(encoded(encoder, known, "text", size, step)), "y", encoder, iterations)
+
+
+def classifier_by(found: DataFrame, label: str, encoder: Encoder, iterations: int = 40) -> WindowClassifier:
+    """`fit_classifier` by windows that the encoder has encoded and that are stored: they are read several times."""
+    known = found.select(F.col(label).cast("string").alias("y"), "vector").where("y IS NOT NULL")
     labels = tuple(sorted(r["y"] for r in known.select("y").distinct().collect()))  # a row a class
     place = F.create_map(*(x for i, y in enumerate(labels) for x in (F.lit(y), F.lit(float(i)))))
-    train = encoder.encode(windows(spread(known), "text", size, step), "window").select(array_to_vector("vector").alias("features"), place[F.col("y")].alias("label"))
+    train = known.select(array_to_vector("vector").alias("features"), place[F.col("y")].alias("label"))
     solver = LogisticRegression(family="multinomial", maxIter=iterations, regParam=1e-4, standardization=False)
     return WindowClassifier(encoder, labels, solver.fit(train))
 

@@ -159,11 +159,15 @@ def gr7_text_encoder(spark, sf_dir):
 @query(None)
 def gr11_window_classifier(spark, sf_dir):
     from corvane.operators import encoder as E
+    from corvane.operators.studies import _cut
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    learnt = d.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    model = E.fit_classifier(learnt, "text", "lang", E.fit_encoder(d, "text"))
-    found = E.sections(model.classify(d.select("doc_id", "text"), "text"), "doc_id")
+    base = E.fit_encoder(d, "text")
+    # each window is encoded once, whether it is learnt from or not
+    windows = _cut(E.encoded(base, d, "text"))
+    learnt = windows.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    model = E.classifier_by(learnt, "lang", base)
+    found = E.sections(model.classified(windows.drop("lang")), "doc_id")
     return found.select("doc_id", "label", F.round("confidence", 4).alias("confidence"), "windows", F.col("at").cast("long").alias("at"), F.col("until").cast("long").alias("until"))
 
 

@@ -214,3 +214,21 @@ def test_counts_of_buckets():
     counts = encoder._counted(texts, encoder._Buckets())
     ab, abc = (zlib.crc32(w) % encoder.BUCKETS for w in (b"ab", b"abc"))
     assert counts.sum(axis=1).tolist() == [3, 0, 0, 70_000] and counts[:, ab].tolist() == [2, 0, 0, 70_000] and counts[0, abc] == 1
+
+
+def test_a_classifier_encodes_each_window_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return f"word{i % 3} both{i % 5} one{i % 7}"
+
+    rows = spark.range(90, numPartitions=3).select("id", text("id").alias("text"), F.concat(F.lit("l"), F.col("id") % 3).alias("lang"))
+    plain = rows.select("id", F.expr("concat('word', id % 3, ' both', id % 5, ' one', id % 7)").alias("text"), "lang")
+    base = encoder.fit_encoder(plain, "text", dims=6)
+    model = encoder.fit_classifier(rows, "text", "lang", base)
+    assert read.value == 90
+    again = encoder.classifier_by(encoder.encoded(base, plain, "text").localCheckpoint(), "lang", base)
+    want = {r["id"]: (r["label"], round(r["confidence"], 6)) for r in model.classify(plain, "text").collect()}
+    assert {r["id"]: (r["label"], round(r["confidence"], 6)) for r in again.classify(plain, "text").collect()} == want
