@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators.joins import spread
+
 # Schemas of the persistent tables.
 TEXT_BLOCKS = "run_id string, source_registry_id string, source_sha256 string, page_number int, block_index int, text string, block_type string, extraction_timestamp_utc string"
 TABLES = "run_id string, source_registry_id string, source_sha256 string, page_number int, extractor_used string, table_index int, header_row array<string>, data_rows array<array<string>>, extraction_timestamp_utc string"
@@ -123,7 +125,8 @@ def registry_columns(raw: Column | str) -> list[Column]:
 def articles(xml: DataFrame, xml_col: str) -> DataFrame:
     """Article rows of cached search results."""
     article = F.explode(F.arrays_zip(F.xpath(xml_col, F.lit("//PubmedArticle//PMID[1]/text()")).alias("pmid"), F.xpath(xml_col, F.lit("//PubmedArticle//ArticleTitle/text()")).alias("title"), F.xpath(xml_col, F.lit("//PubmedArticle//Abstract/AbstractText[1]/text()")).alias("abstract")))
-    return xml.select(article.alias("a")).select("a.*")
+    # parsing takes far longer than moving, and a small file would be one task
+    return spread(xml.select(xml_col)).select(article.alias("a")).select("a.*")
 
 
 def put_artifacts(artifacts: DataFrame, path: str, run_id: str) -> DataFrame:

@@ -107,3 +107,10 @@ def test_citations(spark, line, cites):
 def test_cycle_lengths(spark):
     rows = spark.createDataFrame([("a 28-day cycle",), ("Q3W dosing",), ("every 14 days",), ("42 day treatment cycle",), ("none",)], "t string")
     assert [r["n"] for r in rows.select(T.cycle_length("t").alias("n")).collect()] == [28, 21, 14, 42, 21]
+
+
+def test_articles_of_a_small_file_are_parsed_in_many_tasks(spark):
+    one = "<S>" + "".join(f"<PubmedArticle><PMID>{i}</PMID><ArticleTitle>t{i}</ArticleTitle><Abstract><AbstractText>a{i}</AbstractText></Abstract></PubmedArticle>" for i in (1, 2)) + "</S>"
+    found = readers.articles(spark.createDataFrame([(one,)] * 200, "x string").coalesce(1), "x").withColumn("task", F.spark_partition_id())
+    assert found.groupBy("pmid", "title", "abstract").count().orderBy("pmid").collect() == [("1", "t1", "a1", 200), ("2", "t2", "a2", 200)]
+    assert found.select("task").distinct().count() >= 4
