@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task groups at most, where hardly two of them are alike.
+TASK_ROWS = 500_000
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0.0 where b is 0 or null."""
@@ -165,7 +168,10 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def duplicate_answers(extractions: DataFrame, least: int = 5) -> DataFrame:
     """Per document: methods used, and answers longer than `least` characters given to several queries."""
-    texts = extractions.where(F.length("content") > least).groupBy("result_id", "content").agg(F.count_distinct("query_id").alias("queries")).where("queries > 1")
+    rows = extractions.where(F.length("content") > least).select("result_id", "content", "query_id")
+    # dealt by counted rows before anything is grouped: hardly a row is like another, so a task would hold all of its input as groups
+    dealt = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), "result_id", "content")
+    texts = dealt.groupBy("result_id", "content").agg(F.count_distinct("query_id").alias("queries")).where("queries > 1")
     return texts.groupBy("result_id").agg(F.count("*").alias("duplicated"), F.sum("queries").alias("queries"))
 
 

@@ -107,3 +107,15 @@ def test_no_document_carries_a_sketch(spark, tmp_path):
     plan = catalog.queries()["agg41_approximate_distinct"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     sketched = [line for line in plan.split("\n") if "approx_count_distinct" in line]
     assert sketched and all("keys=[code" in line and "result_id" not in line.split("functions=")[0] for line in sketched)
+
+
+def test_duplicate_answers_are_dealt_by_counted_rows(spark, monkeypatch):
+    """A task groups a bounded number of rows, and an answer of many queries counts once."""
+    from corvane.operators import analytics as A
+
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    rows = spark.range(4000).selectExpr("id % 50 AS result_id", "CASE WHEN id % 3 = 0 THEN 'answer' WHEN id % 3 = 1 THEN concat('answer ', id) ELSE 'no' END AS content", "id % 7 AS query_id")
+    found = A.duplicate_answers(rows)
+    assert {(r["result_id"], r["duplicated"], r["queries"]) for r in found.collect()} == {(i, 1, 7) for i in range(50)}
+    dealt = rows.where("length(content) > 5").count() // 100 + 1
+    assert f", {dealt})" in found._jdf.queryExecution().executedPlan().toString().replace(", REPARTITION_BY_NUM", ")")
