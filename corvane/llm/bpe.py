@@ -30,11 +30,11 @@ from corvane.llm.common import chunks, kept_between_tasks, mapped
 # Fixed value: the published word pattern of byte-level BPE.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of words and ids that a worker remembers before it starts anew, and pairs of tokens whose borders it remembers.
-MEMORY_BYTES, MEMORY_PAIRS = 24 << 20, 100_000
-#: Bytes by which the longest last token is looked up.
-TAIL = 3
+MEMORY_BYTES, MEMORY_PAIRS = 64 << 20, 250_000
+#: Steps from one prefix of a token to the next that a task remembers.
+MEMORY_STEPS = 100_000
 #: Python's cost of a remembered word besides its letters and ids.
-WORD_BYTES = 200
+WORD_BYTES = 180
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,15 +67,44 @@ class Vocabulary:
         self._left = lru_cache(1 << 13)(self._chain_left)
         # A token that its own merges never build is no last token.
         self.ends = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
-        #: The length of the longest last token by its last TAIL bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in self.ends:
-            self.reach[t[-TAIL:]] = max(len(t), self.reach.get(t[-TAIL:], 0))
-        for t in [t for t in self.reach if len(t) < TAIL]:
-            # where a text begins, fewer bytes than TAIL are known
-            del self.reach[t]
+        self._link()
         self.numerals = {i: str(i) for i in self.of}
 
+    def _link(self) -> None:
+        """Links from each prefix of a token to its longest proper suffix that is one too, so that the tokens that end at a byte are listed
+        from the longest to the shortest without a search."""
+        #: The prefix that a prefix (state) and one more byte make, by state << 8 | byte; more of them, that fall back, are remembered by tries.
+        self.steps: dict[int, int] = {}
+        owner, depth = [-1], [0]
+        for t, i in self.ends.items():
+            state = 0
+            for byte in t:
+                at = state << 8 | byte
+                state = self.steps.get(at, 0)
+                if not state:
+                    state = self.steps[at] = len(owner)
+                    owner.append(-1)
+                    depth.append(depth[at >> 8] + 1)
+            owner[state] = i
+        #: The longest proper suffix of a state that is a state, and the longest token that a state ends in.
+        self.fall, self.longest = [0] * len(owner), owner
+        #: The next shorter token that ends in the same bytes, and the length of a token.
+        self.shorter, self.length = {}, {i: len(t) for t, i in self.ends.items()}
+        for at, state in sorted(self.steps.items(), key=lambda x: depth[x[1]]):
+            if at >> 8:
+                self.fall[state] = self.step(self.fall[at >> 8], at & 255)
+            below = self.longest[self.fall[state]]
+            if owner[state] < 0:
+                owner[state] = below
+            else:
+                self.shorter[owner[state]] = below
+
+    def step(self, state: int, byte: int) -> int:
+        """The longest suffix of a state and a byte that is a state."""
+        while (new := self.steps.get(state << 8 | byte)) is None and state:
+            state = self.fall[state]
+        return new or 0
+
     def merge(self, word: bytes) -> list[int]:
         """Plain merging by rank, for the check of the vocabulary and of tests."""
         ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
@@ -116,28 +145,32 @@ class Vocabulary:
             until = self.rank[left, right][0]
             token = left
 
+    def born(self, token: int) -> int:
+        """The rank of the merge that makes a token."""
+        return self.rank[self.parts[token]][0] if token in self.parts else -1
+
     def joins(self, a: int, b: int) -> bool:
         """Whether a then b stay apart: no merge across their border comes before the merges that end its two sides.
 
         Of equal ranks the left pair is merged first, so a merge across the border wins a tie against one of b's.
         """
-        rank = self.rank
+        found, left = self.rank.get, self._left(b)
         for x, until_x in self._right(a):
-            for y, until_y in self._left(b):
-                found = rank.get((x, y))
-                if found is not None:
-                    born = max(rank[self.parts[x]][0] if x in self.parts else -1, rank[self.parts[y]][0] if y in self.parts else -1)
-                    if born <= found[0] < until_x and found[0] <= until_y:
-                        return False
+            for y, until_y in left:
+                new = found((x, y))
+                if new is not None and max(self.born(x), self.born(y)) <= new[0] < until_x and new[0] <= until_y:
+                    return False
         return True
 
 
 class Trie:
-    """The trie of words, of which the path from the root to one node is held: the last token of each, and where that starts."""
+    """The trie of words, of which the path from the root to one node is held: the last token of each, where that starts, and the longest
+    prefix of a token that ends there."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pairs: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
 
     def _joins(self, a: int, b: int, pair: int) -> bool:
         if len(self.pairs) >= MEMORY_PAIRS:
@@ -145,41 +178,46 @@ class Trie:
         ok = self.pairs[pair] = self.v.joins(a, b)
         return ok
 
-    def encode(self, words: list[bytes]) -> Iterator[list[int]]:
+    def _step(self, at: int) -> int:
+        if len(self.steps) >= MEMORY_STEPS:
+            self.steps.clear()
+        new = self.steps[at] = self.v.step(at >> 8, at & 255)
+        return new
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
         """Encodings of distinct sorted words: the traversal is depth first."""
-        token_of, reach, seen, size = self.v.ends.get, self.v.reach.get, self.pairs.get, len(self.v.of) + 1
-        last, back, before = [-1], [0], b""
+        longest, shorter, length, step, seen, size = self.v.longest, self.v.shorter, self.v.length, self.steps.get, self.pairs.get, len(self.v.of) + 1
+        last, back, states, before = [-1], [0], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                # no token that ends here is longer than those that end in the same bytes
-                start = end - reach(word[max(0, end - TAIL) : end], TAIL - 1)
-                if start <= 0:
-                    start, token = 0, token_of(word[:end])
-                    if token is None:
-                        start = 1
-                else:
-                    token = None
-                while token is None:
-                    token = token_of(word[start:end])
-                    if token is not None:
-                        a = last[start]
-                        ok = seen(a * size + token)
-                        if ok or ok is None and self._joins(a, token, a * size + token):
-                            break
-                        token = None
-                    start += 1
+            del last[shared + 1 :], back[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in word[shared:]:
+                at = state << 8 | byte
+                state = step(at)
+                if state is None:
+                    state = self._step(at)
+                end += 1
+                token = longest[state]
+                start = end - length[token]
+                while start:
+                    pair = last[start] * size + token
+                    ok = seen(pair)
+                    if ok or ok is None and self._joins(last[start], token, pair):
+                        break
+                    token = shorter[token]
+                    start = end - length[token]
                 last.append(token)
                 back.append(start)
-            ids, node = [], len(word)
+                states.append(state)
+            ids, node = [], end
             while node:
                 ids.append(last[node])
                 node = back[node]
             before = word
-            yield ids[::-1]
+            yield tuple(ids[::-1])
 
 
 @lru_cache(1)
@@ -199,7 +237,7 @@ class Encoder:
         self.find = regex.compile(WORD_PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split if self.v.special else None
         self.trie = Trie(self.v)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
     def words(self, text: str) -> list[str | int]:
