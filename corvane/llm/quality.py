@@ -15,7 +15,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,18 +94,21 @@ def statistics(values: pa.Array) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, __stats array<double>, and the columns named in `keep`."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """id, the columns named in `keep`, and __stats array<double>; with `score`, which takes these, __score double in their place.
+
+    A second pass over the rows would need a second Python worker beside each task's first.
+    """
     kept = list(dict.fromkeys((id_col, *keep)))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text"):
             x = statistics(batch.column("__text"))
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), stats], [*kept, "__stats"])
+            last = pa.array(score(x)) if score else pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), last], [*kept, "__score" if score else "__stats"])
 
-    return mapped(docs.select(*kept, F.col(text_col).alias("__text")), run, f"{fields}, `__stats` array<double>")
+    return mapped(docs.select(*kept, F.col(text_col).alias("__text")), run, f"{fields}, {'`__score` double' if score else '`__stats` array<double>'}")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -213,7 +216,8 @@ def fit(train: DataFrame) -> Model:
                 out += np.frombuffer(b)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
 
-    parts = train.select("__stats", "y", "fold").mapInArrow(partial, "slot long, sums binary").repartition(SLOTS, "slot").select("sums").mapInArrow(total, "sums binary")
+    parts = mapped(train.select("__stats", "y", "fold"), partial, "slot long, sums binary").repartition(SLOTS, "slot").select("sums")
+    parts = mapped(parts, total, "sums binary")
     sums = np.zeros(2 * width)
     for r in parts.toLocalIterator():
         sums += np.frombuffer(r["sums"])
@@ -233,7 +237,7 @@ def fit(train: DataFrame) -> Model:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(y[at])], ["bin", "n", "y"])
 
-    rows = train.select("__stats", "y", "fold").mapInArrow(binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    rows = mapped(train.select("__stats", "y", "fold"), binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
     model.steps = calibration(*(np.array([r[k] for r in rows], float) for k in ("bin", "n", "y")))
     return model
 
@@ -251,14 +255,15 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     stats = cut(features(docs, id_col, text_col))
     model = fit(train_rows(stats, labels, id_col, label_col))
     # without further columns the statistics at hand are scored; else the texts are read again, rather than shuffled
-    source = features(docs, id_col, text_col, keep) if len(kept) > 1 else stats
+    if len(kept) > 1:
+        return features(docs, id_col, text_col, keep, model.score)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(_matrix(batch)))], [*kept, "__score"])
 
-    return source.mapInArrow(run, f"{fields}, `__score` double")
+    return mapped(stats, run, f"{fields}, `__score` double")
 
 
 @with_own_names

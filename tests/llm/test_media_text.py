@@ -275,6 +275,15 @@ def test_quality_held_out(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_quality_scores_in_one_worker(spark):
+    """A task that reads texts and scores them needs one Python worker: kept columns cost no second pass."""
+    docs, labels = frame(spark, [prose(random.Random(i), 30) for i in range(30)]), spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    score = {r["doc_id"]: r["score"] for r in quality.scores(docs, labels).collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, s in score.items() if s >= 0.5}
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.scores(frame(spark, ["a", None]), none).collect()} == {0.5}
