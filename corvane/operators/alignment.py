@@ -4,8 +4,8 @@ The score of a chunk in a window is the greatest of 2 * LCS / (length of the chu
 long as the chunk, and over the window's beginnings and ends that are shorter. The longest common subsequence is found with one integer a row,
 whose bits are the chunk's characters. Two pieces that lie d characters apart differ by at most d in it, so pieces that
 cannot beat the best score so far are passed over without being compared; the result is that of comparing all. Before that, pieces at every
-sixth of the chunk's length are compared in all texts of a batch at once, side by side in one integer, and texts in which these leave
-no room for a window of the least score are done with.
+half of the chunk's length and at windows' edges are compared for all chunks and texts of a batch at once, side by side in arrays, and only
+windows in which these leave room for the least score are looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from corvane.operators.studies import _cut
 CHUNK, LEAST_PARAGRAPH, LEAST_CHUNK = 300, 20, 10
 #: Score (0 to 100) from which a chunk counts as found.
 THRESHOLD = 80.0
-#: Pieces that are compared side by side, and chunks that meet a text in one task.
-LANES, TOGETHER = 2_048, 64
+#: Pieces that are compared side by side, how many times these are gathered at once, and chunks that meet a text in one task or are compared together.
+LANES, FILLED, TOGETHER = 4_096, 8, 64
 #: Pairs whose texts a task holds at once.
 ROWS = 512
 #: Characters of a chunk and of a span that are returned.
@@ -90,48 +90,100 @@ class Needle:
         return best
 
 
+def edges(n: int, length: int) -> np.ndarray:
+    """Places of the pieces at the beginnings and ends of a text's windows."""
+    starts = np.arange(0, length - n, max(min(2 * n, length) // 4, 50))
+    return np.unique(np.concatenate((starts, np.minimum(starts + 2 * n, length) - n)))
+
+
 def grid(n: int, length: int) -> list[int]:
-    """Places of the pieces that are compared first: every sixth of the chunk's length, and the last place."""
-    return [*range(0, length - n, max(1, n // 6)), length - n]
+    """Places of the pieces that are compared first: those at windows' edges, the last place, and every half of the chunk's length between these; of chunks of one
+    word every sixth, since common lengths of short pieces vary more."""
+    step, places = max(1, n // (2 if n > 63 else 6)), edges(n, length)
+    # one beside another tells as much but for a character
+    places = np.unique(np.append(places[np.diff(places, prepend=-n) > n // 50], length - n))
+    parts = -(-np.diff(places) // step)
+    first = np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(np.repeat(places[:-1], parts) + (np.arange(len(first)) - first) * step, places[-1]).tolist()
+
+
+def common_lengths(needles: list[str], texts: list[str], which: np.ndarray, where: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Needle.common of needle which[i] and the piece as long as it at place[i] of text where[i]. Pieces lie side by side, with a word of 64 bits for 63
+    characters of their chunks and what is carried; those of long chunks come first, and a piece that has ended is passed over."""
+    lengths = np.array([len(s) for s in needles], np.int64)
+    words = int(lengths.max() + 62) // 63
+    code = np.zeros(0x110000, np.int32)
+    letters = sorted({ord(c) for s in needles for c in s})
+    code[letters] = np.arange(1, len(letters) + 1)
+    wide, whole = len(letters) + 1, np.uint64((1 << 63) - 1)
+    masks, full = np.zeros((words, len(needles) * wide), np.uint64), np.zeros((words, len(needles)), np.uint64)
+    for k, needle in enumerate(map(Needle, needles)):
+        for w in range(words):
+            full[w, k] = needle.all >> 63 * w & int(whole)
+            for c, m in needle.masks.items():
+                masks[w, k * wide + code[ord(c)]] = m >> 63 * w & int(whole)
+    coded = code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    out, order = np.empty(len(which), np.int64), np.argsort(-lengths[which], kind="stable")
+    for rows in (order[i : i + LANES] for i in range(0, len(order), LANES)):
+        n, at, base = lengths[which[rows]], begins[where[rows]] + place[rows], which[rows] * wide
+        used = int(n[0] + 62) // 63
+        rest = held = [full[w, which[rows]] for w in range(used)]
+        column, (hit, total, carry) = np.empty(len(rows), np.int64), np.empty((3, len(rows)), np.uint64)
+        for m in np.searchsorted(-n, -np.arange(n[0]), side="left").tolist():
+            if m < len(at):
+                at, base, column, hit, total, carry = (x[:m] for x in (at, base, column, hit, total, carry))
+                rest = [r[:m] for r in rest]
+            coded.take(at, out=column, mode="clip")
+            at += 1
+            column += base
+            for w, r in enumerate(rest):
+                masks[w].take(column, out=hit, mode="clip")
+                np.bitwise_and(r, hit, out=hit)
+                np.add(r, hit, out=total)
+                if w:
+                    np.add(total, carry, out=total)
+                if w < used - 1:
+                    np.right_shift(total, np.uint64(63), out=carry)
+                # rest + hit | rest - hit, where hit is part of rest
+                np.bitwise_xor(r, hit, out=r)
+                np.bitwise_or(r, total, out=r)
+                np.bitwise_and(r, whole, out=r)
+        out[rows] = n - sum(np.bitwise_count(r & full[w, which[rows]]).astype(np.int64) for w, r in enumerate(held))
+    return out
 
 
 def side_by_side(chunk: str, pieces: list[str]) -> list[int]:
-    """The longest common subsequences of a chunk with pieces as long as it is: Needle.common of each, a lane of whole bytes with a bit to spare for each."""
-    n, needle, out = len(chunk), Needle(chunk), []
-    width = n // 8 + 1
-    letters = np.array(sorted(map(ord, needle.masks)), np.uint32)
-    masks = np.zeros((len(letters) + 1, width), np.uint8)
-    for i, c in enumerate(letters):
-        masks[i] = np.frombuffer(needle.masks[chr(c)].to_bytes(width, "little"), np.uint8)
-    for start in range(0, len(pieces), LANES):
-        part = pieces[start : start + LANES]
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-        at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
-        at[letters[at] != codes] = len(letters)
-        full = rest = int.from_bytes(needle.all.to_bytes(width, "little") * len(part), "little")
-        for column in np.ascontiguousarray(at.T):
-            hit = rest & int.from_bytes(masks[column].tobytes(), "little")
-            # a carry beyond a lane's bits falls on its spare bit and goes
-            rest = (rest + hit | rest - hit) & full
-        lanes = np.frombuffer(rest.to_bytes(width * len(part), "little"), np.uint8).reshape(len(part), width)
-        out += (n - np.bitwise_count(lanes).sum(axis=1, dtype=np.int64)).tolist()
-    return out
+    """The longest common subsequences of a chunk with pieces as long as it."""
+    at = np.arange(len(pieces))
+    return common_lengths([chunk], pieces, at * 0, at, at * 0).tolist()
 
 
-def may_hold(n: int, places: list[int], common: list[int], least: float) -> bool:
-    """Whether a text may have a window of the least score (0 to 1), by the common lengths of its pieces at some places.
+def rooms(n: int, places: list[int], common: list[int], least: float) -> list[tuple[int, int]]:
+    """First and last place of the ranges in which a text may have a piece of the least score (0 to 1), by the common lengths of its pieces at some places.
+
+    Pieces d characters apart differ by d at most. A shorter piece counts at a window's edge only, and has no more in common than the whole piece there."""
+    p, c = np.array(places), np.array(common)
+    inner = np.flatnonzero(np.maximum(np.maximum(c[:-1], c[1:]), (c[:-1] + c[1:] + np.diff(p)) // 2) / n >= least - 1e-9)
+    e = edges(n, places[-1] + n)
+    after = np.minimum(np.searchsorted(p, e), len(p) - 1)
+    before = np.maximum(after - (p[after] > e), 0)
+    most = np.minimum(np.minimum(c[before] + np.abs(e - p[before]), c[after] + np.abs(p[after] - e)), n)
+    at_edges = e[2 * most / (n + most) >= least - 1e-9].tolist()
+    alone = [(places[0], places[0])] if len(p) == 1 and c[0] / n >= least - 1e-9 else []
+    return sorted([*alone, *((places[i], places[i + 1]) for i in inner.tolist()), *zip(at_edges, at_edges)])
 
-    Pieces d characters apart differ by d at most. A shorter piece at a window's edge has no more in common than the whole piece there."""
-    most = max(common)
-    for a, b, x, y in zip(places, places[1:], common, common[1:]):
-        most = max(most, (x + y + b - a) // 2)
-    return max(most / n, 2 * most / (n + most)) >= least - 1e-9
+
+def may_hold(n: int, places: list[int], common: list[int], least: float) -> bool:
+    """Whether a text may have a window of the least score (0 to 1), by the common lengths of its pieces at some places."""
+    return bool(rooms(n, places, common, least))
 
 
-def best_window(chunk: str, text: str, least: float = THRESHOLD) -> tuple[float, int, int] | None:
+def best_window(chunk: str, text: str, least: float = THRESHOLD, room: list[tuple[int, int]] | None = None) -> tuple[float, int, int] | None:
     """score, start and end of the first of the best windows of a text for a chunk, both lowered, if the score is at least `least`.
 
-    Windows are twice as long as the chunk and begin every half of it, but at least every 50 characters.
+    Windows are twice as long as the chunk and begin every half of it, but at least every 50 characters. With `room` (`rooms`) only those
+    are looked at that have a place of it, since the others score less.
     """
     n, size = len(chunk), min(2 * len(chunk), len(text))
     if not n or len(text) <= n:
@@ -145,7 +197,10 @@ def best_window(chunk: str, text: str, least: float = THRESHOLD) -> tuple[float,
         return known[at]
 
     best, found, step = least / 100, None, max(size // 4, 50)
-    for start in range(0, len(text) - n, step):
+    starts = range(0, len(text) - n, step)
+    if room is not None:
+        starts = sorted({s for a, b in room for s in range(max(0, -(-(a - size + n) // step)) * step, min(b + 1, starts.stop), step)})
+    for start in starts:
         end = min(start + size, len(text))
         score, at = 0.0, start
         while at <= end - n:
@@ -165,26 +220,26 @@ def best_window(chunk: str, text: str, least: float = THRESHOLD) -> tuple[float,
     return None if found is None else (best * 100, *found)
 
 
-def _worth(needles: list[str], hays: list[str], low: dict[str, str], least: float) -> Iterator[int]:
-    """The pairs that may hold a window of the least score. Those of one chunk are looked at together, as many as fill the lanes."""
-    by: dict[str, list[int]] = {}
+def _worth(needles: list[str], hays: list[str], low: dict[str, str], least: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """The pairs that may hold a window of the least score, and where. As many pairs are looked at together as fill the lanes, whatever their chunks."""
+    held: list[tuple[int, int, list[int]]] = []
+    chunks: dict[str, int] = {}
+    texts: dict[str, int] = {}
     for i, small in enumerate(needles):
-        by.setdefault(lowered(small), []).append(i)
-    for small, rows in by.items():
-        n, held, pieces = len(small), [], []
-        for i in rows:
-            large = low[hays[i]]
-            if len(large) > n:
-                places = grid(n, len(large))
-                held.append((i, places))
-                pieces += [large[p : p + n] for p in places]
-            if held and (len(pieces) >= LANES or i == rows[-1]):
-                common, at = side_by_side(small, pieces), 0
-                for j, places in held:
-                    if may_hold(n, places, common[at : at + len(places)], least / 100):
-                        yield j
-                    at += len(places)
-                held, pieces = [], []
+        small, large = lowered(small), low[hays[i]]
+        if 0 < len(small) < len(large):
+            chunks.setdefault(small, len(chunks))
+            texts.setdefault(large, len(texts))
+            held.append((i, len(small), grid(len(small), len(large))))
+        if held and (sum(len(x[2]) for x in held) >= FILLED * LANES or len(chunks) >= TOGETHER or i == len(needles) - 1):
+            sizes = [len(x[2]) for x in held]
+            which = np.repeat([chunks[lowered(needles[x[0]])] for x in held], sizes)
+            where = np.repeat([texts[low[hays[x[0]]]] for x in held], sizes)
+            common = common_lengths(list(chunks), list(texts), which, where, np.concatenate([x[2] for x in held]))
+            for (j, n, places), found in zip(held, np.split(common, np.cumsum(sizes)[:-1])):
+                if room := rooms(n, places, found.tolist(), least / 100):
+                    yield j, room
+            held, chunks, texts = [], {}, {}
 
 
 def align(chunks: DataFrame, texts: DataFrame, on: list[str], chunk: str = "chunk", text: str = "text", least: float = THRESHOLD) -> DataFrame:
@@ -210,9 +265,9 @@ def align(chunks: DataFrame, texts: DataFrame, on: list[str], chunk: str = "chun
             at, out = [], []
             needles, hays = batch.column(needle).to_pylist(), batch.column(hay).to_pylist()
             low = {t: lowered(t) for t in set(hays)}
-            for i in sorted(_worth(needles, hays, low, least)):
+            for i, room in sorted(_worth(needles, hays, low, least)):
                 small, large = needles[i], hays[i]
-                if best := best_window(lowered(small), low[large], least):
+                if best := best_window(lowered(small), low[large], least, room):
                     score, start, end = best
                     span = large[start:end][: len(small) + 100]
                     at.append(i)
@@ -241,5 +296,7 @@ def linked_by_words(chunks: DataFrame, texts: DataFrame, key: str, text_key: str
     # a word of no text is among those that are missing
     first = wanted.join(often, "word", "left").withColumn("texts", F.coalesce("texts", F.lit(0))).withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= F.col("n") - F.col("need") + 1)
     pairs = first.where("texts > 0").select("k", "word").join(of_texts, "word").select("k", "t").distinct()
-    counted = pairs.join(c, "k").join(t.withColumnRenamed("words", "others"), "t").where(F.size(F.array_intersect("words", "others")) >= F.col("need"))
+    # few bytes may be much work, so pairs are dealt over tasks before a text's many words are looked up among a chunk's few
+    both = spread(pairs, "t").join(c, "k").join(t.withColumnRenamed("words", "others"), "t")
+    counted = both.where(F.size(F.array_intersect("others", "words")) >= F.col("need"))
     return counted.select(F.col("k").alias(key), F.col("t").alias(text_key))

@@ -185,3 +185,36 @@ def test_a_hot_key_is_many_tasks(spark):
     want = {i: A.best_window(A.lowered(s), A.lowered(text)) for i, _, s in chunks}
     assert len(found) == 300 and all((r["similarity"] * 100, r["char_offset"]) == pytest.approx(want[r["part"]][:2]) for r in found)
     assert len({r["task"] for r in found}) > 1
+
+
+def test_pieces_of_several_chunks_and_texts_side_by_side():
+    """Chunks about the words' lengths, pieces that end before others, and letters that no chunk has."""
+    rng = random.Random(21)
+    needles = ["".join(rng.choices("abcdeÄ日𝄞", k=n)) for n in (1, 62, 63, 64, 125, 126, 127, 189, 190, 252, 300)]
+    texts = ["".join(rng.choices("abcdefÄ日𝄞", k=k)) for k in (310, 400, 700)] + [needles[-1] + "b" * 9]
+    which, where, place = zip(*((k, t, rng.randrange(len(x) - len(s) + 1)) for k, s in enumerate(needles) for t, x in enumerate(texts) for _ in range(3)))
+    got = A.common_lengths(needles, texts, *map(A.np.array, (which, where, place)))
+    assert got.tolist() == [A.Needle(needles[k]).common(texts[t][p : p + len(needles[k])]) for k, t, p in zip(which, where, place)]
+
+
+def test_few_pieces_are_compared_and_no_window_is_passed_over():
+    rng = random.Random(22)
+    assert len(A.grid(300, 30_000)) < 2.2 * 30_000 / 300 and len(A.grid(299, 30_000)) < 2.2 * 30_000 / 299
+    found = 0
+    for _ in range(80):
+        letters = rng.choice(["ab", "abcd ", "abcdefghijklmno "])
+        needle = "".join(rng.choices(letters, k=rng.choice([1, 2, 3, 9, 20, 49, 50, 51, 60, 99, 100, 101, 133])))
+        text = "".join(rng.choices(letters, k=len(needle) + rng.choice([1, 2, 30, 49, 50, 51, 200, 900])))
+        for _ in range(rng.randrange(3)):
+            at = rng.choice([0, rng.randrange(len(text) + 1), len(text)])
+            text = text[:at] + edited(rng, needle[rng.randrange(1 + len(needle) // 4) :], letters, rng.randrange(0, 1 + len(needle) // 5)) + text[at:]
+        if len(text) <= len(needle):
+            continue
+        places = A.grid(len(needle), len(text))
+        assert places[0] == 0 and places[-1] == len(text) - len(needle) and all(0 < b - a <= max(1, len(needle) // 2) for a, b in zip(places, places[1:]))
+        for least in (60.0, 80.0, 95.0):
+            room = A.rooms(len(needle), places, A.side_by_side(needle, [text[p : p + len(needle)] for p in places]), least / 100)
+            want = A.best_window(needle, text, least)
+            assert A.best_window(needle, text, least, room) == want and (room or want is None)
+            found += want is not None
+    assert found > 60
