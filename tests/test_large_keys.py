@@ -119,3 +119,12 @@ def test_duplicate_answers_are_dealt_by_counted_rows(spark, monkeypatch):
     assert {(r["result_id"], r["duplicated"], r["queries"]) for r in found.collect()} == {(i, 1, 7) for i in range(50)}
     dealt = rows.where("length(content) > 5").count() // 100 + 1
     assert f", {dealt})" in found._jdf.queryExecution().executedPlan().toString().replace(", REPARTITION_BY_NUM", ")")
+
+
+def test_headers_are_moved_once(spark, tmp_path):
+    """Headers are grouped where they meet the suppliers: one exchange of line items, none of their headers."""
+    n = 300
+    lineitem = {"l_orderkey": pa.array([i % 70 if i < 200 else 7 for i in range(n)], pa.int64()), "l_suppkey": pa.array([i * 7 % 50 for i in range(n)], pa.int64()), "l_discount": [(i % 11) / 100 for i in range(n)]}
+    hold(spark, tmp_path, "gr15_subsection_scores", lineitem=lineitem, supplier={"s_suppkey": pa.array(range(50), pa.int64())})
+    plan = catalog.queries()["gr15_subsection_scores"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and plan.split("BroadcastExchange")[0].count("Exchange ") == 1
